@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, license_scan, line_dedup, mixing, packing
+from tidemark.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, topk_search
 from tidemark.llm.common import table
 
 
@@ -30,9 +30,17 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op6_license_scan, op7_line_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op6_license_scan, op7_line_dedup, op9_language_id, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE}
