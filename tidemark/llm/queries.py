@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language_id, license_scan, line_dedup, mixing, packing, topk_search
+from tidemark.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, topk_search
 from tidemark.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op6_license_scan, op7_line_dedup, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
