@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, topk_search
+from tidemark.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, topk_search
 from tidemark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op5_html_extract, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
