@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, topk_search
+from tidemark.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, topk_search
 from tidemark.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_mixing, op4_packing, op5_html_extract, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_mixing, op4_packing, op5_html_extract, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
