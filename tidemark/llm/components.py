@@ -1,4 +1,4 @@
-"""Connected components of an edge table: smallest labels with pointer jumping, all in joins."""
+"""Connected components of an edge table by contraction, all in joins."""
 
 from __future__ import annotations
 
@@ -11,17 +11,23 @@ from tidemark.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """node, label for every node of ``edges`` (a, b): label is the smallest node it is connected with.
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so the
-    number of rounds grows with the logarithm of a component's diameter. Every round is written to the
-    shared folder. Loops and repeated edges do no harm; no edges give no rows.
+    Each round hangs every node under its smallest neighbour, follows that link once more, and replaces edges by
+    those between the parents; loops and repeats go, so edges shrink from round to round and rounds grow
+    with the logarithm of a component's size. Every round is written to the shared
+    folder. Loops in ``edges`` and repeated edges do no harm; no edges give no rows.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        hop = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
-        new = cut(hop.join(jump, "low").select("node", "old", F.least("low", "far").alias("label")))
-        if new.filter("label < old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    labels = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    pairs = pairs.filter("a <> b")
+    while not pairs.isEmpty():
+        # an edge's larger end hangs under the smallest smaller neighbour; smallest ends stay roots
+        up = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        far = up.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+        up = cut(up.join(far, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
+        labels = cut(
+            labels.join(up.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("parent", "label").alias("label"))
+        )
+        for end in ("a", "b"):
+            pairs = pairs.join(up.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("parent", end)).drop("parent")
+        pairs = cut(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return labels

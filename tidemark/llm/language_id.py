@@ -219,10 +219,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int, seed: int = 0) -> Model | None:
-    """Train on at most ``sample_docs`` labelled documents in hash order, ``sample_chars`` characters of each."""
+    """Train on at most ``sample_docs`` labelled documents in hash order, ``sample_chars`` characters of each.
+
+    A first count sets a hash threshold that about twice the sample passes, so tasks hand the driver the
+    sample and little more however many tasks there are.
+    """
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    share = min(1.0, 2 * sample_docs / max(1, labelled.count()))
     rows = (
-        df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .select(F.col(text_col).substr(1, sample_chars).alias("t"), F.col(lang_col).cast("string").alias("y"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("k"))
+        labelled.filter(F.pmod(key, F.lit(1 << 30)) <= int(share * (1 << 30)))
+        .select(F.col(text_col).substr(1, sample_chars).alias("t"), F.col(lang_col).cast("string").alias("y"), key.alias("k"))
         .orderBy("k", "y", "t")
         .limit(sample_docs)
         .collect()
