@@ -45,3 +45,13 @@ def text_or_empty(c: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def wrapped(df: DataFrame, **named: Column) -> DataFrame:
+    """``named`` beside each whole row of ``df`` as the struct ``_row``: no column of ``df`` can clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(k) for k, c in named.items()])
+
+
+def unwrapped(rows: DataFrame, like: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``like`` out of ``_row``, those of ``new`` in its types instead; a renewed text renews ``n_chars``."""
+    return rows.select(*[(new[c].cast(like.schema[c].dataType) if c in new else F.col(f"_row.`{c}`")).alias(c) for c in like.columns])

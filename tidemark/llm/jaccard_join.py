@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import cut, text_or_empty
+from tidemark.llm.common import cut, text_or_empty, unwrapped, wrapped
 from tidemark.llm.components import components
 
 U64, U32 = np.uint64, np.uint64(32)
@@ -419,6 +419,6 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     found = jaccard_components(df, id_col, text_col, words, num, den)
     stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
     keep = stay.groupBy(F.col("doc_id").alias("_id"), "n_shingles").agg(F.min("tkey").alias("_tkey")).groupBy("_id").agg(F.min("_tkey").alias("_tkey"))
-    marked = df.withColumn("_k", F.xxhash64(text_or_empty(F.col(text_col))))
-    joined = marked.join(keep, marked[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_tkey")))
-    return joined.dropDuplicates(["_id", "_k"]).select(*df.columns)
+    rows = wrapped(df, id=F.col(id_col).cast("long"), k=F.xxhash64(text_or_empty(F.col(text_col))))
+    joined = rows.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_tkey")))
+    return unwrapped(joined.dropDuplicates(["id", "k"]), df)

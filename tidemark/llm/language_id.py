@@ -11,13 +11,14 @@ Training is backpropagation through time on a bounded sample of labelled documen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import tokens
 
@@ -198,9 +199,11 @@ class Reader:
         return out / np.maximum(1, n)[:, None]
 
 
-def predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+def predictor(model: Model | None) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
+    """A function of batches (letters third, text fourth) to names and scores; it remembers windows."""
     reader = Reader(model) if model else None
-    for batch in batches:
+
+    def predicted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         letters = batch.column(2).to_numpy(zero_copy_only=False)
         names, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
         if reader and len(letters):
@@ -209,6 +212,15 @@ def predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[
             p /= p.sum(1, keepdims=True)
             names = np.where(letters, np.array(model.labels, dtype=object)[p.argmax(1)], "und")
             score = np.where(letters, p.max(1), 0.0)
+        return names, score
+
+    return predicted
+
+
+def predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
+    predicted = predictor(model)
+    for batch in batches:
+        names, score = predicted(batch)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"]
         )
@@ -251,3 +263,27 @@ def identify(
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.coalesce(t, F.lit("")).alias("text")
     ).mapInArrow(lambda it: predict(it, model), SCHEMA)
+
+
+def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_chars: int = 1000) -> DataFrame:
+    """``df`` without the rows whose language is ``und``; ``lang_col`` becomes the prediction, other columns stay.
+
+    Prediction and text travel in one map over the table, so no join by id is needed and repeated ids do no harm.
+    """
+    model = fit(df, id_col, text_col, lang_col, sample_docs, sample_chars)
+    t = F.col(text_col).cast("string")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    wide = df.select(
+        F.lit(0).cast("long").alias("_none"), F.lit(False).alias("_held"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.coalesce(t, F.lit("")).alias("_text"), row.alias("_row")
+    )
+
+    def with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = None
+        for batch in batches:
+            reader = reader or predictor(model)
+            names, _ = reader(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(4)], names=["_pred", "_row"])
+
+    schema = T.StructType([T.StructField("_pred", T.StringType()), T.StructField("_row", wide.schema["_row"].dataType)])
+    told = wide.mapInArrow(with_row, schema).filter(F.col("_pred") != "und")
+    return told.select(*[F.col("_pred").alias(c) if c == lang_col else F.col(f"_row.`{c}`") for c in df.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, ascii_lower, cut, text_or_empty
+from tidemark.llm.common import SPACE, ascii_lower, cut, text_or_empty, unwrapped, wrapped
 
 NO_ID = -(2**63)  # stands for a null doc_id: smaller than any other
 COLS = ["h1", "h2", "did", "th", "pos"]
@@ -185,10 +185,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def deduped_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``df`` with repeated lines taken out of its texts; its columns are kept, ``n_chars`` is renewed."""
-    out = with_bitmaps(df, id_col, text_col, min_chars, min_docs).withColumn(text_col, F.col("_kept"))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    rows = wrapped(df, id=F.col(id_col), text=F.col(text_col))
+    out = with_bitmaps(rows, "id", "text", min_chars, min_docs)
+    return unwrapped(out, df, **{text_col: F.col("_kept"), "n_chars": F.length("_kept")})
 
 
 ORACLE = r"""

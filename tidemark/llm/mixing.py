@@ -13,15 +13,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_or_empty
+from tidemark.llm.common import SPACE, cut, text_or_empty, unwrapped, wrapped
 
-WORD = r"[^\x20\x09-\x0D]+"
 KEYS = 65536  # distinct range positions: the first four hex digits of the key
 
 
-def n_words(text: Column) -> Column:
-    """Number of white-space separated words."""
-    return F.size(F.split(F.btrim(text_or_empty(text), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")).cast("long")
+def word_count(text: Column) -> Column:
+    """Number of words, runs outside ASCII white space."""
+    bare = F.btrim(text, F.lit(SPACE))
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
@@ -30,7 +30,7 @@ def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return df.select(
         F.col(id_col).alias("doc_id"),
-        F.when(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(0)).otherwise(n_words(t)).cast("long").alias("size"),
+        word_count(t).alias("size"),
         F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("skey"),
         key.alias("key"),
         F.conv(F.substring(key, 1, 4), 16, 10).cast("long").alias("slot"),
@@ -56,7 +56,8 @@ def targets(totals: DataFrame, weights: Sequence[float], share: float, max_epoch
         "level",
         (F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after),
     )
-    level = F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
+    # levels rise up to the first source that stays below its cap and fall after it
+    level = F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(whole)
     return t.select("skey", "source_size", F.least(F.col("cap"), F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
@@ -114,18 +115,16 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
         .agg(F.sum("taken").alias("_taken"), F.count("*").alias("_rows"))
         .select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken", "_rows")
     )
-    t = text_or_empty(F.col(text_col))
-    sized = df.withColumn("_n", F.when(F.btrim(t, F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(0)).otherwise(n_words(t)).cast("long"))
-    joined = sized.join(taken, sized[id_col].eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    words = F.floor(F.col("_taken") / F.col("_rows"))
-    pieces = joined.withColumn("_left", words).withColumn(
-        "_words", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.col("_left") / F.col("_size")).cast("int")), lambda i: F.least(F.col("_size"), F.col("_left") - (i - 1) * F.col("_size"))))
-    )
-    short = F.regexp_extract(t, F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_words").cast("string"), F.lit("}")), 0)
-    out = pieces.withColumn(text_col, F.when(F.col("_words") < F.col("_size"), short).otherwise(F.col(text_col)))
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    rows = wrapped(df, id=F.col(id_col), text=text_or_empty(F.col(text_col)))
+    sized = rows.withColumn("n", word_count(F.col("text")))
+    joined = sized.join(taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("n") == F.col("_size")))
+    left = F.floor(F.col("_taken") / F.col("_rows"))
+    epochs = F.sequence(F.lit(1), F.ceil(left / F.col("_size")).cast("int"))
+    pieces = joined.filter(left > 0).withColumn("words", F.explode(F.transform(epochs, lambda i: F.least(F.col("_size"), left - (i - 1) * F.col("_size")))))
+    runs = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))  # a word with the white space before it
+    short = F.array_join(F.slice(runs, F.lit(1), F.col("words").cast("int")), "")
+    out = pieces.withColumn("new", F.when(F.col("words") < F.col("_size"), short).otherwise(F.col("text")))
+    return unwrapped(out, df, **{text_col: F.col("new"), "n_chars": F.length("new")})
 
 
 ORACLE = r"""
@@ -139,7 +138,7 @@ WITH d AS (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x2
                       - coalesce(sum(cap) OVER (ORDER BY cap / w, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
                      / sum(w) OVER (ORDER BY cap / w, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
      g AS (SELECT skey, source_size,
-                  least(cap, coalesce(min(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target FROM l),
+                  least(cap, coalesce(max(CASE WHEN level * w <= cap THEN level END) OVER (), 'inf'::DOUBLE) * w) AS target FROM l),
      p AS (SELECT d.doc_id, d.size, g.source_size, g.target,
                   coalesce(sum(d.size) OVER (PARTITION BY d.skey ORDER BY d.key, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
                   CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS epochs
