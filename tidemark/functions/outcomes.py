@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.dates import rfc822
+
 # Failure classes by what may follow them.
 PROCEED_BY_DEFAULT = ("network_error", "timeout", "http_5xx")
 NEVER_PROCEED = ("blocked_by_robots", "ssrf_blocked", "not_found", "auth_required", "too_large", "captcha_challenge")
@@ -54,8 +56,8 @@ def may_proceed(failure: Column, proceed_on: Column) -> Column:
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait from a header: a number, or the distance to a date, 0 at least."""
     v = F.regexp_replace(value, r"^\s+|\s+$", "")
-    at = F.coalesce(F.try_to_timestamp(v, F.lit("EEE, dd MMM yyyy HH:mm:ss z")), F.when(v.rlike("^[0-9]{4}-"), F.try_to_timestamp(v)))
-    return F.when(v.rlike(r"^\d+$"), v.try_cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.unix_timestamp(at) - F.unix_timestamp(now)))
+    at = F.try_to_timestamp(F.coalesce(rfc822(v), F.when(v.rlike("^[0-9]{4}-"), v)))
+    return F.when(v.rlike(r"^\d+$"), v.try_cast("long")).otherwise(F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_timestamp(at) - F.unix_timestamp(now))))
 
 
 def backoff_ms(streak: Column, base: int = 10_000, most: int = 300_000) -> Column:
