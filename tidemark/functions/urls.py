@@ -19,12 +19,12 @@ def origin(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Host without user, port; brackets of an IPv6 address stay."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?+(\[[^\]]*\]|[^/?#:]*)", 1))
 
 
 def port(url: Column) -> Column:
     """The port as written, else that of the scheme; null where it is no number."""
-    written = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^/?#:]*):([^/?#]*)", 1)
+    written = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?+(?:\[[^\]]*\]|[^/?#:]*):([^/?#]*)", 1)
     return F.when(written == "", F.when(F.lower(url).startswith("https:"), 443).otherwise(80)).otherwise(written.try_cast("int"))
 
 
