@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, text, urls
+from tidemark.operators.differences import line_counts, unified
 from tidemark.operators.keyed import put_if_absent
 from tidemark.plans.bindings import CAPTURES, captures, table
 from tidemark.sources import pages
@@ -91,8 +92,6 @@ def raw_equal_captures(spark, sf_dir):
 
 
 def line_diff_counts(spark, sf_dir):
-    from tidemark.operators.differences import line_counts
-
     return line_counts(_edited(spark, sf_dir), "doc_id", "old", "new")
 
 
@@ -103,8 +102,6 @@ def _edited(spark, sf_dir):
 
 
 def line_diff_patch(spark, sf_dir):
-    from tidemark.operators.differences import unified
-
     return _edited(spark, sf_dir).select("doc_id", unified()("old", "new").alias("d")).select("doc_id", "d.*")
 
 
@@ -178,10 +175,7 @@ AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NU
     ),
     "line_diff_counts": (
         line_diff_counts,
-        """WITH o AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, 1 AS n, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
-l AS (SELECT doc_id, line, sum(CASE WHEN i % 3 = 2 THEN 1 ELSE 0 END) AS gone, max(i) AS last FROM o GROUP BY ALL),
-t AS (SELECT doc_id, max(last) AS last FROM l GROUP BY doc_id)
-SELECT doc_id, CAST(0 AS BIGINT) AS added, CAST(sum(gone) AS BIGINT) AS removed FROM l GROUP BY doc_id""",
+        """SELECT doc_id, CAST(0 AS BIGINT) AS added, CAST(len(string_split(text, chr(10))) // 3 AS BIGINT) AS removed FROM documents WHERE text IS NOT NULL""",
     ),
     "line_diff_patch": (line_diff_patch, None),
     "charset_decode": (charset_decode, "SELECT page_id, url AS text FROM pages"),

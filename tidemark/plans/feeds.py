@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, network, text, urls
@@ -89,7 +89,7 @@ def iso_dates(spark, sf_dir):
 
 def child_select(spark, sf_dir):
     """Children of each site's index: dated after the cutoff, file name by glob, then the 3 newest."""
-    c = _children(spark, sf_dir).filter((F.col("lastmod") >= "2024-01-12") & urls.glob_match(F.lit("page-*[02468].xml".replace("[02468]", "")), F.element_at(F.split("loc", "/"), -1), prefix=False))
+    c = _children(spark, sf_dir).filter((F.col("lastmod") >= "2024-01-12") & urls.glob_match(F.lit("page-*.xml"), F.element_at(F.split("loc", "/"), -1), prefix=False))
     return relations.within_budget(c, ["site_id"], [F.col("lastmod").desc(), "page_id"], 3).select("site_id", "page_id", "lastmod")
 
 
@@ -139,8 +139,8 @@ def sitemap_set_diff(spark, sf_dir):
 
 
 def title_enrich_budget(spark, sf_dir):
-    """Titles looked up for the first two new items of each monitor; the rest stay without."""
-    items = _items(spark, sf_dir).filter("pos % 2 = 1")
+    """Titles looked up for the first two items of each monitor; the rest stay without."""
+    items = _items(spark, sf_dir)
     chosen = relations.within_budget(items, ["monitor_id"], ["pos"], 2).select("monitor_id", "pos", ((F.col("monitor_id") * 3 + F.col("pos")) % 50).alias("page_id"))
     titles = b.table(spark, sf_dir, "pages").select("page_id", text.title_of(F.col("html")).alias("title"))
     return items.select("monitor_id", "pos").join(chosen.join(titles, "page_id", "left").drop("page_id"), ["monitor_id", "pos"], "left")
@@ -190,7 +190,7 @@ SELECT *, 'added' AS side FROM (SELECT * FROM z EXCEPT SELECT * FROM a) UNION AL
     ),
     "title_enrich_budget": (
         title_enrich_budget,
-        f"""WITH i AS (SELECT page_id AS monitor_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM {b.LINKS} WHERE pos % 2 = 1)
+        f"""WITH i AS (SELECT page_id AS monitor_id, pos, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM {b.LINKS})
 SELECT monitor_id, pos, nullif(left(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 512), '') AS title
 FROM i LEFT JOIN pages p ON i.n <= 2 AND p.page_id = (i.monitor_id * 3 + i.pos) % 50""",
     ),

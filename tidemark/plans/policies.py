@@ -39,8 +39,8 @@ def ssrf_static(spark, sf_dir):
 
 def dns_all_public(spark, sf_dir):
     """Sites by their answers: every address must be public, no answer is a refusal."""
-    c = b.table(spark, sf_dir, "customer")
-    answers = c.filter("c_custkey % 25 < 20").select(F.col("c_nationkey").alias("host"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 97 == 5, "10.0.0.1").otherwise("8.8.8.8").alias("ip"))
+    ip = F.when(F.col("s_suppkey") % 9 == 5, "10.0.0.1").otherwise("8.8.8.8")
+    answers = b.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("host"), F.col("s_suppkey").alias("pos"), ip.alias("ip"))
     hosts = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("host"))
     return policy.dns_verdict(hosts, answers, network.ipv4_class(network.ipv4(F.col("ip"))))
 
@@ -124,7 +124,7 @@ FROM (SELECT doc_id, ip, ip // 16777216 AS a, ip // 65536 % 256 AS b FROM (SELEC
     "dns_all_public": (
         dns_all_public,
         """SELECT n_nationkey AS host, CASE WHEN n IS NULL THEN 'dns_resolution_failed' WHEN bad THEN 'private' END AS reason FROM nation
-LEFT JOIN (SELECT c_nationkey, count(*) AS n, bool_or(c_custkey % 97 = 5) AS bad FROM customer WHERE c_custkey % 25 < 20 GROUP BY ALL) ON c_nationkey = n_nationkey""",
+LEFT JOIN (SELECT s_nationkey, count(*) AS n, bool_or(s_suppkey % 9 = 5) AS bad FROM supplier GROUP BY ALL) ON s_nationkey = n_nationkey""",
     ),
     "http_failure_class": (
         http_failure_class,

@@ -110,7 +110,7 @@ def target_upsert(spark, sf_dir):
 def watermark_advance(spark, sf_dir):
     a = b.attempts(spark, sf_dir)
     stored = a.filter("attempt_id % 2 = 0").groupBy("origin_id").agg(F.max("attempt_id").alias("mark"))
-    return keyed.advance_watermark(stored, a.filter("attempt_id % 3 = 1").select("origin_id", F.col("attempt_id").alias("mark")), ["origin_id"], "mark")
+    return keyed.advance_watermark(stored, a.filter("attempt_id % 2 = 1").select("origin_id", F.col("attempt_id").alias("mark")), ["origin_id"], "mark")
 
 
 def monitor_delete_cascade(spark, sf_dir):
@@ -131,8 +131,8 @@ def destination_archive(spark, sf_dir):
 
 
 def guard_children(spark, sf_dir):
-    """Destinations that may be deleted: those without deliveries."""
-    return keyed.without(b.destinations(spark, sf_dir), b.deliveries(spark, sf_dir).filter("change_id % 700 = 1"), ["destination_id"]).select("destination_id", "name")
+    """Changes that may be deleted: those without deliveries."""
+    return keyed.without(b.changes(spark, sf_dir), b.deliveries(spark, sf_dir), ["change_id"]).select("change_id", "kind")
 
 
 def monitor_policy_join(spark, sf_dir):
@@ -227,7 +227,7 @@ SELECT origin_id, coalesce(n.attempt_id, s.attempt_id) AS attempt_id, coalesce(n
     ),
     "watermark_advance": (
         watermark_advance,
-        f"""WITH a AS {b.ATTEMPTS} SELECT origin_id, greatest(max(attempt_id) FILTER (WHERE attempt_id % 2 = 0), max(attempt_id) FILTER (WHERE attempt_id % 3 = 1)) AS mark FROM a
+        f"""WITH a AS {b.ATTEMPTS} SELECT origin_id, greatest(max(attempt_id) FILTER (WHERE attempt_id % 2 = 0), max(attempt_id) FILTER (WHERE attempt_id % 2 = 1)) AS mark FROM a
 GROUP BY origin_id HAVING count(*) FILTER (WHERE attempt_id % 2 = 0) > 0""",
     ),
     "monitor_delete_cascade": (
@@ -241,7 +241,7 @@ SELECT 'deliveries', count(*) FROM {b.DELIVERIES} WHERE change_id NOT IN (SELECT
         f"""SELECT destination_id, strftime(gone_at, '%Y-%m-%d') AS archived_on, CASE WHEN gone_at IS NULL THEN name ELSE '' END AS secret
 FROM (SELECT *, coalesce(archived_at, CASE WHEN destination_id % 3 = 0 THEN TIMESTAMP '2024-06-01' END) AS gone_at FROM {b.DESTINATIONS})""",
     ),
-    "guard_children": (guard_children, f"SELECT destination_id, name FROM {b.DESTINATIONS} WHERE destination_id NOT IN (SELECT l_suppkey FROM lineitem WHERE l_orderkey % 700 = 1)"),
+    "guard_children": (guard_children, f"SELECT change_id, kind FROM {b.CHANGES} WHERE change_id NOT IN (SELECT l_orderkey FROM lineitem)"),
     "monitor_policy_join": (
         monitor_policy_join,
         """SELECT c_custkey AS monitor_id, coalesce(n, 0) AS n_fetchers, f AS first_fetcher, n IS NULL AS missing FROM customer
