@@ -72,8 +72,8 @@ def field_text(c: Column) -> Column:
     return strip_white(F.regexp_replace(F.regexp_replace(c, "(?i)&nbsp;|&#160;|&#xa0;|\u00a0", " "), r"\s+", " "))
 
 
-def compared(old: str, new: str) -> tuple[Column, Column]:
-    """(changed, level) of two struct columns with raw_hash, normalized_hash, text_hash: the cheapest equal hash decides."""
-    same = (F.col(f"{old}.raw_hash") == F.col(f"{new}.raw_hash")) | (F.col(f"{old}.normalized_hash") == F.col(f"{new}.normalized_hash"))
-    level = F.when(same, None).when(F.col(f"{old}.text_hash") == F.col(f"{new}.text_hash"), "normalized_hash").otherwise("text_hash")
+def compared(old: Column, new: Column) -> tuple[Column, Column]:
+    """(changed, level) of two structs with raw_hash, normalized_hash, text_hash: the cheapest equal hash decides."""
+    same = (old["raw_hash"] == new["raw_hash"]) | (old["normalized_hash"] == new["normalized_hash"])
+    level = F.when(same, None).when(old["text_hash"] == new["text_hash"], "normalized_hash").otherwise("text_hash")
     return ~same, level

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, text, urls
@@ -14,10 +14,10 @@ from tidemark.sources import pages
 
 def snapshots(rows: DataFrame) -> DataFrame:
     """Captures with normalized_html, extracted_text and three hashes."""
-    done = rows.withColumn("n", html.normalized(F.col("body"), F.col("url")))
+    done = rows.select(*rows.columns, F.inline(F.array(html.normalized(F.col("body"), F.col("url")))))
     return done.select(
-        *rows.columns, "n.normalized_html", "n.extracted_text", text.sha256(F.col("body")).alias("raw_hash"),
-        text.sha256(F.col("n.normalized_html")).alias("normalized_hash"), text.sha256(F.col("n.extracted_text")).alias("text_hash"),
+        *rows.columns, "normalized_html", "extracted_text", text.sha256(F.col("body")).alias("raw_hash"),
+        text.sha256(F.col("normalized_html")).alias("normalized_hash"), text.sha256(F.col("extracted_text")).alias("text_hash"),
     )
 
 
@@ -31,15 +31,17 @@ def page_changes(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("monitor_id").orderBy("round")
     raw = rows.withColumn("raw_hash", text.sha256(F.col("body")))
     pairs = raw.withColumns({"old_raw": F.lag("raw_hash").over(order), "old_body": F.lag("body").over(order)}).filter("old_raw is not null and old_raw <> raw_hash")
-    done = pairs.withColumns({"o": html.normalized(F.col("old_body"), F.col("url")), "n": html.normalized(F.col("body"), F.col("url"))})
-    hashed = done.select("monitor_id", "round", F.struct(F.col("old_raw").alias("raw_hash"), *_hashes("o")).alias("old"), F.struct("raw_hash", *_hashes("n")).alias("new"))
-    changed, level = text.compared("old", "new")
-    key = F.when(F.col("level") == "text_hash", F.col("new.text_hash")).otherwise(F.col("new.normalized_hash"))
-    return hashed.withColumn("level", level).filter(changed).select("monitor_id", "round", F.lit("updated").alias("kind"), "level", key.alias("dedupe_key"), F.col("new.normalized_hash").alias("normalized_hash"), F.col("new.text_hash").alias("text_hash"))
 
+    def hashes(raw_hash: str, n: Column) -> Column:
+        return F.struct(F.col(raw_hash).alias("raw_hash"), text.sha256(n["normalized_html"]).alias("normalized_hash"), text.sha256(n["extracted_text"]).alias("text_hash"))
 
-def _hashes(c: str) -> list:
-    return [text.sha256(F.col(f"{c}.normalized_html")).alias("normalized_hash"), text.sha256(F.col(f"{c}.extracted_text")).alias("text_hash")]
+    both = F.struct(html.normalized(F.col("old_body"), F.col("url")).alias("o"), html.normalized(F.col("body"), F.col("url")).alias("n"))
+    pair = text.let(both, lambda x: F.struct(hashes("old_raw", x["o"]).alias("old"), hashes("raw_hash", x["n"]).alias("new")))
+    # a generator keeps the optimizer from computing the pair once for the filter and once more for the result
+    found = pairs.select("monitor_id", "round", F.inline(F.filter(F.array(pair), lambda h: text.compared(h["old"], h["new"])[0])))
+    level = text.compared(F.col("old"), F.col("new"))[1]
+    key = F.when(level == "text_hash", F.col("new.text_hash")).otherwise(F.col("new.normalized_hash"))
+    return found.select("monitor_id", "round", F.lit("updated").alias("kind"), level.alias("level"), key.alias("dedupe_key"), "new.normalized_hash", "new.text_hash")
 
 
 def content_changes(spark, sf_dir):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import content, feeds, notify, policies, relational
+from tidemark.plans import check, content, feeds, notify, policies, relational
 
-GROUPS = (content, relational, policies, feeds, notify)
+GROUPS = (content, relational, policies, feeds, notify, check)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
