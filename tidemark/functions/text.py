@@ -72,6 +72,12 @@ def field_text(c: Column) -> Column:
     return strip_white(F.regexp_replace(F.regexp_replace(c, "(?i)&nbsp;|&#160;|&#xa0;|\u00a0", " "), r"\s+", " "))
 
 
+def fields_summary(fields: Column) -> Column:
+    """``name: value`` lines of array<struct<name, value>>; null if there is none. A null value is written as empty."""
+    lines = F.transform(fields, lambda x: F.concat(x["name"], F.lit(": "), F.coalesce(x["value"], F.lit(""))))
+    return F.when(F.size(fields) > 0, F.array_join(lines, "\n"))
+
+
 def compared(old: Column, new: Column) -> tuple[Column, Column]:
     """(changed, level) of two structs with raw_hash, normalized_hash, text_hash: the cheapest equal hash decides."""
     same = (old["raw_hash"] == new["raw_hash"]) | (old["normalized_hash"] == new["normalized_hash"])
