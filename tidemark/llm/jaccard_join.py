@@ -33,6 +33,7 @@ from tidemark.llm.components import components
 U64, U32 = np.uint64, np.uint64(32)
 RARE = 8  # an entry held by at most so many classes is followed pair by pair
 BLOCK = 256  # sets compared at once with as many others
+SHARED, LEAST_SHARED = 256, 997  # classes, on average at most, of the small clusters that share a task; such tasks at least
 GROUP_ENTRIES = 1 << 17  # index entries a task looks at
 FLUSH = 1 << 21  # index entries a task gathers before it deals them out
 MATRIX_COLS = 1 << 14
@@ -335,10 +336,10 @@ def compare(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
 
-def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int]) -> DataFrame:
+def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int], classes: int) -> DataFrame:
     """class, cluster, task: small clusters share tasks, large ones are cut into blocks that meet pair by pair.
 
-    Blocks hold sets of one size band; a block meets those of its own and the next band.
+    The number of shared tasks grows with ``classes``, the number of all classes. Blocks hold sets of one size band; a block meets those of its own and the next band.
     """
     band = F.aggregate(F.array(*[F.lit(u) for u in upper]), F.lit(0), lambda acc, u: acc + (u < F.col("n")).cast("int"))
     members = clusters.join(sizes, "class").withColumn("band", band)
@@ -350,7 +351,7 @@ def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int]) -> DataFrame:
         other = per_band.select("cluster", (F.col("band") - step).alias("band"), blocks.alias(name))
         own = own.join(other, ["cluster", "band"], "left")
     placed = members.join(per_cluster, "cluster")
-    small = placed.filter(F.col("members") <= BLOCK).select("class", "cluster", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(1 << 30)) % 997).alias("task"))
+    small = placed.filter(F.col("members") <= BLOCK).select("class", "cluster", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(max(LEAST_SHARED, classes // SHARED + 1)))).alias("task"))
     large = placed.filter(F.col("members") > BLOCK).join(own, ["cluster", "band"]).withColumn("k", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
     def name(low_band: Column, low: Column, high_band: Column, high: Column) -> Column:
@@ -387,7 +388,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, nu
         docs.select("text").mapInArrow(lambda it: index(it, words, plan), ENTRY_SCHEMA).groupBy("channel", "part").applyInArrow(meet, MET_SCHEMA)
     )
     clusters = components(candidate_edges(met)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    dealt = tasks(clusters, classes.select("class", "n"), upper)
+    dealt = tasks(clusters, classes.select("class", "n"), upper, sum(counts.values()))
     wanted = classes.join(clusters, "class").select(F.col("member.doc_id").alias("doc_id"), F.col("member.tkey").alias("tkey"))
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.tkey").eqNullSafe(F.col("w.tkey")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
     sets = cut(texts.mapInArrow(lambda it: emit_sets(it, words), "class long, elements binary").dropDuplicates(["class"]))
