@@ -9,9 +9,11 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from tidemark.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, pii, topk_search
+from tidemark.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, pii, tokens, topk_search
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -238,6 +240,44 @@ def test_jaccard_join_many_copies_and_a_common_passage(make):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in brute_components(rows)})
 
 
+def small_pairs(rng, count):
+    """Pairs of texts of 4 to 12 shingles that share no word with other pairs: words added before or behind."""
+    out = []
+    while len(out) < count:
+        n, k = rng.randint(4, 12), rng.randint(0, 3)
+        w = [f"p{len(out)}w{i}" for i in range(n + k + 4)]
+        pair = (" ".join(w[: n + 4]), " ".join(w)) if rng.random() < 0.5 else (" ".join(w[k:]), " ".join(w))
+        out.append(pair)
+    return out
+
+
+def test_jaccard_candidates_hold_every_small_pair_in_a_table_of_its_own(spark):
+    pairs, met, want = small_pairs(random.Random(1), 1500), [], set()
+    for texts in pairs:
+        a, b = map(shingles, texts)
+        if a == b or 100 * len(a & b) < 80 * len(a | b):
+            continue
+        batch = pa.RecordBatch.from_pylist([{"text": t} for t in texts])
+        data = next(iter(tokens.chunks(batch.column(0))))
+        classes = jaccard_join.class_ids(*jaccard_join.shingle_sets(data[2], data[3], 5))
+        want.add(tuple(sorted(classes.tolist())))
+        sizes = [len(a), len(b)]
+        counts = Counter(np.searchsorted(jaccard_join.band_limits(max(sizes), 80, 100), sizes).tolist())
+        plan = jaccard_join.allocate(counts, max(sizes), 80, 100, jaccard_join.GROUP_ENTRIES)
+        dealt = pa.Table.from_batches(jaccard_join.index(iter([batch]), 5, plan))
+        for key in {tuple(r.values()) for r in dealt.select(["channel", "part"]).to_pylist()}:
+            group = dealt.filter((pc.field("channel") == key[0]) & (pc.field("part") == key[1]))
+            met += jaccard_join.meet(tuple(pa.scalar(k) for k in key), group).to_pylist()
+    edges = jaccard_join.candidate_edges(spark.createDataFrame(pa.Table.from_pylist(met).to_pandas(), jaccard_join.MET_SCHEMA))
+    assert len(want) > 500 and want - {tuple(sorted((r.a, r.b))) for r in edges.collect()} == set()
+
+
+def test_jaccard_join_links_a_pair_of_which_one_hides_its_empty_segments(make):
+    words = [f"p444w{k}" for k in range(8)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "p444x0"]))]
+    same(rows_of(jaccard_join.jaccard_join(make(rows)), "doc_id", "n_shingles", "component_id"), brute_components(rows))
+
+
 # ------------------------------------------------------------------ personal data
 
 BASE = {

@@ -7,9 +7,10 @@ at least t + 1 units agree within their budget. A set is indexed under its segme
 their one-deletion neighbourhoods too. How many segments get which budget is chosen per band from the corpus' own counts by cost.
 
 The spare units t keep common index entries harmless without losing a pair: an entry
-held by many sets is followed only for sets with more than t units of such entries, as
+held by many sets is followed only for sets with more units of such entries than they need, as
 any other pair also meets in a rare one; and a pair met in rare entries only is dropped
-unless its units exceed t. What remains is grouped into clusters; inside a
+unless its units exceed the need of both. A set needs t units less those of its empty segments, which a set
+with at most t of them leaves out of the index: a pair cannot meet there, even if the other set shows its own. What remains is grouped into clusters; inside a
 cluster sets are compared exactly, block by block, as products of 0/1 matrices.
 
 Equal sets are one class from the start: all entries carry the class, never the document.
@@ -169,7 +170,7 @@ def entries_of(row: np.ndarray, h: np.ndarray, channel: np.ndarray, plan: Plan)
     weak_units = np.bincount(owner, weak * unit, minlength=len(channel)).astype(np.int64)
     spare = plan.spare[ch]
     shows_empty = weak_units > spare
-    need = np.clip(np.where(shows_empty, spare, spare - weak_units), 0, 127)
+    need = np.clip(spare - weak_units, 0, 127)  # 0 where empty segments show: a partner may hide as many as t units of them
     full = np.flatnonzero(size > 0)
     void = np.flatnonzero(weak & shows_empty[owner])
     cutable = is_near[gid] & (size[gid] > 1)
