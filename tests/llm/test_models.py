@@ -49,6 +49,32 @@ def test_html_article(spark):
     assert got[2].text == got[None].text == got[5].text == "" and got[2].n_chars == 0 and "broken page" in got[4].text + "broken page"
 
 
+@pytest.mark.parametrize(
+    ("put", "shown"),
+    [
+        ('<svg width="9"/>', ""), ("<svg viewBox='0 0 1 1' /><SVG/>", ""), ("<svg-icon name=x></svg-icon>", ""), ("<title-block></title-block><select-menu></select-menu>", ""),
+        ("<button-group></button-group>", ""), ("<script-loader></script-loader><style_x></style_x>", ""), ("<object data=x>", ""),
+        ("<template>", ""), ("<svg>", ""), ("<math/>", ""), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>", "x=1 "), ("<button>Share</button>", ""),
+        ("<svg><title>Icon</title><style/><text>Label</text><svg><g>In</g></svg>Out</svg>", ""), ("<template><div><p>Row <li>x</div> y</template>", ""), ("<textarea><p>Draft</p></textarea>", ""),
+    ],
+)
+def test_html_elements_that_are_no_text_end_where_they_end(put, shown):
+    w, trans = html_extract.train()
+    plain = html_extract.main_text(PAGE, w, trans)
+    assert "First paragraph" in plain and "ends here. One list item" in plain
+    assert html_extract.main_text(PAGE.replace("<p>First", f"<p>{put} First"), w, trans) == plain.replace("First", f"{shown}First")
+
+
+@pytest.mark.parametrize("put", ["<button>Share", "<select><option>One<option>Two", "<object data=x>", "<button>Share</button>"])
+def test_html_open_controls_end_with_the_next_block(put):
+    w, trans = html_extract.train()
+    assert html_extract.main_text(PAGE.replace("<p>First", f"{put}<p>First"), w, trans) == html_extract.main_text(PAGE, w, trans)
+
+
+def test_html_open_raw_text_runs_to_the_end():
+    assert [b[0] for b in html_extract.blocks("<p>a</p><script>if (x) <p>b</p></scripts>")] == ["a"]
+
+
 def test_html_labelled_pages_held_out():
     w, trans = html_extract.train()
     right = total = 0

@@ -29,10 +29,13 @@ BLOCK = set(
 )
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|button|svg|math|iframe|object|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>",
+    r"|<(?P<end>/?)(?P<tag>[a-z][\w:.-]*)(?P<attrs>(?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*+|[^>]*)>",
     re.I | re.S,
 )
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style noscript textarea iframe title".split()}  # their content is no markup
+HIDDEN = set("svg template annotation annotation-xml".split())  # their content is markup that is not read as text
+HIDDEN_END = re.compile(r"</(svg|template|annotation(?:-xml)?)(?=[\s/>])", re.I)
+CONTROL = set("button select option".split())  # inline, but their text is a block of its own
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tr": ("tr", ("table",))}
 WORD_KINDS = {
@@ -47,7 +50,7 @@ WORD_KINDS = {
     "main": "content article post entry story main body text article-body post-content entry-content maincontent prose",
 }
 KIND_OF = {w: k for k, words in WORD_KINDS.items() for w in words.split()}
-ANCESTORS = "nav header footer aside form article main section ul ol table dl figure blockquote pre details dialog".split()
+ANCESTORS = "nav header footer aside form article main section ul ol table dl figure blockquote pre details dialog button select".split()
 OWN = "h1 h2 h3 h4 h5 h6 p li td th dt dd pre div body article section blockquote figcaption span summary caption".split()
 NAMES = (
     ["bias"] + [f"in:{x}" for x in ANCESTORS] + [f"word:{x}" for x in WORD_KINDS] + [f"own:{x}" for x in OWN]
@@ -75,6 +78,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
     stack: list[tuple[str, frozenset]] = []
     parts: list[str] = []
     links = chars = at = 0
+    closed: dict[str, int] | None = None  # where the last end tag of each hidden element stands
 
     def flush() -> None:
         nonlocal links, chars
@@ -91,19 +95,19 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             if stack[k][0] in names:
                 del stack[k:]
                 return
-            if stack[k][0] in stops:
+            if stack[k][0] in stops or stack[k][0] == "template":
                 return
 
     def take(text: str) -> None:
         nonlocal links, chars
-        if text:
+        if text and not any(t in HIDDEN for t, _ in stack):
             parts.append(text)
             n = len(text.strip())
             chars += n
             if n and any(t == "a" for t, _ in stack):
                 links += n
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         take(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
@@ -113,7 +117,11 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in BLOCK:
+        if tag in RAW_END and not m["end"] and not (m["attrs"].endswith("/") and any(t in ("svg", "math") for t, _ in stack)):
+            over = RAW_END[tag].search(page, at)
+            at = over.end() if over else len(page)
+            continue
+        if tag in BLOCK or tag in CONTROL:
             flush()
         if m["end"]:
             if any(t == tag for t, _ in stack):
@@ -122,11 +130,16 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
             continue
         if tag in BLOCK:
             pop_to(("p",), ("div", "td", "li", "section", "article", "body", "blockquote"))
-            while stack and stack[-1][0] not in BLOCK:  # inline elements left open end with their block
+            while stack and stack[-1][0] not in BLOCK and stack[-1][0] != "template":  # inline elements left open end with their block
                 stack.pop()
         if tag in CLOSES:
             names, stops = CLOSES[tag]
             pop_to(tuple(names.split()), stops)
+        if tag in HIDDEN:
+            if closed is None:
+                closed = {e[1].lower(): e.start() for e in HIDDEN_END.finditer(page)}
+            if closed.get(tag, -1) < at:  # never closed: it hides nothing
+                continue
         if tag not in VOID and not m["attrs"].endswith("/"):
             stack.append((tag, kinds_of(m["attrs"])))
     take(page[at:])
@@ -194,9 +207,16 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, dict[str, int]]]:
         def para(main: int) -> str:
             n = int(some(2, 5, 15, 40, 90))
             body = text(n, main)
+            if maybe(0.05):
+                body += f" {control()} " + text(n, main)
             tag = some("p", "p", "p", "p", "div")
             return f"<{tag}>{body}" + ("" if tag == "p" and maybe(0.2) else f"</{tag}>")
 
+        def control() -> str:
+            if maybe(0.6):
+                return f"<button{some('', ' type=button')}>{text(int(rng.integers(1, 5)), 0, maybe(0.2))}</button>"
+            return "<select>" + "".join(f"<option>{text(int(rng.integers(1, 4)), 0, False)}</option>" for _ in range(int(rng.integers(1, 5)))) + "</select>"
+
         def menu(n: int) -> str:
             return "<ul>" + "".join(f'<li><a href="/x">{text(int(rng.integers(1, 3)), 0, maybe(0.1))}</a></li>' for _ in range(n)) + "</ul>"
 
@@ -209,6 +229,8 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, dict[str, int]]]:
                 return f'<div class="{some("share", "social-links", "share-bar")}">{menu(3)}</div>'
             if kind == "form":
                 return f'<form action="/s">{text(3, 0, False)}<input name="q">{para(0) if maybe(0.5) else ""}</form>'
+            if kind == "control":
+                return control()
             if kind == "side":
                 inner = f"<h3>{text(2, 0, False)}</h3>{some(menu(5), para(0), para(0) + para(0))}"
                 return some(f"<aside>{inner}</aside>", f'<div class="{some("sidebar", "widget", "related-posts", "right-rail")}">{inner}</div>', f'<aside class="sidebar">{inner}</aside>')
@@ -235,7 +257,7 @@ def labelled_pages(count: int, seed: int) -> list[tuple[str, dict[str, int]]]:
                 elif r < 0.94:
                     parts.append(f'<figure><img src="x"><figcaption>{text(6, 1)}</figcaption></figure>')
                 else:
-                    parts.append(boiler(some("ad", "notice", "share", "form", "ad")))
+                    parts.append(boiler(some("ad", "notice", "share", "form", "ad", "control", "control")))
             inner = "".join(parts)
             return some(
                 f"<article>{inner}</article>", f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>",
@@ -337,8 +359,9 @@ def extract_batches(batches: Iterator[pa.RecordBatch], w: list[float], trans: li
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points of text).
 
-    Null, empty and wholly non-textual pages have the empty text. Broken markup is read as far as it goes: an unclosed comment or
-    script runs to the end of the page. Repeated rows give repeated results, null ids and urls are kept, an
+    Null, empty and wholly non-textual pages have the empty text. Broken markup is read as far as it goes: an unclosed comment,
+    script, style, noscript, textarea, iframe or title runs to the end of the page. The content of these, of svg, template and
+    annotations of formulas is no text; buttons and selects are blocks that the model judges, objects and formulas belong to the text around them. Repeated rows give repeated results, null ids and urls are kept, an
     empty table gives an empty result, other columns are not read. A page must fit in a task's memory.
     """
     w, trans = train()
