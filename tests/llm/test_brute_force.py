@@ -278,6 +278,24 @@ def test_jaccard_join_links_a_pair_of_which_one_hides_its_empty_segments(make):
     same(rows_of(jaccard_join.jaccard_join(make(rows)), "doc_id", "n_shingles", "component_id"), brute_components(rows))
 
 
+def test_one_of_each_keeps_a_row_of_every_component_where_ids_are_null_or_repeated(make):
+    rng = random.Random(11)
+    blank = [(None, None), (None, ""), (None, " \n"), (7, ""), (7, ""), (7, None)]
+    rows = [(rng.choice([None, None, 7, 8, i]), " ".join(f"{'uv'[i % 2]}{i // 3 if i % 3 else i}w{k}" for k in range(30 + i % 3))) for i in range(150)]
+    rows += rows[:40] + [(None, "one two"), (7, "ONE two"), (7, "three"), (7, "four"), (None, "five"), (None, "five")]
+    got = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(make(rows + blank)).collect()]
+    same([r for r in got if not shingles(r[1])], blank)
+    # Components named by numbered rows instead of ids; of each the smallest id stays, null ids last.
+    components = defaultdict(list)
+    for (doc_id, text), (_, _, c) in zip(rows, brute_components([(i, t) for i, (_, t) in enumerate(rows)]), strict=True):
+        components[c].append((doc_id, text))
+    kept = [r for r in got if shingles(r[1])]
+    assert len(kept) == len(components) > 50
+    for members in components.values():
+        (one,) = [r for r in kept if r in members]
+        assert one[0] == min((d for d, _ in members if d is not None), default=None)
+
+
 # ------------------------------------------------------------------ personal data
 
 BASE = {

@@ -370,8 +370,11 @@ def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int], classes: int)
     return small.unionByName(large.select("class", "cluster", F.explode(met).alias("task")))
 
 
-def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, tkey, n_shingles, component_id for every row (tkey: a hash of the row's text)."""
+def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tkey, n_shingles, class of every row (tkey: a hash of its text), and class, first_id, member, label (of its component) of every class.
+
+    ``member`` is the class's row of smallest id, then text hash; null ids come last.
+    """
     t = text_or_empty(F.col(text_col))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("tkey"), t.alias("text"))
     described = cut(docs.mapInArrow(lambda it: describe(it, words), "doc_id long, tkey long, n_shingles long, class long"))
@@ -395,12 +398,8 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, words: int, nu
     sets = cut(texts.mapInArrow(lambda it: emit_sets(it, words), "class long, elements binary").dropDuplicates(["class"]))
     links = dealt.join(sets, "class").groupBy("task").applyInArrow(lambda x: compare(x, num, den), "a long, b long")
     linked = components(links)
-    labelled = classes.join(linked, F.col("class") == F.col("node"), "left").select("class", "first_id", F.coalesce("label", "class").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = labelled.join(smallest, "label").select("class", "component_id")
-    return described.join(named, "class", "left").select(
-        "doc_id", "tkey", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    labelled = classes.join(linked, F.col("class") == F.col("node"), "left").select("class", "first_id", "member", F.coalesce("label", "class").alias("label"))
+    return described, labelled
 
 
 def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -410,17 +409,23 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``words`` words is one shingle. Repeated rows fall into one class; null ids are never the
     smallest, a component of null ids alone has a null id. No rows give no rows; other columns are not read.
     """
-    return jaccard_components(df, id_col, text_col, words, num, den).drop("tkey")
+    described, labelled = labelled_classes(df, id_col, text_col, words, num, den)
+    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = labelled.join(smallest, "label").select("class", "component_id")
+    return described.join(named, "class", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``df`` with one document of each component: that of its smallest id (documents without words all stay).
+    """``df`` with one row of each component: that of its smallest id, then smallest text hash; null ids come last.
 
-    Of rows repeated under that id the first text by hash stays, once.
+    Rows without words all stay. Rows of one id, or without one, are kept or dropped by their own components.
     """
-    found = jaccard_components(df, id_col, text_col, words, num, den)
-    stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    keep = stay.groupBy(F.col("doc_id").alias("_id"), "n_shingles").agg(F.min("tkey").alias("_tkey")).groupBy("_id").agg(F.min("_tkey").alias("_tkey"))
-    rows = wrapped(df, id=F.col(id_col).cast("long"), k=F.xxhash64(text_or_empty(F.col(text_col))))
-    joined = rows.join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_tkey")))
-    return unwrapped(joined.dropDuplicates(["id", "k"]), df)
+    _, labelled = labelled_classes(df, id_col, text_col, words, num, den)
+    first = F.struct(F.col("member.doc_id").isNull(), "member.doc_id", "member.tkey")
+    keep = labelled.groupBy("label").agg(F.min_by("member", first).alias("member")).select(F.col("member.doc_id").alias("_id"), F.col("member.tkey").alias("_tkey"))
+    text = text_or_empty(F.col(text_col))
+    rows = wrapped(df, id=F.col(id_col).cast("long"), k=F.xxhash64(text), worded=text.rlike(r"[^\x20\x09-\x0D]"))
+    joined = rows.filter("worded").join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_tkey")))
+    return unwrapped(joined.select(*rows.columns).dropDuplicates(["id", "k"]).unionByName(rows.filter("not worded")), df)
