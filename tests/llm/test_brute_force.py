@@ -114,9 +114,8 @@ def test_packing(make):
     from tokenizers import Tokenizer
 
     bpe = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
     rng = random.Random(3)
-    rows = ODD + [(20, "<|endoftext|> x"), (21, "word " * 5000), (22, "w " * 2047), (23, "w " * 2046)] + [(100 + i, "some text " * int(rng.paretovariate(0.6)))[:2] for i in range(150)]
+    rows = ODD + [(20, "<|endoftext|>"), (24, "a <|endoftext|> b"), (25, "x\n \n  y \u00a0z \0 w"), (21, "word " * 5000), (22, "w " * 2047), (23, "w " * 2046)] + [(100 + i, "some text " * int(rng.paretovariate(0.6)))[:2] for i in range(150)]
     got = packing.pack(make(rows)).collect()
     want = Counter()
     for doc_id, text in rows:
@@ -140,6 +139,33 @@ def test_packing(make):
     assert len(bins) <= math.ceil(sum(r.length for r in got) / 2048) + 1
 
 
+def test_encoder_equals_tokenizers_on_any_spacing_and_code_point():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    bpe, rng = Tokenizer.from_file(path("byte_bpe_50k.json")), random.Random(8)
+    pool = ["a", "word", "  ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\u200b", "\u3000", "é", "'s", "1", "23", "!!", "<|endoftext|>", "\0", "\U0001f600"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(1, 0x3000)]
+    got = packing.Encoder("byte_bpe_50k.json").encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in bpe.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(
+    "bins",
+    [
+        [[400], [1600, 40], [2000]],  # a move
+        [[500], [1148, 420, 400], [1628]],  # one for one, then a move
+        [[300, 290], [1200, 520, 300], [1528]],  # two for one
+        [[900], [500, 380, 1100], [1548], [1668]],  # one for two
+    ],
+)
+def test_local_search_empties_a_bin_by_each_exchange(bins):
+    lengths = np.array([n for b in bins for n in b])
+    at = iter(range(len(lengths)))
+    assert len(packing.local_search([[next(at) for _ in b] for b in bins], lengths, 2048)) == len(bins) - 1
+
+
 def test_local_search_only_improves():
     rng = np.random.default_rng(0)
     for _ in range(20):

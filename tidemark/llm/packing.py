@@ -7,9 +7,9 @@ costs at most one badly filled sequence. No task or driver sees more than a batc
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,18 +21,109 @@ from tidemark.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-_ENCODERS: dict[str, object] = {}
+REMEMBERED = 1 << 19  # segments and words a task remembers before it starts anew
+TOGETHER = 1 << 20  # characters looked up together
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str):
-    """A byte-level BPE encoder from a file of ranks (the vocabulary of the json file of the same name); once per worker."""
-    if vocabulary not in _ENCODERS:
+def byte_alphabet() -> dict[int, int]:
+    """Bytes to the characters that byte-level vocabularies write them as: printable ones as they are, others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: b if b in plain else next(others) for b in range(256)}
+
+
+class Remembered(dict):
+    """Numbers keys in the order they are met, and has their ids in two flat arrays once they are learned."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def __missing__(self, key: str) -> int:
+        self.fresh.append(key)
+        self[key] = number = len(self)
+        return number
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the fresh keys in a row, and how many each has."""
+        self.ids = np.r_[self.ids, ids.astype(np.uint32)]
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int64)]
+        self.fresh = []
+
+    def ids_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys at these numbers in a row, and where each key's end."""
+        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Encoder:
+    """Ids of whole texts by the model of ``tokenizers``; every distinct word goes through it once and is remembered.
+
+    The vocabulary's pattern cuts a text into words, and words are encoded each on its own. As the pattern starts a new
+    word at the last space before a non-space, texts are first cut there into segments, which are remembered
+    too. Texts in which other white space follows a space, or that hold the spelling of a special token, are encoded in one piece.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
         import public_tokenizers
-        import tiktoken
+        import regex
+        from tokenizers import Tokenizer
+
+        self.bpe = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        special = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([r" (?=\s)", "\0", *map(re.escape, special)]))
+        self.split: Callable[[str], list[str]] = regex.compile(public_tokenizers.PATTERN).findall
+        self.model, self.alphabet = self.bpe.model, byte_alphabet()
+        self.segments, self.words = Remembered(), Remembered()
+
+    def words_of(self, segment: str) -> list[str]:
+        """A segment's words; letters alone, after a space or not, are one."""
+        return [segment] if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.split(segment)
 
-        with open(public_tokenizers.path(vocabulary), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def learn(self, segments: list[str]) -> None:
+        if len(self.words) >= REMEMBERED:
+            self.words = Remembered()
+        cut_up = [self.words_of(x) for x in segments]
+        at = np.fromiter((self.words[w] for x in cut_up for w in x), np.int64)
+        new = [self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet)) for w in self.words.fresh]
+        self.words.learn(np.fromiter((t.id for x in new for t in x), np.uint32), np.array([len(x) for x in new], np.int64))
+        ids, ends = self.words.ids_of(at)
+        self.segments.learn(ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, cut_up)])]))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        a = 0
+        while a < len(texts):
+            b, size = a + 1, len(texts[a])
+            while b < len(texts) and size + len(texts[b]) <= TOGETHER:
+                size += len(texts[b])
+                b += 1
+            out += self.encode_some(texts[a:b])
+            a = b
+        return out
+
+    def encode_some(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.segments) >= REMEMBERED:
+            self.segments = Remembered()
+        odd = {k for k, x in enumerate(texts) if self.whole.search(x)}
+        cut_up = [[] if k in odd else x.replace(" ", "\0 ").split("\0") for k, x in enumerate(texts)]
+        at = np.fromiter((self.segments[x] for parts in cut_up for x in parts), np.int64)
+        if self.segments.fresh:
+            self.learn(self.segments.fresh)
+        ids, ends = self.segments.ids_of(at)
+        last = np.r_[0, ends][np.cumsum([0, *map(len, cut_up)])]
+        found = [ids[s:e] for s, e in zip(last, last[1:], strict=False)]
+        for k in odd:
+            found[k] = np.array(self.bpe.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        return found
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder per worker."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
 
 
@@ -45,8 +136,9 @@ def tokenise(batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, end_
     enc = encoder(vocabulary)
     for batch in batches:
         out: list[tuple] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = np.append(enc.encode_to_numpy(text.as_py() or "", disallowed_special=()).astype("<u4"), np.uint32(end_id)).astype("<u4")
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        for doc_id, found in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+            ids = np.append(found, np.uint32(end_id)).astype("<u4")
             borders = cut_points(len(ids), size)
             for k, (a, b) in enumerate(zip(borders, borders[1:], strict=False)):
                 out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
@@ -81,13 +173,13 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, patience: int = 48) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Empty the least filled bins by moves and swaps that raise the sum of squared fills.
 
-    Takes the emptiest underfull bin and, as long as one applies, moves one of its items to a bin
-    with room, swaps one item for a smaller one, two of its items for one smaller in sum, or one for
-    two smaller in sum. The partner bin is never less filled and gains, so squared fill grows with
-    every step and the search ends. Stops at the lower bound or after ``patience`` bins that stay.
+    Bins are taken from the emptiest; as long as one applies, one of the bin's items moves to a bin with room, one item
+    is swapped for a smaller one, two for one smaller in sum, or one for two smaller in sum of one bin. All items, pairs
+    of items and partner bins are tried. The partner is never less filled and gains, so squared fill grows with every
+    step. Ends at the lower bound of bins, or when a whole pass over all underfull bins applies nothing.
     """
     least = -(-int(lengths.sum()) // size)
     fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
@@ -96,72 +188,79 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, patience
     home = np.array([b for b in open_bins for _ in bins[b]], dtype=np.int64)
     where = {int(i): k for k, i in enumerate(item)}
     long = lengths[item].astype(np.int64) if len(item) else np.zeros(0, np.int64)
-    alive, failures = len(bins), 0
-    tried: set[int] = set()
+    alive = len(bins)
+    pairs: dict[int, np.ndarray] = {}  # of each bin: sum and items of its pairs, one for each two lengths
+    table: np.ndarray | None = None
 
     def shift(i: int, to: int) -> None:
+        nonlocal table
         k = where[i]
+        pairs.pop(int(home[k]), None)
+        pairs.pop(to, None)
+        table = None
         bins[home[k]].remove(i)
         fill[home[k]] -= lengths[i]
         bins[to].append(i)
         fill[to] += lengths[i]
         home[k] = to
 
+    def by_length(b: int) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for i in sorted(bins[b], key=lambda i: -int(lengths[i])):
+            out.setdefault(int(lengths[i]), []).append(i)
+        return out
+
+    def pairs_of(b: int) -> np.ndarray:
+        if b not in pairs:
+            groups = list(by_length(b).values())
+            two = [(g[0], g[1]) for g in groups if len(g) > 1] + [(g[0], h[0]) for k, g in enumerate(groups) for h in groups[k + 1 :]]
+            pairs[b] = np.array([(b, lengths[i] + lengths[j], i, j) for i, j in two], np.int64).reshape(-1, 4)
+        return pairs[b]
+
     def step(b: int) -> bool:
-        own = sorted(bins[b], key=lambda i: -int(lengths[i]))
+        nonlocal table
+        own = [g[0] for g in by_length(b).values()]  # items of one length are alike
         room = size - fill[home]
         other = (home != b) & (fill[home] >= fill[b])
-        for x, i in enumerate(own):
+        for i in own:
             n = int(lengths[i])
             ok = other & (room >= n)
             if ok.any():
                 shift(i, int(home[np.argmin(np.where(ok, room, size + 1))]))
                 return True
-            gain = n - long
+        for out in [(i,) for i in own] + [(int(i), int(j)) for _, _, i, j in pairs_of(b)]:  # one or two for one
+            gain = sum(int(lengths[i]) for i in out) - long
             ok = other & (gain > 0) & (gain <= room)
             if ok.any():
                 k = int(np.argmax(np.where(ok, gain, -1)))
                 j, to = int(item[k]), int(home[k])
                 shift(j, b)
+                for i in out:
+                    shift(i, to)
+                return True
+        if table is None:
+            table = np.concatenate([pairs_of(x) for x in open_bins if bins[x]])
+        rest = (table[:, 0] != b) & (fill[table[:, 0]] >= fill[b])
+        for i in own:  # one for two
+            gain = int(lengths[i]) - table[:, 1]
+            ok = rest & (gain > 0) & (gain <= size - fill[table[:, 0]])
+            if ok.any():
+                to, _, j, k = table[int(np.argmax(np.where(ok, gain, -1)))].tolist()
+                shift(j, b)
+                shift(k, b)
                 shift(i, to)
                 return True
-            for i2 in own[x + 1 : x + 4]:  # two for one
-                gain = n + int(lengths[i2]) - long
-                ok = other & (gain > 0) & (gain <= room)
-                if ok.any():
-                    k = int(np.argmax(np.where(ok, gain, -1)))
-                    j, to = int(item[k]), int(home[k])
-                    shift(j, b)
-                    shift(i, to)
-                    shift(i2, to)
-                    return True
-        for i in own[:2]:  # one for two smaller in sum, both from one bin
-            n = int(lengths[i])
-            for to in np.unique(home[other & (long < n)])[:256].tolist():
-                got = sorted((int(j) for j in bins[to]), key=lambda j: int(lengths[j]))
-                for a in range(len(got) - 1):
-                    gain = n - int(lengths[got[a]]) - int(lengths[got[a + 1]])
-                    if 0 < gain <= size - fill[to]:
-                        shift(got[a], b)
-                        shift(got[a + 1], b)
-                        shift(i, to)
-                        return True
         return False
 
-    while alive > least and failures < patience:
-        left = [b for b in open_bins if bins[b] and b not in tried]
-        if not left:
-            break
-        b = min(left, key=lambda x: (fill[x], x))
-        while bins[b] and step(b):
-            pass
-        if bins[b]:
-            tried.add(b)
-            failures += 1
-        else:
-            alive -= 1
-            failures = 0
-            tried.clear()
+    moved = True
+    while moved and alive > least:
+        moved = False
+        for b in sorted((b for b in open_bins if bins[b]), key=lambda b: (fill[b], b)):
+            while bins[b] and step(b):
+                moved = True
+            alive -= not bins[b]
+            if alive == least:
+                break
     return [b for b in bins if b]
 
 
@@ -183,7 +282,7 @@ def pack(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    vocabulary: str = "byte_bpe_50k.tiktoken",
+    vocabulary: str = "byte_bpe_50k.json",
     size: int = 2048,
     end_id: int = 0,
     group_rows: int = 16384,
@@ -191,7 +290,8 @@ def pack(
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``df`` is a document: null and empty texts are the end id alone, repeated rows are
-    packed once each, null ids stay null. Texts are tokenised whole; one text must fit in a
+    packed once each, null ids stay null. Ids are those of ``tokenizers`` without added special tokens; the spelling of a
+    special token inside a text is that token, as the vocabulary file has it. Texts are tokenised whole; one text must fit in a
     task's memory. Equal lengths are ordered by id, so a rerun packs alike. An empty table gives no
     rows; other columns are not read. Groups hold ``group_rows`` pieces on average, at random.
     """
