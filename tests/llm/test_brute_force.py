@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard_join, license_scan, line_dedup, mixing, packing, pii, tokens, topk_search
 
@@ -364,12 +366,55 @@ def test_pii_base_spans(make):
 
 
 def test_pii_finds_more_than_the_base_and_redacts(make):
-    df = make([(1, "write to john (at) mail (dot) com now"), (2, "the meeting at noon dot product of 2024-05-06 and 12.05.2023"), (3, "mail a@b.de here")])
+    df = make([(1, "write to john (at) mail (dot) com now"), (2, "the meeting at noon dot product of 2024-05-06 and 12.05.2023"), (3, "mail a@b.de here"), (4, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", b'), (5, "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff"), (6, "and 4785380592391138 went"), (7, "order 4785380592391138 went")])
     got = {r.doc_id: r for r in pii.find_pii(df).collect()}
     assert got[1].spans.startswith("email:") and got[2].spans == ""
+    assert got[4].spans == "secret:11:51" and got[4].n_secret == got[4].n_spans == 1 and got[5].spans == ""
+    assert got[6].spans == "card:4:20" and got[6].n_card == 0 and got[7].spans == ""
     assert {r.doc_id: r.text for r in pii.redact(df).collect()}[3] == "mail [EMAIL] here"
 
 
+def test_pii_held_out_precision_and_recall(spark):
+    trees, cuts = pii.fit(spark)
+    cases = pii.examples(1500, 77)
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.spans.split(","))) for r in pii.find_pii(df).collect()}
+    chosen = [(any(s.startswith(kind) for s in got[i]), bool(good)) for i, (_, kind, good) in enumerate(cases)]
+    hits = sum(a and b for a, b in chosen)
+    assert hits >= 0.97 * sum(a for a, _ in chosen) and hits >= 0.85 * sum(b for _, b in chosen)
+
+
+def test_pii_choice_between_overlapping_spans(spark):
+    """Running values and the choice rule against plain loops."""
+    rng = random.Random(6)
+    cases = []
+    for i in range(60):
+        spans = {True: [], False: []}
+        for base in (True, False):
+            for k in range(4):
+                at = rng.randint(0, 30)
+                for _ in range(rng.choice([0, 1, 5, 90])):
+                    e = at + rng.randint(5, 60)
+                    spans[base].append((at, k, e, "x", 1.0 if base else float(rng.randint(0, 3))))
+                    at = e + rng.choice([0, 1, 40, 400])
+        cases.append((i, sorted(spans[True]), sorted(spans[False])))
+    kind = "array<struct<s:bigint,k:int,e:bigint,kind:string,score:double>>"
+    df = spark.createDataFrame(cases, f"i int, base {kind}, wide {kind}")
+    got = {r.i: [tuple(x) for x in r.out] for r in df.select("i", pii.best_of(pii.free_of_base(F.col("base"), F.col("wide"))).alias("out")).collect()}
+    meet = lambda a, b: a[0] < b[2] and b[0] < a[2]
+    for i, base, wide in cases:
+        free = [x for x in wide if not any(meet(x, b) for b in base)]
+        assert got[i] == [x for x in free if not any(meet(x, y) and (-y[4], y[:2]) < (-x[4], x[:2]) for y in free)]
+    sums = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 127, 128, 129, 1000)], "v array<bigint>").select(pii.running(F.col("v"), pii.plus).alias("r"))
+    assert [r.r for r in sums.collect()] == [np.cumsum(range(n)).tolist() for n in (0, 1, 127, 128, 129, 1000)]
+
+
+def test_pii_many_matches_in_one_text(make):
+    began, n = time.time(), 16_000
+    (r,) = pii.find_pii(make([(1, "x@y.de 1.2.3.4 " * (n // 2))])).collect()
+    assert (r.n_email, r.n_ip, r.n_spans) == (n // 2, n // 2, n) and time.time() - began < 60
+
+
 # ------------------------------------------------------------------ license scan
 
 
