@@ -7,9 +7,9 @@ costs at most one badly filled sequence. No task or driver sees more than a batc
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ from tidemark.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-REMEMBERED = 1 << 19  # segments and words a task remembers before it starts anew
+REMEMBERED = 1 << 20  # segments and words a task remembers before it starts anew
 TOGETHER = 1 << 20  # characters looked up together
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -72,11 +72,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.bpe = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        special = [t.content for t in self.bpe.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?=\s)", "\0", *map(re.escape, special)]))
+        self.special = ["\0", *(t.content for t in self.bpe.get_added_tokens_decoder().values())]
         self.split: Callable[[str], list[str]] = regex.compile(public_tokenizers.PATTERN).findall
         self.model, self.alphabet = self.bpe.model, byte_alphabet()
         self.segments, self.words = Remembered(), Remembered()
+        self.spaced = np.zeros(0, bool)  # segments that are a space before white space
 
     def words_of(self, segment: str) -> list[str]:
         """A segment's words; letters alone, after a space or not, are one."""
@@ -90,6 +90,7 @@ class Encoder:
         new = [self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet)) for w in self.words.fresh]
         self.words.learn(np.fromiter((t.id for x in new for t in x), np.uint32), np.array([len(x) for x in new], np.int64))
         ids, ends = self.words.ids_of(at)
+        self.spaced = np.r_[self.spaced, np.array([x == " " or (x[:1] == " " and x[1].isspace()) for x in segments], bool)]
         self.segments.learn(ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, cut_up)])]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -106,12 +107,14 @@ class Encoder:
 
     def encode_some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.segments) >= REMEMBERED:
-            self.segments = Remembered()
-        odd = {k for k, x in enumerate(texts) if self.whole.search(x)}
+            self.segments, self.spaced = Remembered(), np.zeros(0, bool)
+        odd = {k for k, x in enumerate(texts) if any(t in x for t in self.special)}
         cut_up = [[] if k in odd else x.replace(" ", "\0 ").split("\0") for k, x in enumerate(texts)]
-        at = np.fromiter((self.segments[x] for parts in cut_up for x in parts), np.int64)
+        at = np.fromiter(map(self.segments.__getitem__, chain.from_iterable(cut_up)), np.int64)
         if self.segments.fresh:
             self.learn(self.segments.fresh)
+        owner = np.repeat(np.arange(len(texts)), list(map(len, cut_up)))
+        odd.update(np.unique(owner[self.spaced[at]]).tolist())
         ids, ends = self.segments.ids_of(at)
         last = np.r_[0, ends][np.cumsum([0, *map(len, cut_up)])]
         found = [ids[s:e] for s, e in zip(last, last[1:], strict=False)]
