@@ -1,23 +1,23 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every row becomes a digest record. Records are dealt to ``runs`` runs; each round merges
-``fan_in`` runs into one by (digest, run group), keeping for every digest the smallest
-identifier by (longest original text, doc_id) and the number of rows behind it. The
-aggregate over a struct is sort-based, so each task merges sorted digest runs; identical
-texts are combined inside every task before they are exchanged, so a text that fills a third of
-the corpus arrives at each round as one record per run. Only digest records move, never texts.
+Every row becomes a digest record of a run; runs are the input's partitions, numbered modulo ``runs``. Each run is
+first sorted and merged where it stands, so a text that fills a third of the corpus leaves its run once per task.
+Then runs are merged in binomial rounds: the run whose number has the round's bit set is sent to the one without it,
+both are ranged by (run, digest) over the partitions, every partition sorts what came to it and merges equal
+digests from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and
+the number of rows behind it. After the last round one run is left, sorted by digest over all partitions. Only digest
+records move, never texts; a digest counts as equal if a second hash and the length agree too.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, text_or_empty
 
 WHITE = r"[\x20\x09-\x0D]"
+KEY = ["digest", "check", "n_norm"]
 
 
 def normalised(text: Column) -> Column:
@@ -25,13 +25,14 @@ def normalised(text: Column) -> Column:
 
 
 def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, rid, digest, check, n_norm, n_chars: one record per row, 32-byte digest plus an independent check."""
+    """doc_id, rid, home, digest, check, n_norm, n_chars: one record per row, 32-byte digest plus an independent check."""
     return (
         df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("t"))
         .select("doc_id", "t", normalised(F.col("t")).alias("norm"))
         .select(
             "doc_id",
             F.monotonically_increasing_id().alias("rid"),
+            F.spark_partition_id().alias("home"),
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.xxhash64("norm").alias("check"),
             F.length("norm").cast("long").alias("n_norm"),
@@ -40,21 +41,22 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def merge_runs(records: DataFrame, runs: int, fan_in: int) -> DataFrame:
-    """Binomial rounds: ``runs`` runs become one; every level keeps the smallest verified identifier."""
-    key = ["digest", "check", "n_norm"]
+def merged(level: DataFrame) -> DataFrame:
+    """Equal digests of a run as one record; partitions that are ranged and sorted by these keys are merged as they stand."""
+    return level.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
+def merge_runs(records: DataFrame, rounds: int) -> DataFrame:
+    """Binomial rounds: two to the power of ``rounds`` runs become one; every level keeps the smallest verified identifier."""
     best = F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    level = records.select(*key, best.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod(F.xxhash64("rid"), F.lit(runs)).alias("run"))
-    for _ in range(math.ceil(math.log(runs, fan_in))):
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("long"))
-            .groupBy(*key, "run")
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        )
-    return level.select(*key, F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("n").alias("group_size"))
+    level = merged(records.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod("home", F.lit(1 << rounds)).alias("run")))
+    for _ in range(rounds):
+        level = level.withColumn("run", F.shiftright("run", 1))
+        level = merged(level.repartitionByRange("run", *KEY).sortWithinPartitions("run", *KEY))
+    return level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, so all empty and null texts form one group. Among equal texts the
@@ -66,8 +68,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     unique on the right, so adaptive execution can split that partition.
     """
     records = cut(digests(df, id_col, text_col))
-    winners = merge_runs(records, runs, fan_in)
-    return records.join(winners, ["digest", "check", "n_norm"]).select(
+    winners = merge_runs(records, rounds)
+    return records.join(winners, KEY).select(
         "doc_id",
         "keep_id",
         "group_size",
