@@ -430,16 +430,51 @@ def brute_license(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def brute_spans(text):
+    """label:start:end of all spans by counting words, from the rule alone."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW)), []
+    for t, label, base in license_scan.templates():
+        k = 2 if base else 3
+        hits = defaultdict(list)
+        for p in range(len(words) - k + 1):
+            for q in range(len(t) - k + 1):
+                if words[p : p + k] == t[q : q + k]:
+                    hits[p - q].append((p, q))
+        groups = []
+        for d in sorted(hits):
+            if base or not groups or d - groups[-1][0] > 2:
+                groups.append([d, []])
+            groups[-1][0] = d
+            groups[-1][1] += hits[d]
+        for _, found in groups:
+            ps, qs = ({x + i for x in side for i in range(k)} for side in zip(*found, strict=True))
+            start, end, part = min(ps), max(ps) + 1, max(qs) - min(qs) + 1
+            same = min(len(ps), len(qs))
+            if (base and same == len(t)) or (not base and same >= 0.7 * max(end - start, part) and part >= min(len(t), 8)):
+                out.append((start, end, label))
+    return ",".join(f"{x[2]}:{x[0]}:{x[1]}" for x in sorted(out))
+
+
 def test_license_scan(make):
     rng = random.Random(4)
-    pool = "gnu general public license apache cc by mit MIT License the é 7".split()
+    pool = "gnu general public license apache cc by nc mit MIT License the é 7".split()
     notice = license_scan.NOTICES[0][0]
     rows = ODD + [(100 + i, " ".join(rng.choice(pool) + rng.choice(["", ".", "-"]) for _ in range(rng.randint(0, 25)))) for i in range(200)]
-    rows += [(900, f"x {notice} y"), (901, notice.replace("obtaining a copy", "who is obtaining one copy")), (902, "permission is granted to no one")]
+    rows += [(900, f"x {notice} y"), (901, notice.replace("obtaining a copy", "who is obtaining one copy")), (902, "permission is granted to no one"), (903, " ".join(notice.split()[:12])), (904, " ".join(notice.split()[:6]))]
+    for i in range(150):  # notices with words dropped, changed and put in
+        w = rng.choice(license_scan.NOTICES)[0].split()
+        for _ in range(rng.randint(0, len(w) // 3)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = [rng.choice(["zz", "the", "of"])] * rng.randint(0, 2)
+            w = w or ["x"]
+        rows.append((1000 + i, "lead in " * rng.randint(0, 3) + " ".join(w[rng.randint(0, 3) :])))
     got = license_scan.license_scan(make(rows))
     same(rows_of(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"), [(d, *brute_license(t)) for d, t in rows])
-    labels = {r.doc_id: (r.labels, r.score) for r in got.collect()}
-    assert labels[900] == ("mit", 1.0) and labels[901][0] == "mit" and 0.7 <= labels[901][1] < 1 and labels[902] == ("", 0.0)
+    same(rows_of(got, "doc_id", "spans"), [(d, brute_spans(t)) for d, t in rows])
+    found = {r.doc_id: (r.labels, r.score, r.spans) for r in got.collect()}
+    n = len(license_scan.templates()[4][0])
+    assert found[900] == ("mit", 1.0, f"mit:1:{n + 1}") and found[901][0] == "mit" and 0.7 <= found[901][1] < 1
+    assert found[902] == ("", 0.0, "") and found[903] == ("mit", 1.0, "mit:0:12") and found[904] == ("", 0.0, "")
 
 
 # ------------------------------------------------------------------ top-k search
