@@ -1,5 +1,7 @@
 """Trained operators on held-out data, and every operator on empty tables and clashing columns."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +29,36 @@ def test_language_held_out_accuracy(spark, small):
     assert all(0 <= r.score <= 1 for r in got.collect())
 
 
+def test_language_windows_read_every_byte_once():
+    """Texts read window by window, side by side, against one text and one byte after the other."""
+    rng = np.random.default_rng(1)
+    m = language_id.train(["abc def " * 40, "xyz é " * 50], ["a", "b"], steps=3)
+    texts = ["", "a", "é" * 5, *("".join(rng.choice(list("ab é\n"), n)) for n in (255, 256, 257, 511, 512, 513, 700, 3000))]
+    got = language_id.pooled(m, pa.array(texts))
+    for k, text in enumerate(texts):
+        d, total = np.frombuffer(text.encode(), np.uint8), np.zeros(2)
+        for s in range(0, len(d), language_id.WINDOW):
+            e = min(len(d), s + language_id.WINDOW)
+            low, high = max(0, s - language_id.LEAD), min(len(d), e + language_id.LEAD)
+            ahead, behind = m.forward.run(d[None, low:e])[0][s - low :, 0], m.back.run(d[None, s:high][:, ::-1])[0][high - e :, 0][::-1]
+            z = np.concatenate([ahead, behind], axis=1) @ m.w + m.c
+            total += (z - np.log(np.exp(z).sum(1, keepdims=True))).sum(0)
+        assert np.allclose(got[k], total / max(1, len(d)), atol=1e-5)
+
+
+def test_language_learns_from_whole_texts_and_rare_languages(make):
+    """What tells two languages apart stands behind 5,000 equal characters; a rare language is learned beside a common one."""
+    rows = [(i, "lorem ipsum " * 450 + "uvuv wuvu " * 60, "s", "x") for i in range(24)] + [(100 + i, "lorem ipsum " * 450 + "oko poko " * 60, "s", "y") for i in range(24)]
+    rows += [(1000 + i, "lorem ipsum uvuv wuvu", "s", "x") for i in range(400)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(make(rows), sample_docs=40).collect()}
+    assert all(got[i] == "x" and got[100 + i] == "y" for i in range(24))
+
+
+def test_language_stage_without_labels_keeps_texts_with_letters(make):
+    got = language_id.identified_documents(make([(1, "text", "s", None), (2, "12", "s", None), (3, None, "s", None)])).collect()
+    assert [(r.doc_id, r.lang) for r in got] == [(1, None)]
+
+
 def test_language_edges(make):
     rows = [(i, "the house and the garden " * 3, "s", "en") for i in range(30)] + [(100 + i, "das Haus und der Garten " * 3, "s", "de") for i in range(30)]
     rows += [(900, None, "s", "en"), (901, "", "s", "en"), (902, "12 -- !", "s", "en"), (None, "das Haus", "s", "de"), (903, "x" * 100_000, "s", None), (10, rows[10][1], "s", "en")]

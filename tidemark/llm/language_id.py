@@ -1,12 +1,12 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-Texts are read as windows: a window is a word (a run outside ASCII white space), long ones cut every
-``WINDOW`` bytes. Forward and backward gated recurrent units run over a window's bytes and every
-position gets a probability for each language; a document pools the log probabilities of all its positions. As the state starts
-anew at each window, equal windows have equal sums, and each task computes a window once and counts it
-as often as it stands there: whole texts are read at the cost of their distinct words.
+A text's bytes are read by a forward and a backward gated recurrent unit, across words and white space alike, and every
+byte gets a probability for each language; a document pools the log probabilities of all its bytes. Texts are cut
+into windows of ``WINDOW`` bytes that are read side by side: each unit starts ``LEAD`` bytes ahead of its window, so the first
+bytes of a window have been led up to as well. Whole texts are read, each byte is labelled once.
 
-Training is backpropagation through time on a bounded sample of labelled documents, on the driver.
+Training is backpropagation through time on windows of whole labelled documents, on the driver. The documents are a
+bounded sample: as many of each language at most.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import tokens
 
-WINDOW = 24
-CACHE = 1 << 20  # windows a task remembers before it starts anew
+WINDOW, LEAD = 256, 16  # bytes
+TOGETHER = 4096  # windows read side by side
+CHUNK = 1 << 22  # bytes of text cut into windows at once
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -39,8 +40,31 @@ class Gru:
     u: np.ndarray  # H x 3H
     b: np.ndarray  # 3H
 
-    def run(self, seq: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (L x n x H) over byte columns of ``seq`` (n x L); what backward() needs if ``keep``."""
+    def states(self, seq: np.ndarray) -> Iterator[np.ndarray]:
+        """States (H x n) after each of the byte rows of ``seq`` (L x n)."""
+        h_dim = self.u.shape[0]
+        x, u = np.ascontiguousarray(self.x.T), np.ascontiguousarray(self.u.T)
+        h = np.zeros((h_dim, seq.shape[1]), np.float32)
+        for row in seq:
+            gx, gh = np.take(x, row, axis=1), u @ h
+            gh += self.b[:, None]
+            zr = gx[: 2 * h_dim]
+            zr += gh[: 2 * h_dim]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            c = gh[2 * h_dim :]
+            c *= zr[h_dim:]
+            c += gx[2 * h_dim :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= zr[:h_dim]
+            h += c
+            yield h
+
+    def run(self, seq: np.ndarray) -> tuple[np.ndarray, list]:
+        """States (L x n x H) over byte columns of ``seq`` (n x L), and what backward() needs."""
         n, length = seq.shape
         h_dim = self.u.shape[0]
         h = np.zeros((n, h_dim), np.float32)
@@ -50,8 +74,7 @@ class Gru:
             zr = sigmoid(gx[:, : 2 * h_dim] + gh[:, : 2 * h_dim])
             z, r, c = zr[:, :h_dim], zr[:, h_dim:], gh[:, 2 * h_dim :]
             cand = np.tanh(gx[:, 2 * h_dim :] + r * c)
-            if keep:
-                saved.append((h, z, r, c, cand))
+            saved.append((h, z, r, c, cand))
             h = cand + z * (h - cand)
             out[t] = h
         return out, saved
@@ -81,35 +104,60 @@ class Model:
     w: np.ndarray  # 2H x labels
     c: np.ndarray
 
-    def log_probs(self, seq: np.ndarray) -> np.ndarray:
-        """Log probabilities of every position: L x n x labels."""
-        a, _ = self.forward.run(seq)
-        b, _ = self.back.run(seq[:, ::-1])
-        s = np.concatenate([a, b[::-1]], axis=2) @ self.w + self.c
-        s -= s.max(2, keepdims=True)
-        return s - np.log(np.exp(s).sum(2, keepdims=True))
+    def window_sums(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Summed log probabilities of the bytes of each window [start, end) of a text that lies in [low, high).
 
-    def window_sums(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Summed log probabilities of each window, by equal lengths and at most 8192 at a time."""
+        Windows are read by length, so those read together end about together; what stands behind the end of a shorter one is not summed.
+        """
         out = np.zeros((len(start), len(self.labels)), np.float32)
-        size = end - start
-        for length in np.unique(size):
-            for part in np.array_split(at := np.flatnonzero(size == length), max(1, len(at) // 8192)):
-                out[part] = self.log_probs(data[start[part][:, None] + np.arange(length)]).sum(0)
+        h, size = self.forward.u.shape[0], end - start
+        order = np.argsort(size, kind="stable")
+        short = int((size < WINDOW).sum())
+        parts = [x for group in (order[:short], order[short:]) for x in np.array_split(group, max(1, -(-len(group) // TOGETHER))) if len(x)]
+        for part in parts:
+            n, before, after = size[part], np.minimum(start[part] - low[part], LEAD), np.minimum(high[part] - end[part], LEAD)
+            length = int(n.max())
+            logits = np.empty((length, len(self.labels), len(part)), np.float32)
+            rows = np.arange(-LEAD, length)[:, None]
+            for t, state in self.led(self.forward, data, start[part] + rows, rows >= -before):
+                logits[t] = self.w[:h].T @ state
+            for t, state in self.led(self.back, data, end[part] - 1 - rows, rows >= -after):
+                if n[0] == length:  # all windows are of one length
+                    logits[length - 1 - t] += self.w[h:].T @ state
+                else:
+                    ok = np.flatnonzero(n > t)
+                    logits[n[ok] - 1 - t, :, ok] += (self.w[h:].T @ state[:, ok]).T
+            logits += self.c[:, None]
+            logits -= logits.max(1, keepdims=True)
+            logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+            if n[0] < length:
+                logits *= (rows[LEAD:] < n)[:, None]
+            out[part] = logits.sum(0).T
         return out
 
+    def led(self, unit: Gru, data: np.ndarray, at: np.ndarray, begun: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(step, state) of a unit on the bytes ``at`` (steps x windows, the first LEAD steps lead up); states are zero until a window has ``begun``."""
+        seq = data[np.clip(at, 0, len(data) - 1)]
+        for t, state in enumerate(unit.states(seq)):
+            if t < LEAD:
+                state *= begun[t]
+            else:
+                yield t - LEAD, state
+
+
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the windows of every text."""
+    n = -(-np.diff(offsets) // WINDOW)
+    row = np.repeat(np.arange(len(n)), n)
+    start = offsets[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+    return start, np.minimum(start + WINDOW, offsets[row + 1]), row
 
-def split_windows(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = -(-(end - start) // WINDOW)
-    if (n <= 1).all():
-        return start, end, row
-    k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    s = np.repeat(start, n) + k * WINDOW
-    return s, np.minimum(s + WINDOW, np.repeat(end, n)), np.repeat(row, n)
 
+def train(texts: list[str], langs: list[str], hidden: int = 8, steps: int = 400, batch: int = 192, span: int = 48, rate: float = 0.015, seed: int = 11) -> Model | None:
+    """A model of the labels met; None without one. Languages count alike however often they occur.
 
-def train(texts: list[str], langs: list[str], hidden: int = 16, steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 11) -> Model | None:
-    """A model of the labels met; None without one. Languages count alike however often they occur."""
+    Every step draws ``batch`` stretches of ``span`` bytes from anywhere in the texts; shorter texts are drawn whole, in steps of their own.
+    """
     labels = sorted(set(langs))
     if not labels:
         return None
@@ -119,33 +167,33 @@ def train(texts: list[str], langs: list[str], hidden: int = 16, steps: int = 500
         return Gru(*(rng.normal(0, s, shape).astype(np.float32) for s, shape in ((0.3, (256, 3 * hidden)), (hidden**-0.5, (hidden, 3 * hidden)), (0.01, 3 * hidden))))
 
     model = Model(labels, gru(), gru(), rng.normal(0, 0.2, (2 * hidden, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32))
-    column = pa.array(texts, pa.string())
-    data = np.concatenate([d for _, _, d, _ in tokens.chunks(column)] or [np.zeros(0, np.uint8)])
-    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
-    start, end, row = split_windows(*tokens.words(data, offsets))
-    if not len(start):
+    held = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    data, size = np.concatenate([*held, np.zeros(0, np.uint8)]), np.array([len(x) for x in held])
+    begin = np.cumsum(size) - size
+    y = np.array([labels.index(x) for x in langs])
+    weight = (size / np.maximum(1, np.bincount(y, size, minlength=len(labels)))[y]).astype(float)
+    if not weight.sum():
         return model
-    y = np.array([labels.index(x) for x in langs])[row]
-    size = end - start
-    weight = (len(y) / np.maximum(1, np.bincount(y, minlength=len(labels))))[y] * size
-    by_length = [np.flatnonzero(size == k) for k in range(WINDOW + 1)]
-    chance = np.array([weight[i].sum() for i in by_length]) / weight.sum()
-    share = [weight[i] / weight[i].sum() if len(i) else None for i in by_length]
+    length = np.minimum(size, span)
+    by_length = {int(k): np.flatnonzero(length == k) for k in np.unique(length) if k}
+    chance = np.array([weight[i].sum() for i in by_length.values()])
     params = [model.forward.x, model.forward.u, model.forward.b, model.back.x, model.back.u, model.back.b, model.w, model.c]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        length = int(rng.choice(WINDOW + 1, p=chance))
-        pick = rng.choice(by_length[length], batch, p=share[length])
-        seq, target = data[start[pick][:, None] + np.arange(length)], y[pick]
+        long = list(by_length)[int(rng.choice(len(chance), p=chance / chance.sum()))]
+        of = by_length[long]
+        pick = rng.choice(of, batch, p=weight[of] / weight[of].sum())
+        at = begin[pick] + (rng.random(batch) * (size[pick] - long + 1)).astype(np.int64)
+        seq, target = data[at[:, None] + np.arange(long)], y[pick]
         back = seq[:, ::-1]
-        a, saved_a = model.forward.run(seq, True)
-        b, saved_b = model.back.run(back, True)
+        a, saved_a = model.forward.run(seq)
+        b, saved_b = model.back.run(back)
         both = np.concatenate([a, b[::-1]], axis=2)
         s = both @ model.w + model.c
         p = np.exp(s - s.max(2, keepdims=True))
         p /= p.sum(2, keepdims=True)
         p[:, np.arange(batch), target] -= 1
-        p /= length * batch
+        p /= long * batch
         flat = both.reshape(-1, 2 * hidden)
         dboth = p @ model.w.T
         grads = [
@@ -162,52 +210,27 @@ def train(texts: list[str], langs: list[str], hidden: int = 16, steps: int = 500
     return model
 
 
-class Reader:
-    """Pooled log probabilities of texts; remembers the windows a task has met."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.known, self.sums = np.zeros(0, np.uint64), np.zeros((0, len(model.labels)), np.float32)
-
-    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of the distinct windows of a chunk, and each window's place among them."""
-        h, first, place = np.unique(tokens.span_hashes(data, start, end, fold_case=False), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, h)
-        hit = at < len(self.known)
-        hit[hit] = self.known[at[hit]] == h[hit]
-        sums = np.empty((len(h), self.sums.shape[1]), np.float32)
-        sums[hit] = self.sums[at[hit]]
-        if not hit.all():
-            new = ~hit
-            sums[new] = self.model.window_sums(data, start[first[new]], end[first[new]])
-            if len(self.known) + int(new.sum()) > CACHE:
-                self.known, self.sums = h, sums
-            else:
-                self.known, self.sums = np.insert(self.known, at[new], h[new]), np.insert(self.sums, at[new], sums[new], axis=0)
-        return sums, place
-
-    def pooled(self, column: pa.Array) -> np.ndarray:
-        """Mean log probabilities over all positions of each text."""
-        out, n = np.zeros((len(column), len(self.model.labels))), np.zeros(len(column))
-        for a, b, data, offsets in tokens.chunks(column):
-            start, end, row = split_windows(*tokens.words(data, offsets))
-            if len(start):
-                sums, place = self.look_up(data, start, end)
-                for k in range(out.shape[1]):
-                    out[a:b, k] = np.bincount(row, sums[place, k], minlength=b - a)
-                n[a:b] = np.bincount(row, end - start, minlength=b - a)
-        return out / np.maximum(1, n)[:, None]
+def pooled(model: Model, column: pa.Array) -> np.ndarray:
+    """Mean log probabilities over all bytes of each text."""
+    out, n = np.zeros((len(column), len(model.labels))), np.zeros(len(column))
+    for a, b, data, offsets in tokens.chunks(column, CHUNK):
+        start, end, row = windows(offsets)
+        if len(start):
+            sums = model.window_sums(data, start, end, offsets[row], offsets[row + 1])
+            for k in range(out.shape[1]):
+                out[a:b, k] = np.bincount(row, sums[:, k], minlength=b - a)
+            n[a:b] = np.diff(offsets)
+    return out / np.maximum(1, n)[:, None]
 
 
 def predictor(model: Model | None) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
-    """A function of batches (letters third, text fourth) to names and scores; it remembers windows."""
-    reader = Reader(model) if model else None
+    """A function of batches (letters third, text fourth) to names and scores."""
 
     def predicted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         letters = batch.column(2).to_numpy(zero_copy_only=False)
         names, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
-        if reader and len(letters):
-            mean = reader.pooled(batch.column(3))
+        if model and len(letters):
+            mean = pooled(model, batch.column(3))
             p = np.exp(mean - mean.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             names = np.where(letters, np.array(model.labels, dtype=object)[p.argmax(1)], "und")
@@ -230,59 +253,62 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, sample_chars: int, seed: int = 0) -> Model | None:
-    """Train on at most ``sample_docs`` labelled documents in hash order, ``sample_chars`` characters of each.
+def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, seed: int = 0) -> Model | None:
+    """Train on whole labelled documents, at most ``sample_docs`` of each language, in hash order of their ids.
 
-    A first count sets a hash threshold that about twice the sample passes, so tasks hand the driver the
-    sample and little more however many tasks there are.
+    A first count sets a hash threshold per language that about twice its sample passes, so tasks hand on the
+    sample and little more however many tasks there are, and a rare language is learned on a large table as on a small one.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    labelled = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    share = min(1.0, 2 * sample_docs / max(1, labelled.count()))
+    key, lang = F.xxhash64(F.lit(seed), F.col(id_col)), F.col(lang_col).cast("string")
+    labelled = df.filter(lang.isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    counts = {r.y: r["count"] for r in labelled.groupBy(lang.alias("y")).count().collect()}  # a row per language
+    if not counts:
+        return None
+    share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, int(min(1.0, 2 * sample_docs / n) * (1 << 30)))])
     rows = (
-        labelled.filter(F.pmod(key, F.lit(1 << 30)) <= int(share * (1 << 30)))
-        .select(F.col(text_col).substr(1, sample_chars).alias("t"), F.col(lang_col).cast("string").alias("y"), key.alias("k"))
-        .orderBy("k", "y", "t")
-        .limit(sample_docs)
+        labelled.filter(F.pmod(key, F.lit(1 << 30)) <= F.try_element_at(share, lang))
+        .select(F.col(text_col).cast("string").alias("t"), lang.alias("y"), key.alias("k"))
+        .withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy("k", "t")))
+        .filter(F.col("n") <= sample_docs)
+        .orderBy("y", "n")
         .collect()
     )
     return train([r.t for r in rows], [r.y for r in rows])
 
 
-def identify(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_chars: int = 1000
-) -> DataFrame:
+def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (pooled probability of the prediction).
 
     ``und`` with score 0 stands for null texts, texts without a letter, and for everything when no
-    labelled row can be learned from. Documents with a null id are not learned from and count as not held out.
-    Repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
+    labelled row can be learned from. Equal probabilities go to the language that sorts first. Documents with a null id are not
+    learned from and count as not held out. Repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
     """
-    model = fit(df, id_col, text_col, lang_col, sample_docs, sample_chars)
+    model = fit(df, id_col, text_col, lang_col, sample_docs)
     t = F.col(text_col).cast("string")
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.coalesce(t, F.lit("")).alias("text")
     ).mapInArrow(lambda it: predict(it, model), SCHEMA)
 
 
-def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, sample_chars: int = 1000) -> DataFrame:
+def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 300) -> DataFrame:
     """``df`` without the rows whose language is ``und``; ``lang_col`` becomes the prediction, other columns stay.
 
-    Prediction and text travel in one map over the table, so no join by id is needed and repeated ids do no harm.
+    Null texts and texts without a letter go. Where no labelled row can be learned from, all texts with a letter stay as they
+    are. Prediction and text travel in one map over the table, so no join by id is needed; repeated rows, ties and null
+    ids are treated as in ``identify``; an empty table gives an empty result.
     """
-    model = fit(df, id_col, text_col, lang_col, sample_docs, sample_chars)
+    model = fit(df, id_col, text_col, lang_col, sample_docs)
     t = F.col(text_col).cast("string")
+    letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
+    if model is None:
+        return df.filter(letters)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    wide = df.select(
-        F.lit(0).cast("long").alias("_none"), F.lit(False).alias("_held"), F.coalesce(t.rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.coalesce(t, F.lit("")).alias("_text"), row.alias("_row")
-    )
+    wide = df.select(F.lit(0).cast("long").alias("_none"), F.lit(False).alias("_held"), letters.alias("_letters"), F.coalesce(t, F.lit("")).alias("_text"), row.alias("_row"))
 
     def with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None
+        predicted = predictor(model)
         for batch in batches:
-            reader = reader or predictor(model)
-            names, _ = reader(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(4)], names=["_pred", "_row"])
+            yield pa.RecordBatch.from_arrays([pa.array(predicted(batch)[0], pa.string()), batch.column(4)], names=["_pred", "_row"])
 
     schema = T.StructType([T.StructField("_pred", T.StringType()), T.StructField("_row", wide.schema["_row"].dataType)])
     told = wide.mapInArrow(with_row, schema).filter(F.col("_pred") != "und")
