@@ -40,7 +40,7 @@ WIDE = {
     "secret": r"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[0-9+/_-]{0,63}[A-Za-z])[A-Za-z0-9+/_-]{12,128}+={0,2}+(?![A-Za-z0-9@.-])"
     r"|(?<=(?i:passwor[dt]|passwd|pwd)['\x22]?\x20?[=:]\x20?['\x22]?)(?![='\x22])[^\x00-\x20'\x22]{6,64}+",
 }
-GATE = {"email": rf"(?i){AT}|\x20dot\x20", "ip": r"(?i)[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]", "card": r"[0-9][\x20.\-/]?[0-9]", "phone": r"[0-9][)\x20.\-/]", "secret": r"[A-Za-z0-9+/_-]{12}|(?i)passw|pwd"}
+GATE = {"email": rf"(?i){AT}|\x20dot\x20", "ip": r"(?i)[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]", "card": r"[0-9][\x20.\-/]?[0-9]", "phone": r"[0-9][)\x20.\-/]", "secret": r"[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]"}
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|address|courriel|correo)[^\n]{0,14}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|addr|ping|login|from)[^\n]{0,12}$",
