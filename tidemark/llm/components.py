@@ -21,7 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = pairs.filter("a <> b")
     while not pairs.isEmpty():
         # an edge's larger end hangs under the smallest smaller neighbour; smallest ends stay roots
-        up = pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
+        up = cut(pairs.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent")))  # written, so a join on a hot parent can be split
         far = up.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         up = cut(up.join(far, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
         labels = cut(

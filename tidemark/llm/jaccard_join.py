@@ -11,7 +11,11 @@ held by many sets is followed only for sets with more units of such entries than
 any other pair also meets in a rare one; and a pair met in rare entries only is dropped
 unless its units exceed the need of both. A set needs t units less those of its empty segments, which a set
 with at most t of them leaves out of the index: a pair cannot meet there, even if the other set shows its own. What remains is grouped into clusters; inside a
-cluster sets are compared exactly, block by block, as products of 0/1 matrices.
+small cluster sets are compared exactly as a product of 0/1 matrices. A large cluster is taken apart first: its rare pairs
+are verified one by one, and only what common entries alone hold together is compared block by block.
+
+Common entries never gather in one task: a task that holds more than RARE sets of an entry hands them on as holders of a
+common one at once, spread by class, and sends the entry's own task no more than a mark.
 
 Equal sets are one class from the start: all entries carry the class, never the document.
 """
@@ -39,6 +43,8 @@ GROUP_ENTRIES = 1 << 17  # index entries a task looks at
 FLUSH = 1 << 21  # index entries a task gathers before it deals them out
 MATRIX_COLS = 1 << 14
 ENTRY_SCHEMA = "channel int, part int, sigs binary, classes binary, notes binary"
+MARK = 255  # the note of an entry that a task has found to be common
+STAR_PARTS = 64  # stars over the holders of one common entry
 MET_SCHEMA = "kind int, channel int, sig long, a long, b long, units int, need_a int, need_b int"
 PAIR, COMMON = 0, 1
 
@@ -180,16 +186,31 @@ def entries_of(row: np.ndarray, h: np.ndarray, channel: np.ndarray, plan: Plan)
 
 
 def index(batches: Iterator[pa.RecordBatch], n: int, plan: Plan) -> Iterator[pa.RecordBatch]:
-    """Texts -> index entries, dealt out by channel and signature as packed arrays."""
+    """Texts -> index entries, dealt out by channel and signature as packed arrays; holders of common ones in parts below zero."""
     held: list[tuple[np.ndarray, ...]] = []
     gathered = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         ch, sig, cls, note = (np.concatenate(x) for x in zip(*held, strict=True))
         part = (((sig >> U32) * plan.parts[ch].astype(U64)) >> U32).astype(np.int64)
-        order = np.argsort((ch.astype(np.int64) << 20) + part, kind="stable")
-        ch, part, sig, cls, note = ch[order], part[order], sig[order].astype("<u4"), cls[order], note[order]
-        edge = np.flatnonzero(np.r_[True, (ch[1:] != ch[:-1]) | (part[1:] != part[:-1]), True])
+        key = (ch.astype(np.int64) << 52) + (part << 32) + (sig & U64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((cls, key))
+        key, cls, ch, part, note = key[order], cls[order], ch[order].astype(np.int64), part[order], note[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
+        key, cls, ch, part, note = key[new], cls[new], ch[new], part[new], note[new]
+        first = np.r_[True, key[1:] != key[:-1]]
+        count = np.diff(np.r_[np.flatnonzero(first), len(key)])
+        common = np.repeat(count > RARE, count)
+        mark = first & common
+        stays = ~common | mark
+        yield from packed(ch[stays], part[stays], (key[stays] & 0xFFFFFFFF).astype("<u4"), cls[stays], np.where(mark, MARK, note)[stays].astype(np.uint8))
+        if common.any():  # holders of common entries, by class
+            deal = -1 - ((tokens.mix(cls[common].view(U64)) >> U32) * plan.parts[ch[common]].astype(U64) >> U32).astype(np.int64)
+            order = np.lexsort((deal, ch[common]))
+            yield from packed(*(x[order] for x in (ch[common], deal, key[common].astype("<i8"), cls[common], note[common])))
+
+    def packed(ch: np.ndarray, part: np.ndarray, sig: np.ndarray, cls: np.ndarray, note: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.r_[True, (ch[1:] != ch[:-1]) | (part[1:] != part[:-1]), True]) if len(ch) else np.zeros(1, np.int64)
         for k in range(0, len(edge) - 1, 64):
             spans = list(zip(edge[k : k + 64], edge[k + 1 : k + 65], strict=False))
             yield pa.RecordBatch.from_arrays(
@@ -223,17 +244,23 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
     """One task's entries -> pairs of classes from rare entries, and the holders of common ones."""
     channel, part = (int(k.as_py()) for k in key)
     sig, cls, note = (
-        np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(name)]) for name, t in (("sigs", "<u4"), ("classes", np.int64), ("notes", np.uint8))
+        np.concatenate([np.frombuffer(x.as_py(), t) for x in table.column(name)])
+        for name, t in (("sigs", "<i8" if part < 0 else "<u4"), ("classes", np.int64), ("notes", np.uint8))
     )
-    order = np.lexsort((cls, sig))
+    order = np.lexsort((note, cls, sig))  # a mark comes after its class's own entry
     sig, cls, note = sig[order], cls[order], note[order]
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])]
-    sig, cls, note = sig[new], cls[new], note[new]
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[start, len(sig)])
+    start = np.r_[True, sig[1:] != sig[:-1]]
+    entry = np.cumsum(start) - 1
+    common = np.zeros(int(entry[-1]) + 1, bool)
+    common[entry[note == MARK]] = True
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])] & (note != MARK)
+    count = np.bincount(entry[new], minlength=len(common))
+    common |= (count > RARE) | (part < 0)
+    sig, cls, note, entry = sig[new], cls[new], note[new], entry[new]
+    begin = np.cumsum(count) - count
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(2, RARE + 1):
-        s = start[count == k]
+        s = begin[(count == k) & ~common]
         for i in range(k - 1):
             for j in range(i + 1, k):
                 left.append(s + i)
@@ -244,33 +271,38 @@ def meet(key: tuple, table: pa.Table) -> pa.Table:
     edge = np.flatnonzero(np.r_[True, (cls[a][1:] != cls[a][:-1]) | (cls[b][1:] != cls[b][:-1])]) if len(a) else np.zeros(0, np.int64)
     units = np.add.reduceat((note[a] & 1) + 1, edge, dtype=np.int64) if len(a) else np.zeros(0, np.int64)
     a, b = a[edge], b[edge]
-    common = np.flatnonzero(np.repeat(count, count) > RARE)
-    where = ((channel << 52) + (part << 32) + sig[common].astype(np.int64)).astype(np.int64)
+    held = np.flatnonzero(common[entry])
+    where = sig[held].astype(np.int64) if part < 0 else (channel << 52) + (part << 32) + sig[held].astype(np.int64)
     cols = {
-        "kind": np.r_[np.full(len(a), PAIR), np.full(len(common), COMMON)].astype(np.int32),
-        "channel": np.full(len(a) + len(common), channel, np.int32),
+        "kind": np.r_[np.full(len(a), PAIR), np.full(len(held), COMMON)].astype(np.int32),
+        "channel": np.full(len(a) + len(held), channel, np.int32),
         "sig": np.r_[np.zeros(len(a), np.int64), where],
-        "a": np.r_[cls[a], cls[common]],
-        "b": np.r_[cls[b], cls[common]],
-        "units": np.r_[units, (note[common] & 1) + 1].astype(np.int32),
-        "need_a": np.r_[note[a] >> 1, note[common] >> 1].astype(np.int32),
-        "need_b": np.r_[note[b] >> 1, note[common] >> 1].astype(np.int32),
+        "a": np.r_[cls[a], cls[held]],
+        "b": np.r_[cls[b], cls[held]],
+        "units": np.r_[units, (note[held] & 1) + 1].astype(np.int32),
+        "need_a": np.r_[note[a] >> 1, note[held] >> 1].astype(np.int32),
+        "need_b": np.r_[note[b] >> 1, note[held] >> 1].astype(np.int32),
     }
     return pa.table({k: pa.array(v) for k, v in cols.items()})
 
 
-def candidate_edges(met: DataFrame) -> DataFrame:
-    """a, b: pairs whose units can exceed the spare, and stars over the common entries that must be followed."""
-    held = met.filter(F.col("kind") == COMMON)
+def candidate_edges(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: pairs met in rare entries whose units can exceed the spare, and stars over the common entries that must be followed.
+
+    A star is made of ``STAR_PARTS`` smaller ones whose centres are joined, so that a very common entry is no single key.
+    """
+    held = met.filter(F.col("kind") == COMMON).select("channel", "sig", "a", "units", "need_a").distinct()  # tasks may have passed on the same
     common = cut(held.groupBy("channel", "a").agg(F.sum("units").alias("common"), F.min("need_a").alias("need")))
-    followed = held.join(common.filter(F.col("common") > F.col("need")).select("channel", "a"), ["channel", "a"], "left_semi").select("sig", "a")
-    centre = followed.groupBy("sig").agg(F.min("a").alias("b"))
-    stars = followed.join(centre, "sig").filter("a <> b").select("a", "b")
+    followed = held.join(common.filter(F.col("common") > F.col("need")).select("channel", "a"), ["channel", "a"], "left_semi")
+    followed = cut(followed.select("sig", "a", F.pmod(F.xxhash64("a"), F.lit(STAR_PARTS)).alias("salt")))
+    centre = cut(followed.groupBy("sig", "salt").agg(F.min("a").alias("b")))
+    top = centre.groupBy("sig").agg(F.min("b").alias("t"))
+    stars = followed.join(centre, ["sig", "salt"]).select("a", "b").unionByName(centre.join(top, "sig").select(F.col("b").alias("a"), F.col("t").alias("b"))).filter("a <> b")
     rare = met.filter(F.col("kind") == PAIR).groupBy("channel", "a", "b").agg(F.sum("units").alias("units"), F.min("need_a").alias("need_a"), F.min("need_b").alias("need_b"))
     for side in ("a", "b"):
         extra = common.select("channel", F.col("a").alias(side), F.col("common").alias(f"common_{side}"))
         rare = rare.join(extra, ["channel", side], "left").filter(F.col("units") + F.coalesce(f"common_{side}", F.lit(0)) > F.col(f"need_{side}"))
-    return rare.select("a", "b").unionByName(stars).distinct()
+    return cut(rare.select("a", "b").distinct()), cut(stars.distinct())
 
 
 def emit_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -337,6 +369,17 @@ def compare(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
 
+def linked_edges(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """a, b and their sets -> the pairs that are linked."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            one, two = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            keep.append(den * both >= num * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+
 def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int], classes: int) -> DataFrame:
     """class, cluster, task: small clusters share tasks, large ones are cut into blocks that meet pair by pair.
 
@@ -391,12 +434,20 @@ def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num:
     met = cut(
         docs.select("text").mapInArrow(lambda it: index(it, words, plan), ENTRY_SCHEMA).groupBy("channel", "part").applyInArrow(meet, MET_SCHEMA)
     )
-    clusters = components(candidate_edges(met)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    dealt = tasks(clusters, classes.select("class", "n"), upper, sum(counts.values()))
+    rare, stars = candidate_edges(met)
+    clusters = components(rare.unionByName(stars)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    large = cut(clusters.join(clusters.groupBy("cluster").count().filter(F.col("count") > BLOCK).select("cluster"), "cluster", "left_semi"))
+    in_large = lambda edges: edges.join(large.select(F.col("class").alias("a")), "a", "left_semi")
+    held_together = components(in_large(stars)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
+    compared = clusters.join(large.select("class"), "class", "left_anti").unionByName(held_together)
+    dealt = tasks(compared, classes.select("class", "n"), upper, sum(counts.values()))
     wanted = classes.join(clusters, "class").select(F.col("member.doc_id").alias("doc_id"), F.col("member.tkey").alias("tkey"))
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.tkey").eqNullSafe(F.col("w.tkey")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
     sets = cut(texts.mapInArrow(lambda it: emit_sets(it, words), "class long, elements binary").dropDuplicates(["class"]))
     links = dealt.join(sets, "class").groupBy("task").applyInArrow(lambda x: compare(x, num, den), "a long, b long")
+    ends = [sets.select(F.col("class").alias(x), F.col("elements").alias(f"set_{x}")) for x in ("a", "b")]
+    single = in_large(rare).join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda it: linked_edges(it, num, den), "a long, b long")
+    links = links.unionByName(single)
     linked = components(links)
     labelled = classes.join(linked, F.col("class") == F.col("node"), "left").select("class", "first_id", "member", F.coalesce("label", "class").alias("label"))
     return described, labelled
