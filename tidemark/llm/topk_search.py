@@ -4,7 +4,9 @@ Candidates are dealt at random to blocks of bounded size, queries likewise; ever
 candidate block once. A task sorts a candidate block along each dimension once, then walks
 all lists of a query in step: vectors met for the first time are scored in full, and the walk ends
 when the sum of the lists' current values, the best any unseen vector can reach, falls below the
-kth score. The blocks' answers, k rows each, are merged per query.
+kth score. The first block is searched for all queries ahead of the others, and each query takes the kth score
+it found there along as its floor, so no later block is walked further than that score allows. The
+blocks' answers, k rows each at most, are merged per query.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -39,8 +43,8 @@ def matrix(cell: pa.Scalar, dims: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
-def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, step: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of a block; ``order`` sorts each dimension ascending."""
+def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, k: int, step: int, floor: int | None = None) -> list[tuple[int, int]]:
+    """The k best (score, id) of a block, without some below ``floor``; ``order`` sorts each dimension ascending."""
     n = len(ids)
     dims = np.flatnonzero(query)
     down = query[dims] > 0
@@ -61,25 +65,31 @@ def threshold_search(query: np.ndarray, own: int, ids: np.ndarray, vectors: np.n
         top = np.lexsort((best_ids, -best))[:k]
         best_ids, best = best_ids[top], best[top]
         depth, step = to, step * 2
-        if depth < n and len(best) == k:
+        least = [int(best[-1])] * (len(best) == k) + [floor] * (floor is not None)
+        if depth < n and least:
             at = np.where(down, order[n - depth, dims], order[depth - 1, dims])
-            if int((query[dims] * vectors[at, dims]).sum()) < best[-1]:  # an equal bound may still hide a smaller id
+            if int((query[dims] * vectors[at, dims]).sum()) < max(least):  # an equal bound may still hide a smaller id
                 break
     return list(zip(best.tolist(), best_ids.tolist(), strict=True))
 
 
 def search_blocks(batches: Iterator[pa.RecordBatch], k: int, step: int) -> Iterator[pa.RecordBatch]:
+    """Query blocks against candidate blocks; one that several query blocks meet in a row is sorted once."""
+    block, ids, vectors, order = None, None, None, None
     for batch in batches:
-        for qs, cs in zip(batch.column(0), batch.column(1), strict=True):
-            ids, vectors = matrix(cs)
+        for qs, cs, number in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if number != block:
+                ids, vectors = matrix(cs)
+                block, order = number, np.argsort(vectors, axis=0, kind="stable")
             qids, queries = matrix(qs, vectors.shape[1])
+            floors = qs.values.field(2).to_pylist()
+            held, sorted_by = vectors, order
             if queries.shape[1] > vectors.shape[1]:
-                vectors = np.pad(vectors, ((0, 0), (0, queries.shape[1] - vectors.shape[1])))
-            order = np.argsort(vectors, axis=0, kind="stable")
-            exact = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).sum(1).max(initial=0)) < 2.0**53
-            if exact:  # products and sums are whole numbers a double holds
-                vectors, queries = vectors.astype(np.float64), queries.astype(np.float64)
-            out = [(int(q), i, int(s)) for q, row in zip(qids, queries, strict=True) for s, i in threshold_search(row, q, ids, vectors, order, k, step)]
+                held = np.pad(vectors, ((0, 0), (0, queries.shape[1] - vectors.shape[1])))
+                sorted_by = np.argsort(held, axis=0, kind="stable")
+            if float(np.abs(held).max(initial=0)) * float(np.abs(queries).sum(1).max(initial=0)) < 2.0**53:  # products and sums are whole numbers a double holds
+                held, queries = held.astype(np.float64), queries.astype(np.float64)
+            out = [(int(q), i, int(s)) for q, row, floor in zip(qids, queries, floors, strict=True) for s, i in threshold_search(row, q, ids, held, sorted_by, k, step, floor)]
             cols = list(zip(*out, strict=True)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -109,14 +119,17 @@ def top_k(
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // (every * query_block)))
     deal = F.xxhash64("rid")
     candidates = rows.groupBy(F.pmod(deal, F.lit(blocks)).cast("int").alias("cb")).agg(F.collect_list(F.struct("id", "v")).alias("cs"))
-    queries = (
-        rows.filter(F.col("id") % every == 0)
-        .dropDuplicates(["id", "v"])
-        .groupBy(F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    )
-    found = queries.join(candidates, "cb").select("qs", "cs").mapInArrow(lambda it: search_blocks(it, k, step), FOUND)
+    queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"]).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("qb"))
+
+    def search(asked: DataFrame, numbers: Column) -> DataFrame:
+        together = asked.groupBy("qb").agg(F.collect_list(F.struct("id", "v", "floor")).alias("qs")).withColumn("cb", F.explode(numbers))
+        return together.join(candidates, "cb").select("qs", "cs", "cb").mapInArrow(lambda it: search_blocks(it, k, step), FOUND)
+
+    found = cut(search(queries.withColumn("floor", F.lit(None).cast("long")), F.array(F.lit(0))))
+    if blocks > 1:
+        kth = F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k))  # a query has k rows at most
+        floors = found.groupBy(F.col("query_id").alias("id")).agg(kth.alias("floor"))
+        found = found.unionByName(search(queries.join(floors, "id", "left"), F.sequence(F.lit(1), F.lit(blocks - 1))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
