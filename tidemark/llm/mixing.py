@@ -25,7 +25,7 @@ def word_count(text: Column) -> Column:
 
 
 def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """Narrow rows (doc_id, size, skey, key, slot); skey sorts sources by code point, null last."""
+    """Narrow rows (doc_id, size, skey, key, slot, tkey); skey sorts sources by code point, null last."""
     t = text_or_empty(F.col(text_col))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return df.select(
@@ -34,6 +34,7 @@ def sizes(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int)
         F.coalesce(F.concat(F.lit("0"), F.col(source_col).cast("string")), F.lit("1")).alias("skey"),
         key.alias("key"),
         F.conv(F.substring(key, 1, 4), 16, 10).cast("long").alias("slot"),
+        F.xxhash64(t).alias("tkey"),
         F.monotonically_increasing_id().alias("rid"),
     )
 
@@ -76,9 +77,8 @@ def mix(
 
     A source's taken words sum to its target rounded down: whole epochs, then the words of the
     first rows in hash order, the row at the cut in part. Null texts have size 0 and are taken 0;
-    null sources are a source of their own, the last; rows with equal ids are adjacent, and the
-    multiset of results does not depend on their order when they are copies. An empty table
-    gives an empty result; other columns are not read.
+    null sources are a source of their own, the last; rows with equal ids are adjacent, in order of size and
+    text hash, so results do not depend on the table's layout. An empty table gives an empty result; other columns are not read.
 
     Buckets grow in number with the table (about ``rows_per_bucket`` rows for an even source, at
     most 65,536 buckets a source), so a source with a third of all rows is summed by many tasks.
@@ -91,7 +91,7 @@ def mix(
     goal = targets(per_bucket.groupBy("skey").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     along = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("offset", F.coalesce(F.sum("bucket_size").over(along), F.lit(0))).join(goal, "skey").drop("bucket_size")
-    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size", "tkey", "rid").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["skey", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
@@ -104,8 +104,8 @@ def mix(
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The mixture as documents: a row for each epoch a document is in, the row at a cut shortened to its words.
 
-    Returns the columns of ``df``. Copies of one row (equal id and text) are taken as one row's
-    words each; rows with size 0 carry nothing and leave.
+    Returns the columns of ``df``. Copies of one row (equal id and size) are taken as one row's words each; null, empty and
+    blank texts carry nothing and leave. Null ids and sources are kept, an empty table gives an empty result.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     taken = (
