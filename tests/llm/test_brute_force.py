@@ -95,6 +95,13 @@ def test_mixing(make, seed):
     assert sorted(map(tuple, mixing.mix(df.repartition(5)).collect()), key=key) == sorted((tuple(r)[:5] for r in got), key=key)
 
 
+def test_mixing_does_not_depend_on_layout_where_ids_repeat(make):
+    rows = [(i % 7, f"{'w ' * (i % 9)}t{i}", "ab"[i % 2]) for i in range(300)] + [(None, "w " * i, None) for i in range(40)]
+    df = make(rows)
+    once = [sorted((tuple(r) for r in mixing.mix(df.repartition(n, "n_chars")).collect()), key=key) for n in (1, 3, 8)]
+    assert once[0] == once[1] == once[2]
+
+
 def test_mixed_documents(make):
     rows = [(i, f"  word{i}  b c\td ", "ab"[i % 10 == 0]) for i in range(200)] + [(900, None, None), (901, "", "a")]
     df = make(rows)
@@ -207,6 +214,23 @@ def test_line_dedup(make):
     assert out.columns == make(rows).columns and sorted(sha(r.text) for r in out.collect()) == sorted(x[3] for x in brute_lines(rows))
 
 
+def test_line_dedup_over_many_range_partitions(spark, make):
+    """Runs of a line that cross several partitions, and texts of over 64 lines."""
+    rng = random.Random(12)
+    hot, rare = "H" * 50, ["r" * 40 + str(k) for k in range(3)]
+    rows = [(i, "\n".join([*(f"own line {i} " + "z" * 40 + str(k) for k in range(rng.randint(0, 150))), hot, *rng.choices(rare, k=i % 3 == 0), hot, *[""] * rng.randint(0, 90), hot])) for i in range(400)]
+    ranges, coalesce = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows_of_hot = line_dedup.occurrences(make(rows), "doc_id", "text", 40).repartitionByRange("h1", "h2", F.col("did").desc())
+        assert rows_of_hot.filter(F.col("h1") == rows_of_hot.groupBy("h1").count().orderBy(F.desc("count")).first().h1).select(F.spark_partition_id()).distinct().count() > 1
+        same(rows_of(line_dedup.line_dedup(make(rows)), "doc_id", "n_lines", "n_dropped", "kept_sha256"), brute_lines(rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+
+
 # ------------------------------------------------------------------ n-gram Jaccard join
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
 from tidemark.llm.common import SPACE, ascii_lower, cut, text_or_empty, unwrapped, wrapped
 
 NO_ID = -(2**63)  # stands for a null doc_id: smaller than any other
@@ -128,7 +129,7 @@ def stream(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Reco
 
 
 def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """did, th, n_dropped, dropped: for each document that loses lines a sparse bitmap (word number to 64 bits)."""
+    """did, th, n_dropped, dropped: for each document that loses lines a sparse bitmap, words of 64 lines in order."""
     rows = cut(occurrences(df, id_col, text_col, min_chars))
     ranged = rows.repartitionByRange("h1", "h2", F.col("did").desc()).sortWithinPartitions("h1", "h2", F.col("did").desc(), "pos")
     seen = cut(ranged.mapInArrow(lambda it: stream(it, min_docs), SCHEMA))
@@ -137,7 +138,7 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     pending = (
         seen.filter(F.col("kind") == PENDING)
-        .join(F.broadcast(totals), ["h1", "h2"])  # two rows a partition at most
+        .join(totals, ["h1", "h2"])
         .filter(F.col("did") != F.col("keeper"))
     )
     drops = seen.filter(F.col("kind") == DROP).select("did", "th", "pos").unionByName(pending.select("did", "th", "pos"))
@@ -146,7 +147,7 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drops.groupBy("did", "th", F.floor(F.col("pos") / 64).cast("int").alias("word"))
         .agg(F.bit_or(bits).alias("bits"))
         .groupBy("did", "th")
-        .agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+        .agg(F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
     )
 
 
@@ -157,15 +158,23 @@ def with_bitmaps(df: DataFrame, id_col: str, text_col: str, min_chars: int, min_
     )
     joined = keyed(df, id_col, text_col).join(maps, ["_did", "_th"], "left")
     t = text_or_empty(F.col(text_col))
-    keep = F.filter(
-        lines_of(t),
-        lambda line, i: F.coalesce(F.getbit(F.try_element_at(F.col("_dropped"), F.floor(i / 64).cast("int")), (i % 64).cast("int")), F.lit(0)) == 0,
-    )
+    # the sparse words are put into a full array once, so each line finds its bit by position
+    words = F.floor((F.size(lines_of(t)) + 63) / 64).cast("int")
+
+    def bitmap(sparse: Column) -> Column:
+        gaps = F.zip_with(sparse, F.slice(sparse, F.lit(2), F.size(sparse)), lambda x, y: F.concat(F.array(x["bits"]), zeros(F.coalesce(y["word"], words) - x["word"] - 1)))
+        return F.concat(zeros(F.element_at(sparse, 1)["word"]), F.flatten(gaps))
+
+    def zeros(n: Column) -> Column:
+        return F.array_repeat(F.lit(0).cast("bigint"), F.greatest(n, F.lit(0)))
+
+    kept = let(bitmap(F.col("_dropped")), lambda bits: F.filter(lines_of(t), lambda line, i: F.getbit(F.element_at(bits, F.floor(i / 64).cast("int") + 1), (i % 64).cast("int")) == 0))
+    keep = F.array_join(kept, "\n")
     return joined.withColumns(
         {
             "_n_lines": F.size(lines_of(t)).cast("long"),
             "_n_dropped": F.coalesce("_dropped_n", F.lit(0)).cast("long"),
-            "_kept": F.when(F.col("_dropped").isNull(), t).otherwise(F.array_join(keep, "\n")),
+            "_kept": F.when(F.col("_dropped").isNull(), t).otherwise(keep),
         }
     )
 
@@ -184,7 +193,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def deduped_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``df`` with repeated lines taken out of its texts; its columns are kept, ``n_chars`` is renewed."""
+    """``df`` with repeated lines taken out of its texts; its columns are kept, ``n_chars`` is renewed.
+
+    Null texts become empty, an empty table gives an empty result; ids that are null or repeated are treated as in ``line_dedup``.
+    """
     rows = wrapped(df, id=F.col(id_col), text=F.col(text_col))
     out = with_bitmaps(rows, "id", "text", min_chars, min_docs)
     return unwrapped(out, df, **{text_col: F.col("_kept"), "n_chars": F.length("_kept")})
