@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, urls
+from tidemark.functions.regions import regions
 
 # Attributes that change with every response.
 DYNAMIC = r"(?i)^(?:nonce|data-nonce)$|csrf|timestamp"
@@ -48,3 +49,12 @@ def cleaned(html: Column, base: Column) -> Column:
 def normalized(html: Column, base: Column) -> Column:
     """struct<normalized_html, extracted_text>."""
     return text.let(cleaned(html, base), lambda c: F.struct(text.collapse_html(c).alias("normalized_html"), text.block_text(c).alias("extracted_text")))
+
+
+def hashed(html: Column, base: Column, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> Column:
+    """struct<normalized_html, extracted_text, raw_hash, normalized_hash, text_hash>; regions count for all but the raw hash."""
+    with_hashes = lambda n: F.struct(
+        n["normalized_html"].alias("normalized_html"), n["extracted_text"].alias("extracted_text"), text.sha256(html).alias("raw_hash"),
+        text.sha256(n["normalized_html"]).alias("normalized_hash"), text.sha256(n["extracted_text"]).alias("text_hash"),
+    )
+    return text.let(normalized(regions(html, ignore, include), base), with_hashes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,19 +25,35 @@ def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("_n", n).filter(F.col("_n") <= budget).drop("_n")
 
 
-def wildcard_match(changes: DataFrame, subscriptions: DataFrame, on: Sequence[str] = WILD) -> DataFrame:
+def wildcard_match(changes: DataFrame, subscriptions: DataFrame, on: Sequence[str] = WILD, parts: int = 64) -> DataFrame:
     """Every change with every subscription whose columns ``on`` are null or equal to the change's.
 
-    Instead of a nested loop over all pairs, each change meets the subscriptions of each of the 2^n patterns of
-    wildcards by an equi-join: a subscription has one pattern, so no pair comes twice.
+    Instead of a nested loop over all pairs, each change meets the subscriptions of each pattern of wildcards that
+    occurs (at most 2^n, told by a first look) by an equi-join: a subscription has one pattern, so no pair comes twice. Subscriptions
+    to everything would be a single key for all changes; they are held in ``parts`` copies, and each change meets one.
     """
+    every = "*" * len(on)
     pattern = F.concat(*[F.when(F.col(c).isNull(), "*").otherwise("=") for c in on])
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}")
     subs = subscriptions.select(pattern.alias("_p"), *[key(c) for c in on], *[F.col(c) for c in subscriptions.columns if c not in on])
-    patterns = ["".join(p) for p in product("*=", repeat=len(on))]
-    wide = changes.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in patterns])))
+    patterns = sorted(r._p for r in subs.select("_p").distinct().collect())
+    subs = subs.withColumn("_part", F.explode(F.when(F.col("_p") == every, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    wide = changes.withColumn("_p", F.explode(F.array(*[F.lit(p) for p in patterns]).cast("array<string>")))
     wide = wide.withColumns({f"_{c}": F.when(F.substring("_p", k + 1, 1) == "=", F.col(c).cast("string")).otherwise("") for k, c in enumerate(on)})
-    return wide.join(subs, ["_p", *[f"_{c}" for c in on]]).drop("_p", *[f"_{c}" for c in on])
+    wide = wide.withColumn("_part", F.when(F.col("_p") == every, F.pmod(F.xxhash64(*changes.columns), F.lit(parts)).cast("int")).otherwise(0))
+    return wide.join(subs, ["_p", "_part", *[f"_{c}" for c in on]]).drop("_p", "_part", *[f"_{c}" for c in on])
+
+
+def broadest(subscriptions: DataFrame, owner: str, on: Sequence[str] = WILD) -> DataFrame:
+    """owner and ``on``: an owner's subscriptions without repeats and without those that a broader one of the same owner covers."""
+    one = subscriptions.select(owner, *on).distinct()
+    wider = [p for p in product((False, True), repeat=len(on)) if any(p)]
+    made = F.array(*[F.struct(*[F.when(F.lit(not widen), F.col(c)).alias(c) for widen, c in zip(p, on, strict=True)]) for p in wider])
+    candidates = one.select(owner, *[F.col(c).alias(f"_{c}") for c in on], F.explode(made).alias("w"))
+    real = candidates.filter(~reduce(lambda a, b: a & b, [F.col(f"w.{c}").eqNullSafe(F.col(f"_{c}")) for c in on]))
+    held = one.select(owner, *[F.col(c).alias(f"h_{c}") for c in on])
+    covered = real.join(held, [real[owner] == held[owner], *[real[f"w.{c}"].eqNullSafe(held[f"h_{c}"]) for c in on]], "left_semi").select(owner, *[F.col(f"_{c}").alias(c) for c in on])
+    return one.exceptAll(covered.distinct())
 
 
 def set_difference(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -36,8 +36,11 @@ def run_checks(monitors: DataFrame, rules: DataFrame, fetched: DataFrame, captur
 
 
 def fan_out(changes: DataFrame, subscriptions: DataFrame, stored: DataFrame) -> DataFrame:
-    """change_id, destination_id: deliveries to create for changes, one per destination however many subscriptions match."""
-    met = relations.wildcard_match(changes, subscriptions).select("change_id", "destination_id")
+    """change_id, destination_id: deliveries to create for changes, one per destination however many subscriptions match.
+
+    A destination's subscriptions are brought to the broadest ones first, so pairs that are dropped as repeats are hardly made.
+    """
+    met = relations.wildcard_match(changes, relations.broadest(subscriptions, "destination_id")).select("change_id", "destination_id")
     return insert_if_new(met, stored, ["change_id", "destination_id"], [])
 
 

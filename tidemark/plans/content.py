@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, text, urls
@@ -12,36 +12,30 @@ from tidemark.plans.bindings import CAPTURES, captures, table
 from tidemark.sources import pages
 
 
-def snapshots(rows: DataFrame) -> DataFrame:
+def snapshots(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
     """Captures with normalized_html, extracted_text and three hashes."""
-    done = rows.select(*rows.columns, F.inline(F.array(html.normalized(F.col("body"), F.col("url")))))
-    return done.select(
-        *rows.columns, "normalized_html", "extracted_text", text.sha256(F.col("body")).alias("raw_hash"),
-        text.sha256(F.col("normalized_html")).alias("normalized_hash"), text.sha256(F.col("extracted_text")).alias("text_hash"),
-    )
+    return rows.select(*rows.columns, F.inline(F.array(html.hashed(F.col("body"), F.col("url"), ignore, include))))
 
 
-def page_changes(rows: DataFrame) -> DataFrame:
-    """monitor_id, kind, level, dedupe_key, raw/normalized/text hash of captures (monitor_id, url, round, body) that differ from the one before.
+def page_changes(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
+    """monitor_id, round, kind, level, dedupe_key, normalized_hash, text_hash of captures (monitor_id, url, round, body) that differ from the one before.
 
-    A raw hash decides first: captures equal to their predecessor byte for byte are dropped before any
-    HTML is parsed, and the body is carried along so that the parse sees only rows that need it. First captures are
-    baselines and never changes. One shuffle by monitor serves the comparison.
+    Raw hashes decide first: captures are ordered and compared as rows of (monitor, round, hash), so no body is sorted and
+    no HTML parsed for a capture that equals its predecessor byte for byte. Bodies are fetched for the captures of
+    differing pairs alone, each is normalized once, and pairs meet again as hashes. First captures are baselines and never changes.
     """
     order = Window.partitionBy("monitor_id").orderBy("round")
-    raw = rows.withColumn("raw_hash", text.sha256(F.col("body")))
-    pairs = raw.withColumns({"old_raw": F.lag("raw_hash").over(order), "old_body": F.lag("body").over(order)}).filter("old_raw is not null and old_raw <> raw_hash")
-
-    def hashes(raw_hash: str, n: Column) -> Column:
-        return F.struct(F.col(raw_hash).alias("raw_hash"), text.sha256(n["normalized_html"]).alias("normalized_hash"), text.sha256(n["extracted_text"]).alias("text_hash"))
-
-    both = F.struct(html.normalized(F.col("old_body"), F.col("url")).alias("o"), html.normalized(F.col("body"), F.col("url")).alias("n"))
-    pair = text.let(both, lambda x: F.struct(hashes("old_raw", x["o"]).alias("old"), hashes("raw_hash", x["n"]).alias("new")))
-    # a generator keeps the optimizer from computing the pair once for the filter and once more for the result
-    found = pairs.select("monitor_id", "round", F.inline(F.filter(F.array(pair), lambda h: text.compared(h["old"], h["new"])[0])))
-    level = text.compared(F.col("old"), F.col("new"))[1]
+    raw = rows.select("monitor_id", "round", text.sha256(F.col("body")).alias("raw_hash"))
+    lagged = raw.withColumns({"old_raw": F.lag("raw_hash").over(order), "old_round": F.lag("round").over(order)})
+    pairs = lagged.filter("old_raw is not null and old_raw <> raw_hash")
+    needed = pairs.select("monitor_id", F.explode(F.array("round", "old_round")).alias("round")).distinct()
+    hashed = rows.join(needed, ["monitor_id", "round"]).select("monitor_id", "round", F.inline(F.array(html.hashed(F.col("body"), F.col("url"), ignore, include))))
+    hashed = hashed.select("monitor_id", "round", F.struct("raw_hash", "normalized_hash", "text_hash").alias("h"))
+    met = pairs.join(hashed, ["monitor_id", "round"]).withColumnRenamed("h", "new")
+    met = met.join(hashed.select("monitor_id", F.col("round").alias("old_round"), F.col("h").alias("old")), ["monitor_id", "old_round"])
+    changed, level = text.compared(F.col("old"), F.col("new"))
     key = F.when(level == "text_hash", F.col("new.text_hash")).otherwise(F.col("new.normalized_hash"))
-    return found.select("monitor_id", "round", F.lit("updated").alias("kind"), level.alias("level"), key.alias("dedupe_key"), "new.normalized_hash", "new.text_hash")
+    return met.filter(changed).select("monitor_id", "round", F.lit("updated").alias("kind"), level.alias("level"), key.alias("dedupe_key"), "new.normalized_hash", "new.text_hash")
 
 
 def content_changes(spark, sf_dir):

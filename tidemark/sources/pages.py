@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import urls
+from tidemark.functions.regions import VOID, selected, steps_of, traits
 from tidemark.operators.keyed import first_wins
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 def charset_of(content_type: Column) -> Column:
@@ -60,30 +60,21 @@ class Selected(HTMLParser):
 
     def __init__(self, item: str, fields: list[str]) -> None:
         super().__init__(convert_charrefs=True)
-        self.steps, self.fields = [s.lower() for s in item.split()], fields
-        self.path: list[str] = []
+        self.steps, self.fields = steps_of(item), fields
+        self.path: list[frozenset[str]] = []
+        self.names: list[str] = []
         self.items: list[dict] = []
         self.inside = 0
         self.into: str | None = None
         self.label = self.text = ""
 
-    def selected(self) -> bool:
-        """Whether the innermost element matches the last step and its ancestors the others, in order."""
-        left = list(self.steps)
-        if not self.path or not fits(self.path[-1], left.pop()):
-            return False
-        for element in reversed(self.path[:-1]):
-            if left and fits(element, left[-1]):
-                left.pop()
-        return not left
-
     def handle_starttag(self, tag, attrs):
         found = dict(attrs)
-        element = tag + "".join(f"#{x}" for x in (found.get("id") or "").split()) + "".join(f".{x}" for x in (found.get("class") or "").split())
         if tag in VOID:
             return
-        self.path.append(element)
-        if not self.inside and self.selected():
+        self.path.append(traits(tag, attrs))
+        self.names.append(tag)
+        if not self.inside and selected(self.path, self.steps):
             self.inside = len(self.path)
             self.items.append({"href": None, "title": "", "fields": {}})
         elif self.inside and tag == "a" and self.items[-1]["href"] is None and re.match(r"(?!(?:mailto|javascript|tel):).", found.get("href") or ""):
@@ -92,11 +83,10 @@ class Selected(HTMLParser):
             self.into, self.text = tag, ""
 
     def handle_endtag(self, tag):
-        name = lambda e: re.match(r"[^.#]*", e)[0]
-        if tag not in map(name, self.path):
+        if tag not in self.names:
             return
-        while name(self.path.pop()) != tag:
-            pass
+        depth = len(self.names) - self.names[::-1].index(tag)
+        del self.names[depth - 1 :], self.path[depth - 1 :]
         if self.into == tag == "dt":
             self.label = " ".join(self.text.split())
         elif self.into == tag == "dd" and self.label in self.fields:
@@ -113,17 +103,11 @@ class Selected(HTMLParser):
             self.text += data
 
 
-def fits(element: str, step: str) -> bool:
-    """tag, #id and .class of a step against an element written the same way."""
-    have = set(re.findall(r"^[^.#]+|[.#][^.#]+", element.lower()))
-    return all(x == "*" or x in have for x in re.findall(r"^[^.#]+|[.#][^.#]+", step))
-
-
 ITEM = "array<struct<href:string, title:string, fields:array<struct<name:string, value:string>>>>"
 
 
 def selected_items(item: str, fields: tuple[str, ...] = ()):
-    """A pandas UDF html -> items of the selector ``item`` (tag, #id, .class, descendants); fields are dt labels."""
+    """A pandas UDF html -> items of the selector ``item`` (tag, #id, .class, [name], [name=value], descendants); fields are dt labels."""
 
     @F.pandas_udf(ITEM)
     def items(html: pd.Series) -> pd.Series:
