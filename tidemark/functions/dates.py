@@ -11,7 +11,6 @@ CANONICAL = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 # Minutes east of UTC of the named zones.
 ZONES = {"ut": 0, "gmt": 0, "utc": 0, "z": 0, "est": -300, "edt": -240, "cst": -360, "cdt": -300, "mst": -420, "mdt": -360, "pst": -480, "pdt": -420}
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-RFC822 = r"^(?:[A-Za-z]{3},\s*)?(\d{1,2})\s+([A-Za-z]{3})\s+(\d{2,4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(?:\([^)]*\))?\s*([+-]\d{4}|[A-Za-z]+)?\s*$"
 
 
 def canonical(ts: Column) -> Column:
@@ -19,25 +18,46 @@ def canonical(ts: Column) -> Column:
 
 
 def rfc822(c: Column) -> Column:
-    """Canonical UTC text of an RFC 822 date; null where it is none or out of range."""
-    return let(F.regexp_replace(c, r"^\s+|\s+$", ""), _rfc822)
-
-
-def _rfc822(s: Column) -> Column:
-    part = lambda k: F.regexp_extract(s, RFC822, k)
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))).cast("int")
-    year = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 2, year + F.when(year < 70, 2000).otherwise(1900)).otherwise(year)
-    zone = F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv])
-    digits = part(7)
-    signed = F.when(F.left(digits, F.lit(1)) == "-", -1).otherwise(1) * (F.substring(digits, 2, 2).try_cast("int") * 60 + F.substring(digits, 4, 2).try_cast("int"))
-    offset = F.when(digits == "", 0).when(digits.rlike(r"^[+-]\d{4}$"), signed).otherwise(F.try_element_at(zone, F.lower(digits)))
-    second = F.coalesce(part(6).try_cast("int"), F.lit(0))
-    day, hour, minute = part(1).try_cast("int"), part(4).try_cast("int"), part(5).try_cast("int")
-    ok = s.rlike(RFC822) & (month > 0) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 59) & offset.isNotNull()
-    start = F.try_make_timestamp(year, month, F.lit(1), hour, minute, second)
-    at = F.timestamp_seconds(F.unix_timestamp(start) + (day - 1) * 86400 - offset * 60)
-    return F.when(ok, canonical(at))
+    """Canonical UTC text of an RFC 822 date; null where it is none or out of range.
+
+    Read by parts: comments and the day of the week go, then day, month, year, time and zone stand between spaces. The
+    zone may follow the time at once or be missing (UTC); two-digit years below 70 are of this century.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", " "), r"^\s*[A-Za-z]{3},", " "), r"\s+", " ")
+    apart = F.regexp_replace(F.trim(plain), r":(\d\d)(?=[A-Za-z+-])", ":$1 ")
+    return let(F.split(apart, " "), lambda parts: let(_fields(parts), _at))
+
+
+def _fields(parts: Column) -> Column:
+    part = lambda k: F.try_element_at(parts, F.lit(k))
+    number = lambda x, shape: F.when(x.rlike(shape), x.try_cast("int"))
+    clock = F.split(part(4), ":")
+    unit = lambda k, shape: number(F.try_element_at(clock, F.lit(k)), shape)
+    year, zone = number(part(3), r"^\d{2,4}$"), part(5)
+    century = F.when(F.length(part(3)) == 2, F.when(year < 70, 2000).otherwise(1900)).otherwise(0)
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in ZONES.items() for x in kv]), F.lower(zone))
+    shift = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")
+    offset = F.when(zone.isNull(), 0).when(zone.rlike(r"^\+\d{4}$"), shift).when(zone.rlike(r"^-\d{4}$"), -shift).otherwise(named)
+    whole = F.size(parts).between(4, 5) & F.size(clock).between(2, 3)
+    second = F.when(F.size(clock) == 3, unit(3, r"^\d{2}$")).otherwise(0)
+    month = F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(part(2))).cast("int"), F.lit(0))
+    return F.struct(
+        whole.alias("whole"), number(part(1), r"^\d{1,2}$").alias("day"), month.alias("month"), (year + century).alias("year"),
+        unit(1, r"^\d{1,2}$").alias("hour"), unit(2, r"^\d{2}$").alias("minute"), second.alias("second"), offset.alias("offset"),
+    )
+
+
+def _at(x: Column) -> Column:
+    """Days beyond a month's end run into the next one."""
+    inside = x["whole"] & x["day"].between(1, 31) & (x["hour"] < 24) & (x["minute"] < 60) & (x["second"] < 60)
+    start = F.try_make_timestamp(x["year"], x["month"], F.lit(1), x["hour"], x["minute"], x["second"])
+    return F.when(inside, canonical(F.timestamp_seconds(F.unix_timestamp(start) + (x["day"] - 1) * 86400 - x["offset"] * 60)))
+
+
+def feed_date(c: Column) -> Column:
+    """Canonical UTC text of an RFC 822 or ISO 8601 date, null if it is neither."""
+    s = F.trim(c)
+    return F.coalesce(rfc822(c), F.when(s.rlike(r"^\d{4}-\d{2}"), canonical(F.try_to_timestamp(s))))
 
 
 def iso(c: Column) -> Column:

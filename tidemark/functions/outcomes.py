@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import dates, text
 from tidemark.functions.dates import rfc822
 
 # Failure classes by what may follow them.
 PROCEED_BY_DEFAULT = ("network_error", "timeout", "http_5xx")
 NEVER_PROCEED = ("blocked_by_robots", "ssrf_blocked", "not_found", "auth_required", "too_large", "captcha_challenge")
 TRANSIENT = ("http_5xx", "network_error")
-LABELS = {"new": "New", "updated": "Updated", "removed": "Removed"}
+# How a notification names and colours a kind of change, and how long its parts may be.
+LABELS = {"new": "新規検出", "updated": "更新検出", "removed": "削除検出"}
+COLOURS = {"new": 0x57F287, "updated": 0xFEE75C, "removed": 0xED4245}
+MOST_PREVIEW, MOST_DESCRIPTION, MOST_TITLE = 900, 4096, 256
 
 
 def captcha(header_names: Column, body: Column) -> Column:
@@ -72,7 +76,7 @@ def permanent(status: Column) -> Column:
 def jitter_s(key: Column, interval: Column) -> Column:
     """Up to a tenth of the interval, 60 s at most; by hash, so that reruns agree."""
     most = F.least(F.floor(interval / 10), F.lit(60)).cast("long")
-    return F.pmod(F.crc32(key), most + 1)
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long"), most + 1)
 
 
 def masked_url(url: Column) -> Column:
@@ -90,10 +94,18 @@ def webhook_host_ok(host: Column, allowed: tuple[str, ...]) -> Column:
 
 
 def payload(title: Column, kind: Column, url: Column, site: Column, preview: Column, detected: Column) -> Column:
-    """A notification as JSON text."""
-    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[kind]
-    embed = F.struct(F.substring(F.coalesce(title, url), 1, 256).alias("title"), url.alias("url"), F.substring(preview, 1, 4096).alias("description"), detected.alias("timestamp"))
-    return F.to_json(F.struct(F.concat(F.lit("["), label, F.lit("] "), site).alias("content"), F.array(embed).alias("embeds")))
+    """A notification as JSON text: one embed with colour, a description of kind, URL, time and difference, and the time if it is one.
+
+    ``detected`` is text; the title falls back to the name of the site, an empty preview is left out.
+    """
+    of_kind = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[kind]
+    shown = F.when(preview != "", F.concat(F.lit("\n```diff\n"), text.preview(preview, MOST_PREVIEW, "\n…(truncated)"), F.lit("\n```")))
+    lines = F.concat(F.lit("**種別**: "), of_kind(LABELS), F.lit("\n**URL**: "), url, F.lit("\n**検出日時**: "), dates.shifted(detected), F.coalesce(shown, F.lit("")))
+    embed = F.struct(
+        text.shortened(F.coalesce(title, site), MOST_TITLE).alias("title"), of_kind(COLOURS).alias("color"), text.shortened(lines, MOST_DESCRIPTION).alias("description"),
+        dates.canonical(F.try_to_timestamp(detected)).alias("timestamp"),
+    )
+    return F.to_json(F.struct(F.array(embed).alias("embeds")))
 
 
 def sealed(secret: Column, key: Column, iv: Column) -> Column:

@@ -51,16 +51,19 @@ def cached_rules(targets: DataFrame, cache: DataFrame, now: str, ttl_s: int = 36
     return targets.join(fresh, "origin", "left").withColumn("from_cache", F.col("fetched_at").isNotNull())
 
 
-def recipe(kind: Column, has_items: Column, traverse: Column) -> Column:
-    """The processor of a source type and its configuration."""
+def recipe(kind: Column, config: Column) -> Column:
+    """The recipe of a source by its type and the modes of its JSON configuration (null: none)."""
+    mode = lambda name: F.coalesce(F.get_json_object(config, f"$.{name}"), F.lit(""))
     return (
-        F.when(kind.isin("rss", "atom"), "feed").when((kind == "page") & has_items, "page_items").when(kind == "page", "page").when(kind.isin("sitemap", "sitemap-index") & traverse, "sitemap_traversal").when(kind.isin("sitemap", "sitemap-index"), "sitemap_direct")
+        F.when(kind.isin("rss", "atom"), "feed")
+        .when(kind == "page", F.when(mode("page_mode") == "extract", "page:extract").otherwise("page:content"))
+        .when(kind.isin("sitemap", "sitemap-index"), F.when(mode("sitemap_mode") == "traverse", "sitemap:traverse").otherwise("sitemap:direct"))
     )
 
 
-# The stages of each processor, in order.
+# The stages of each recipe, in order.
 STAGES = {
-    "page": "normalize,store,compare,diff,notify", "page_items": "extract,detect,enrich,notify", "feed": "parse,detect,enrich,notify", "sitemap_direct": "document,compare,diff,notify", "sitemap_traversal": "children,select,traverse,detect,enrich,notify",
+    "page:extract": "fetch,extract,diff,notify", "page:content": "fetch,content-diff,notify", "sitemap:traverse": "traverse,diff,notify", "sitemap:direct": "fetch,sitemap-diff,notify", "feed": "fetch,extract,diff,notify",
 }
 
 
@@ -88,8 +91,9 @@ def robots_cache(spark, sf_dir):
 
 def recipes(spark, sf_dir):
     kinds = F.array(*[F.lit(x) for x in ("page", "rss", "atom", "sitemap", "sitemap-index")])
-    kind = F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int"))
-    r = recipe(kind, F.col("page_id") % 2 == 0, F.col("page_id") % 3 == 0)
+    kind, k = F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int")), F.col("page_id") % 4
+    config = F.when(k == 0, '{"page_mode":"extract","sitemap_mode":"traverse"}').when(k == 1, '{"page_mode":"content","sitemap_mode":"direct"}').when(k == 2, "{}")
+    r = recipe(kind, config)
     stages = F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv])
     return b.table(spark, sf_dir, "pages").select("page_id", r.alias("recipe"), stages[r].alias("stages"))
 
@@ -115,7 +119,6 @@ def same_origin_links(spark, sf_dir):
     return links.select("page_id", "pos", (urls.origin(target) == F.col("site_id")).alias("inside"))
 
 
-_S = "CASE page_id % 5 WHEN 0 THEN CASE WHEN page_id % 2 = 0 THEN 'page_items' ELSE 'page' END WHEN 1 THEN 'feed' WHEN 2 THEN 'feed' ELSE CASE WHEN page_id % 3 = 0 THEN 'sitemap_traversal' ELSE 'sitemap_direct' END END"
 QUERIES = {
     "checks_run": (
         checks_run,
@@ -130,7 +133,12 @@ m AS (SELECT destination_id, change_id FROM s JOIN c ON s.monitor_id = c.monitor
 SELECT destination_id, count(*) AS n, CAST(sum(change_id) AS BIGINT) AS ids FROM m ANTI JOIN {b.DELIVERIES} d USING (change_id, destination_id) GROUP BY destination_id""",
     ),
     "robots_cache": (robots_cache, f"SELECT origin_id AS origin, bool_or(seen_at <= TIMESTAMP '2024-01-15' AND seen_at > TIMESTAMP '2024-01-14 23:00:00') AS from_cache FROM {b.ATTEMPTS} GROUP BY ALL"),
-    "recipes": (recipes, f"SELECT page_id, {_S} AS recipe, CASE {_S} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STAGES.items()) + " END AS stages FROM pages"),
+    "recipes": (
+        recipes,
+        """SELECT page_id, CASE WHEN page_id % 5 IN (1, 2) THEN 'feed' WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 4 = 0 THEN 'page:extract' ELSE 'page:content' END ELSE CASE WHEN page_id % 4 = 0 THEN 'sitemap:traverse' ELSE 'sitemap:direct' END END AS recipe,
+ CASE WHEN page_id % 5 IN (1, 2) THEN 'fetch,extract,diff,notify' WHEN page_id % 5 = 0 THEN CASE WHEN page_id % 4 = 0 THEN 'fetch,extract,diff,notify' ELSE 'fetch,content-diff,notify' END
+      ELSE CASE WHEN page_id % 4 = 0 THEN 'traverse,diff,notify' ELSE 'fetch,sitemap-diff,notify' END END AS stages FROM pages""",
+    ),
     "config_reshaped": (config_reshaped, """SELECT event_id, '{"itemSelector":' || json_extract_string(props, '$.k') || '}' AS config FROM events"""),
     "response_signals": (
         response_signals,

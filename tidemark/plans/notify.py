@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -14,10 +13,13 @@ from tidemark.streaming import delivery, limiter
 
 
 def notification_payload(spark, sf_dir):
+    """Changes with and without a title, a preview (none, empty, short, too long) and a time that is one."""
     n = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("monitor_id"), F.col("c_name").alias("site"))
-    c = b.changes(spark, sf_dir).join(n, "monitor_id")
-    p = outcomes.payload(F.concat(F.lit("Change "), F.col("change_id").cast("string")), F.col("kind"), F.concat(F.lit("https://x.org/"), F.col("change_id").cast("string")), F.col("site"), F.lit("diff"), F.date_format("detected_at", "yyyy-MM-dd"))
-    return c.select("change_id", p.alias("payload"))
+    c, k = b.changes(spark, sf_dir).join(n, "monitor_id"), F.col("change_id")
+    title = F.when(k % 3 == 0, None).when(k % 3 == 1, F.repeat(F.lit("t"), 300)).otherwise(F.concat(F.lit("Change "), k.cast("string")))
+    preview = F.when(k % 4 == 1, "").when(k % 4 == 2, "+ added").when(k % 4 == 3, F.repeat(F.lit("-x"), 500))
+    at = F.when(k % 5 == 0, "unknown").otherwise(F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return c.select("change_id", outcomes.payload(title, F.col("kind"), F.concat(F.lit("https://x.org/"), k.cast("string")), F.col("site"), preview, at).alias("payload"))
 
 
 def jst_format(spark, sf_dir):
@@ -56,8 +58,7 @@ def schedule_next(spark, sf_dir):
 
 def change_stream(spark, sf_dir):
     """Orders streamed twice into a change table: the second time adds nothing."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidemark-")
-    at = f"{root}/stream/{uuid.uuid4().hex}"
+    at = f"{b.scratch(spark)}/stream/{uuid.uuid4().hex}"
     source = b.changes(spark, sf_dir)
     source.write.parquet(f"{at}/in")
     for run in (1, 2):
@@ -69,8 +70,13 @@ def change_stream(spark, sf_dir):
 QUERIES = {
     "notification_payload": (
         notification_payload,
-        f"""SELECT change_id, '{{"content":"[' || CASE kind WHEN 'new' THEN 'New' WHEN 'updated' THEN 'Updated' ELSE 'Removed' END || '] ' || c_name || '","embeds":[{{"title":"Change ' || change_id || '","url":"https://x.org/' || change_id
- || '","description":"diff","timestamp":"' || strftime(detected_at, '%Y-%m-%d') || '"}}]}}' AS payload FROM {b.CHANGES} JOIN customer ON c_custkey = monitor_id""",
+        rf"""SELECT change_id, '{{"embeds":[{{"title":"' || CASE change_id % 3 WHEN 0 THEN c_name WHEN 1 THEN repeat('t', 255) || '…' ELSE 'Change ' || change_id END
+ || '","color":' || CASE kind WHEN 'new' THEN 5763719 WHEN 'updated' THEN 16705372 ELSE 15548997 END
+ || ',"description":"**種別**: ' || CASE kind WHEN 'new' THEN '新規検出' WHEN 'updated' THEN '更新検出' ELSE '削除検出' END || '\n**URL**: https://x.org/' || change_id
+ || '\n**検出日時**: ' || CASE WHEN change_id % 5 = 0 THEN 'unknown' ELSE strftime(detected_at, '%Y-%m-%d') || ' 09:00:00 JST' END
+ || CASE change_id % 4 WHEN 2 THEN '\n```diff\n+ added\n```' WHEN 3 THEN '\n```diff\n' || repeat('-x', 450) || '\n…(truncated)\n```' ELSE '' END || '"'
+ || CASE WHEN change_id % 5 = 0 THEN '' ELSE ',"timestamp":"' || strftime(detected_at, '%Y-%m-%d') || 'T00:00:00.000Z"' END || '}}]}}' AS payload
+FROM {b.CHANGES} JOIN customer ON c_custkey = monitor_id""",
     ),
     "jst_format": (jst_format, f"SELECT change_id, CASE WHEN change_id % 5 = 0 THEN 'unknown' ELSE strftime(detected_at + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') || ' JST' END AS shown FROM {b.CHANGES}"),
     "preview_truncation": (
@@ -87,6 +93,10 @@ SELECT s.delivery_id, CASE WHEN ends IS NOT NULL THEN CASE a.status_code WHEN 20
 FROM s LEFT JOIN a ON a.delivery_id = s.delivery_id AND a.n = s.ends""",
     ),
     "limiter_decisions": (limiter_decisions, None),
-    "schedule_next": (schedule_next, None),
+    "schedule_next": (
+        schedule_next,
+        f"""SELECT monitor_id, CAST(epoch(TIMESTAMP '{b.AS_OF}') AS BIGINT) + interval_seconds + CAST(('0x' || substr(md5(CAST(monitor_id AS VARCHAR)), 1, 8)) AS BIGINT) % (least(interval_seconds // 10, 60) + 1) AS next_run_s
+FROM {b.MONITORS}""",
+    ),
     "change_stream": (change_stream, f"SELECT monitor_id, dedupe_key, change_id, kind FROM {b.CHANGES} QUALIFY row_number() OVER (PARTITION BY monitor_id, dedupe_key ORDER BY detected_at, change_id) = 1"),
 }

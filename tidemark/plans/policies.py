@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import network, outcomes
+from tidemark.functions import configs, network, outcomes
 from tidemark.operators import policy, relations
 from tidemark.plans import bindings as b
 from tidemark.sources import robots
@@ -97,11 +97,23 @@ def failure_streak(spark, sf_dir):
     return s.select("attempt_id", "streak", outcomes.backoff_ms(F.col("streak")).alias("wait_ms"), (F.col("streak") >= 5).alias("breaker_open"))
 
 
+# Configurations by type of source: (type, configuration or null, keys not taken, error).
+CONFIGS = [
+    ("page", None, None, None), ("page", "{}", "", None), ("page", '{"page_mode":"content","ignore_selectors":[".ad"],"strip_query_params":["x"]}', "", None), ("page", '{"max_depth":2,"page_mode":"content"}', "max_depth", "config_not_applicable"),
+    ("page", '{"page_mode":"extract"}', "", "invalid_selector"), ("page", '{"page_mode":"extract","extract":{"item_selector":"ul.news > > li"}}', "", "invalid_selector"), ("page", '{"page_mode":"extract","extract":{"item_selector":"ul.news li"}}', "", None),
+    ("page", '{"extract":{"item_selector":"li","fields":[{"name":"a","selector":"b","label":"c"}]}}', "", "invalid_field"), ("page", '{"extract":{"item_selector":"li","fields":[{"name":"a"}]}}', "", "invalid_field"),
+    ("page", '{"extract":{"item_selector":"li","fields":[{"name":"a","label":"c"},{"name":"b","selector":"[["}]}}', "", "invalid_selector"), ("page", '{"extract":{"item_selector":"li","fields":[{"name":"a","label":"c"}]}}', "", None),
+    ("sitemap", '{"sitemap_mode":"traverse","max_depth":2,"child_include_patterns":["a*"]}', "", None), ("sitemap-index", '{"lastmod_max_age_days":3}', "", None), ("sitemap", '{"page_mode":"extract","extract":{}}', "page_mode,extract", "config_not_applicable"),
+    ("rss", None, None, None), ("rss", "{}", "", "config_not_applicable"), ("atom", '{"max_depth":1}', "max_depth", "config_not_applicable"),
+]
+
+
 def config_applicability(spark, sf_dir):
-    """Keys of a source's JSON configuration that its type does not take."""
-    keys = F.json_object_keys("props")
-    allowed = F.when(F.col("event_type") == "click", F.array(F.lit("k"))).otherwise(F.array().cast("array<string>"))
-    return b.table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_except(keys, allowed), ",").alias("not_applicable"))
+    """Configurations of pages, sitemaps and feeds: keys that their type does not take, and the first error."""
+    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(CONFIGS)], "case int, kind string, config string")
+    k, c = F.col("kind"), F.col("config")
+    e = b.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(CONFIGS)).cast("int").alias("case"))
+    return e.join(rows, "case").select("event_id", F.array_join(configs.not_applicable(k, c), ",").alias("not_applicable"), configs.config_error(k, c).alias("error"))
 
 
 def retry_after(spark, sf_dir):
@@ -112,6 +124,7 @@ def retry_after(spark, sf_dir):
 
 
 _HOSTS = ", ".join(f"('{h}', {f"'{r}'" if r else 'NULL'})" for h, r in HOSTS)
+_CONFIGS = ", ".join(f"({i}, {', '.join(f"'{v}'" if v is not None else 'NULL::VARCHAR' for v in x[2:])})" for i, x in enumerate(CONFIGS))
 QUERIES = {
     "host_classes": (host_classes, f"SELECT * FROM (VALUES {_HOSTS}) t(host, reason)"),
     "ipv4_classify": (
@@ -163,6 +176,6 @@ SELECT e.job_id, max(e.f) FILTER (WHERE e.i = s.stop) AS outcome, CAST(sum(used)
 SELECT attempt_id, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY origin_id, g ORDER BY seen_at, attempt_id) AS BIGINT) AS streak FROM (
 SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY origin_id ORDER BY seen_at, attempt_id) AS g FROM {b.ATTEMPTS}))""",
     ),
-    "config_applicability": (config_applicability, "SELECT event_id, array_to_string(list_filter(json_keys(props), lambda x: event_type <> 'click' OR x <> 'k'), ',') AS not_applicable FROM events"),
+    "config_applicability": (config_applicability, f"SELECT event_id, not_applicable, error FROM events JOIN (VALUES {_CONFIGS}) t(c, not_applicable, error) ON event_id % {len(CONFIGS)} = c"),
     "retry_after": (retry_after, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 500 WHEN 1 THEN (event_id % 60) * 60 END AS seconds FROM events"),
 }

@@ -49,7 +49,7 @@ def rss_items(df: DataFrame, key: str = "doc", xml: str = "xml") -> DataFrame:
     field = lambda c: blank_null(F.col(f"x.{c}"))
     rows = x.select(
         key, F.col("pos").cast("long").alias("pos"), F.coalesce(field("guid"), field("link"), fallback_key(field("title"), field("pubDate"))).alias("stable_key"), field("link").alias("url"),
-        field("title").alias("title"), dates.rfc822(field("pubDate")).alias("published_at"), F.lit(None).cast("string").alias("updated_at"), field("description").alias("summary"),
+        field("title").alias("title"), dates.feed_date(field("pubDate")).alias("published_at"), F.lit(None).cast("string").alias("updated_at"), field("description").alias("summary"),
     )
     return first_wins(rows, [key, "stable_key"], ["pos"])
 
