@@ -1,5 +1,7 @@
 """Expressions against stated facts, a row per fact."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ def each(spark):
 
     def run(expression, *rows):
         table = [(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
-        names = ["a", "b", "c"][: len(table[0]) - 1]
+        names = ["a", "b", "c", "d"][: len(table[0]) - 1]
         df = spark.createDataFrame(table, "i int, " + ", ".join(f"{n} string" for n in names))
         out = df.select("i", expression(*[F.col(n) for n in names]).alias("x")).orderBy("i").collect()
         return [r.x for r in out]
@@ -110,3 +112,27 @@ def test_previews(each):
     assert each(lambda c: text.preview(c, 3, "!"), "abc", "abcd", None) == ["abc", "abc!", None]
     assert each(lambda c: text.shortened(c, 3), "abc", "abcd") == ["abc", "ab…"]
     assert each(text.field_text, " a&nbsp; b ", None) == ["a b", None]
+
+
+def test_payload(each):
+    f = lambda t, k, p, d: outcomes.payload(t, k, F.lit("https://e.org/a"), F.lit("Site"), p, d)
+    rows = [(None, "new", None, "2024-01-01T15:04:05Z"), ("T" * 300, "removed", "x" * 901, "no date"), ("T", "updated", "", "2024-06-30T20:00:00.000Z")]
+    got = [json.loads(x) for x in each(f, *rows)]
+    assert got[0] == {"embeds": [{"title": "Site", "color": 0x57F287, "description": "**種別**: 新規検出\n**URL**: https://e.org/a\n**検出日時**: 2024-01-02 00:04:05 JST", "timestamp": "2024-01-01T15:04:05.000Z"}]}
+    one = got[1]["embeds"][0]
+    assert one["title"] == "T" * 255 + "…" and one["color"] == 0xED4245 and "timestamp" not in one
+    assert one["description"].endswith("**検出日時**: no date\n```diff\n" + "x" * 900 + "\n…(truncated)\n```")
+    assert "diff" not in got[2]["embeds"][0]["description"] and "更新検出" in got[2]["embeds"][0]["description"]
+
+
+def test_masked_urls(each):
+    assert each(outcomes.masked_url, "https://h.example:8443/api/secret", "nonsense") == ["h.example:8443/***cret", "***ense"]
+
+
+def test_rfc822_parts(each):
+    rows = {
+        "Wed, 02 Oct 2002 08:00:00 EST": "2002-10-02T13:00:00.000Z", "2 Oct 02 08:00 GMT": "2002-10-02T08:00:00.000Z", "02 Oct 99 08:00:01+0900": "1999-10-01T23:00:01.000Z", "Tue, 1 Jul 2003 10:52:37 +0200 (CEST)": "2003-07-01T08:52:37.000Z",
+        "02 Oct 2002 08:00": "2002-10-02T08:00:00.000Z", "02 Oct 2002 24:00:00 GMT": None, "02 Foo 2002 08:00:00 GMT": None, "02 Oct 2002 08:00:00 XYZ": None, "Oct 2002": None, "": None, None: None,
+    }
+    assert each(dates.rfc822, *rows) == list(rows.values())
+    assert each(dates.feed_date, "2024-01-02", "02 Jan 2024 00:00 Z", "soon") == ["2024-01-02T00:00:00.000Z", "2024-01-02T00:00:00.000Z", None]

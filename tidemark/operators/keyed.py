@@ -63,3 +63,9 @@ def without(df: DataFrame, victims: DataFrame, keys: Sequence[str]) -> DataFrame
 def put_if_absent(blobs: DataFrame, stored: DataFrame) -> DataFrame:
     """Content-addressed rows (key, body) not stored yet, one per key."""
     return blobs.groupBy("key").agg(F.any_value("body").alias("body")).join(stored.select("key"), "key", "left_anti")
+
+
+def read_blobs(rows: DataFrame, blobs: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``body``: the blob (key, body) that ``key`` names, empty where there is none."""
+    found = blobs.select(F.col("key").alias("_k"), F.col("body").alias("_b"))
+    return rows.join(found, F.col(key) == F.col("_k"), "left").withColumn("body", F.coalesce("_b", F.lit(""))).drop("_k", "_b")

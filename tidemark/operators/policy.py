@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import outcomes, urls
+from tidemark.operators.keyed import latest
+from tidemark.sources import robots
 
 
 def fetch_sequence(tries: DataFrame, attempts: int = 3, retries: int = 2) -> DataFrame:
@@ -59,6 +61,30 @@ def robots_verdict(targets: DataFrame, rules: DataFrame, agent: str) -> DataFram
     )
 
 
+def robots_check(targets: DataFrame, cache: DataFrame, fetches: DataFrame, agent: str, now: str, ttl_s: int = 3600) -> DataFrame:
+    """``targets`` (origin, url, ...) with verdict, agent_group, matched_rule, from_cache and unavailable.
+
+    ``cache``: origin, fetched_at, body, unavailable; an origin's newest entry that is younger than ``ttl_s`` and not of the future
+    gives its rules. The others take what was fetched now (origin, status, body): 2xx its text, 4xx allows everything, anything
+    else, or no answer at all, is unavailable and closes the origin.
+    """
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("fetched_at")
+    fresh = latest(cache.filter((age >= 0) & (age < ttl_s)), ["origin"], ["fetched_at", "body"]).select("origin", "body", "unavailable", F.lit(True).alias("from_cache"))
+    new = robots.from_fetches(fetches).join(fresh, "origin", "left_anti").select("origin", "body", "unavailable", F.lit(False).alias("from_cache"))
+    known = fresh.unionByName(new)
+    rules = robots.parsed(known.filter("not unavailable").select("origin", "body"))
+    judged = robots_verdict(targets, rules, agent).join(known.drop("body"), "origin", "left")
+    closed = F.coalesce("unavailable", F.lit(True))
+    return judged.select(
+        *targets.columns,
+        F.when(closed, "disallowed").otherwise(F.col("verdict")).alias("verdict"),
+        F.when(closed, "unavailable").otherwise(F.col("agent_group")).alias("agent_group"),
+        F.when(~closed, F.col("matched_rule")).alias("matched_rule"),
+        F.coalesce("from_cache", F.lit(False)).alias("from_cache"),
+        closed.alias("unavailable"),
+    )
+
+
 def dns_verdict(hosts: DataFrame, answers: DataFrame, reason) -> DataFrame:
     """``hosts`` (host) with reason: the first blocked answer's, or dns_resolution_failed without one; null if all are public."""
     seen = answers.groupBy("host").agg(F.min(F.when(reason.isNotNull(), F.struct("pos", reason.alias("r")))).alias("bad"))

@@ -45,6 +45,18 @@ def guarded_delete(df: DataFrame, wanted: DataFrame, children: DataFrame, keys:
     return met.withColumn("outcome", outcome).drop("_w", "_c")
 
 
+def cascade(relations: dict[str, DataFrame], gone: DataFrame, root: str, key: str, parents: dict[str, tuple[str, str]], own: dict[str, str]) -> dict[str, DataFrame]:
+    """Survivors of every relation after the rows ``gone`` (by ``key``) of ``root`` went with all that hangs on them.
+
+    ``parents``: relation -> (parent relation, column that both have); parents stand before what hangs on them. ``own``:
+    the column by which a relation's rows are named. A relation's victims are found before any row is taken away.
+    """
+    victims = {root: relations[root].join(gone.select(key).distinct(), key, "left_semi")}
+    for name, (parent, column) in parents.items():
+        victims[name] = relations[name].join(victims[parent].select(column).distinct(), column, "left_semi")
+    return {name: without(df, victims[name], [own[name]]) if name in victims else df for name, df in relations.items()}
+
+
 def held_watermark(stored: DataFrame, work: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
     """Watermarks raised only where all work was done (``done`` of ``work``), so that truncated work is met again."""
     seen = work.groupBy(*keys).agg(F.max(mark).alias("_m"), F.bool_and("done").alias("_d"))
@@ -53,10 +65,10 @@ def held_watermark(stored: DataFrame, work: DataFrame, keys: Sequence[str], mark
 
 
 def recorded(deliveries: DataFrame, sends: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Deliveries (status, attempt_count) after sends (keys, result): one attempt more, and the result's status."""
+    """Deliveries (status, attempt_count) after sends (keys, result): the result's status, and one attempt more where it failed."""
     status = F.when(F.col("_r") == "retry", "failed").otherwise(F.coalesce("_r", "status"))
     got = sends.groupBy(*keys).agg(F.max("result").alias("_r"))
-    return deliveries.join(got, list(keys), "left").withColumns({"status": status, "attempt_count": F.col("attempt_count") + F.col("_r").isNotNull().cast("long")}).drop("_r")
+    return deliveries.join(got, list(keys), "left").withColumns({"status": status, "attempt_count": F.col("attempt_count") + F.coalesce(F.col("_r") != "delivered", F.lit(False)).cast("long")}).drop("_r")
 
 
 def breaker_until(streak: Column, at: Column) -> Column:

@@ -84,7 +84,7 @@ FROM {b.CHANGES} JOIN customer ON c_custkey = monitor_id""",
         """SELECT doc_id, sha256(CASE WHEN length(t) > 2000 THEN substr(t, 1, 2000) || chr(10) || '… (truncated)' ELSE t END) AS preview, CASE WHEN length(t) > 256 THEN substr(t, 1, 255) || '…' ELSE t END AS short
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     ),
-    "webhook_mask": (webhook_mask, "SELECT s_suppkey AS destination_id, CASE WHEN s_suppkey % 7 = 0 THEN 'invalid-url' ELSE 'hooks.example.org' END || '/***' || right(s_name, 4) AS masked FROM supplier"),
+    "webhook_mask": (webhook_mask, "SELECT s_suppkey AS destination_id, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'hooks.example.org/' END || '***' || right(s_name, 4) AS masked FROM supplier"),
     "delivery_outcomes": (
         delivery_outcomes,
         f"""WITH a AS (SELECT origin_id || '-' || attempt_id // 700 AS delivery_id, row_number() OVER (PARTITION BY origin_id, attempt_id // 700 ORDER BY seen_at, attempt_id) AS n, status_code FROM {b.ATTEMPTS}),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check, content, feeds, notify, policies, relational, states
+from tidemark.plans import check, composites, content, feeds, notify, policies, relational, states
 
-GROUPS = (content, relational, policies, feeds, notify, check, states)
+GROUPS = (content, relational, policies, feeds, notify, check, states, composites)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -22,10 +22,10 @@ def job_insert_if_new(spark, sf_dir):
 
 
 def job_status_update(spark, sf_dir):
-    """Jobs after their runs: the last status counts, times that a run does not tell stay."""
+    """Jobs after their runs: the last status counts, times that a run does not tell stay; runs of jobs beyond the stored ones add nothing."""
     jobs = b.changes(spark, sf_dir).select(F.col("change_id").alias("job_id"), F.lit("pending").alias("status"), F.when(F.col("change_id") % 2 == 0, _day("detected_at")).alias("started_on"))
-    runs = b.deliveries(spark, sf_dir).select(F.col("change_id").alias("job_id"), "line", "status", F.when(F.col("status") != "pending", _day("claimed_at")).alias("started_on"))
-    return transitions.updated(jobs, runs.filter("line % 2 = 1"), ["job_id"], ["line", "status", "started_on"])
+    runs = b.deliveries(spark, sf_dir).select((F.col("change_id") + 1).alias("job_id"), "line", "status", F.when(F.col("status") != "pending", _day("claimed_at")).alias("started_on"))
+    return transitions.updated(jobs, runs, ["job_id"], ["line", "status", "started_on"])
 
 
 def robots_policy_upsert(spark, sf_dir):
@@ -58,7 +58,7 @@ def delivery_recorded(spark, sf_dir):
 def policy_replace(spark, sf_dir):
     """Fetchers of sites, in order; sites of which a new list came have that list alone."""
     stored = b.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("site_id"), F.col("s_suppkey").alias("fetcher_id"))
-    batch = b.table(spark, sf_dir, "customer").filter("c_nationkey < 5 and c_custkey % 10 = 0").select(F.col("c_nationkey").cast("long").alias("site_id"), F.col("c_custkey").alias("fetcher_id"))
+    batch = b.table(spark, sf_dir, "customer").select((F.col("c_nationkey") * 2).cast("long").alias("site_id"), F.col("c_custkey").alias("fetcher_id"))
     return transitions.replaced(stored, batch, ["site_id"])
 
 
@@ -170,7 +170,7 @@ SELECT monitor_id, slot, min(job_id) AS job_id FROM j WHERE job_id % 4 <> 0 AND
     ),
     "job_status_update": (
         job_status_update,
-        f"""WITH r AS (SELECT change_id, status, CASE WHEN status <> 'pending' THEN strftime(claimed_at, '%Y-%m-%d') END AS started_on FROM {b.DELIVERIES} WHERE line % 2 = 1
+        f"""WITH r AS (SELECT change_id + 1 AS change_id, status, CASE WHEN status <> 'pending' THEN strftime(claimed_at, '%Y-%m-%d') END AS started_on FROM {b.DELIVERIES}
 QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY line DESC, status DESC, started_on DESC NULLS LAST) = 1)
 SELECT c.change_id AS job_id, coalesce(r.status, 'pending') AS status, coalesce(r.started_on, CASE WHEN c.change_id % 2 = 0 THEN strftime(c.detected_at, '%Y-%m-%d') END) AS started_on
 FROM {b.CHANGES} c LEFT JOIN r ON r.change_id = c.change_id""",
@@ -191,11 +191,11 @@ CASE WHEN monitor_id % 4 <> 2 THEN CAST(epoch(TIMESTAMP '{b.AS_OF}') AS BIGINT)
         delivery_recorded,
         f"""WITH d AS (SELECT * FROM {b.DELIVERIES} QUALIFY row_number() OVER (PARTITION BY change_id, destination_id ORDER BY line, status, claimed_at) = 1)
 SELECT change_id, destination_id, line, CASE WHEN status <> 'sending' THEN status WHEN line % 3 = 0 THEN 'delivered' WHEN line % 3 = 1 THEN 'failed' ELSE 'dead' END AS status,
-line + CASE WHEN status = 'sending' THEN 1 ELSE 0 END AS attempt_count FROM d""",
+line + CASE WHEN status = 'sending' AND line % 3 <> 0 THEN 1 ELSE 0 END AS attempt_count FROM d""",
     ),
     "policy_replace": (
         policy_replace,
-        """WITH n AS (SELECT c_nationkey::BIGINT AS site_id, c_custkey AS fetcher_id FROM customer WHERE c_nationkey < 5 AND c_custkey % 10 = 0)
+        """WITH n AS (SELECT c_nationkey::BIGINT * 2 AS site_id, c_custkey AS fetcher_id FROM customer)
 SELECT s_nationkey::BIGINT AS site_id, s_suppkey AS fetcher_id FROM supplier WHERE s_nationkey NOT IN (SELECT site_id FROM n) UNION ALL SELECT * FROM n""",
     ),
     "fetch_plan": (

@@ -29,6 +29,34 @@ def settled(attempts: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
     return out.select("delivery_id", status.alias("status"), F.coalesce("e.attempt_no", "made").alias("attempts"))
 
 
+def step(deliveries: DataFrame, messages: DataFrame, responses: DataFrame, now: str, most: int = MOST_ATTEMPTS, stale_s: int = 300) -> DataFrame:
+    """``deliveries`` after one batch of messages, with ``reply`` (ack, retry; null without a message) and ``delay_s``.
+
+    ``deliveries``: delivery_id, status, attempt_count, claimed_at, archived. ``messages``: delivery_id, repeats count once. ``responses``:
+    delivery_id, status_code (null: no answer), retry_after_s. A message claims a delivery that is pending or failed, or whose
+    claim is older than ``stale_s``; others are acknowledged and change nothing. A claimed one to an archived destination,
+    or one with ``most`` attempts, is dead; else it is sent and its response settles it: delivered, dead after a
+    permanent failure, or failed and to be retried, after the wait that a 429 asks for.
+    """
+    asked = messages.select("delivery_id").distinct().withColumn("_m", F.lit(True))
+    answer = responses.groupBy("delivery_id").agg(F.max(F.struct("status_code", "retry_after_s")).alias("_a"))
+    clock = F.lit(now).cast("timestamp")
+    claim = F.col("_m") & (F.col("status").isin("pending", "failed") | ((F.col("status") == "sending") & (F.col("claimed_at") < F.timestamp_seconds(F.unix_timestamp(clock) - stale_s))))
+    refused = F.col("archived") | (F.col("attempt_count") >= most)
+    came = F.when(F.coalesce(claim, F.lit(False)), F.when(refused, "dead").otherwise(result(F.col("_a.status_code"), F.lit(None).cast("string"))))
+    met = deliveries.join(asked, "delivery_id", "left").join(answer, "delivery_id", "left").withColumn("_r", came)
+    retry = F.col("_r") == "retry"
+    return met.select(
+        "delivery_id",
+        F.when(retry, "failed").otherwise(F.coalesce("_r", "status")).alias("status"),
+        (F.col("attempt_count") + F.coalesce(F.col("_r") != "delivered", F.lit(False)).cast("long")).alias("attempt_count"),
+        F.when(F.col("_r").isNotNull(), clock).otherwise(F.col("claimed_at")).alias("claimed_at"),
+        "archived",
+        F.when(F.col("_m").isNotNull(), F.when(retry, "retry").otherwise("ack")).alias("reply"),
+        F.when(retry & (F.col("_a.status_code") == 429), F.col("_a.retry_after_s")).alias("delay_s"),
+    )
+
+
 def append_new(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One micro-batch into the table at ``path``: keys already there are left out, so a replayed batch adds nothing."""
     spark = batch.sparkSession
