@@ -387,13 +387,15 @@ def tasks(clusters: DataFrame, sizes: DataFrame, upper: list[int], classes: int)
     """
     band = F.aggregate(F.array(*[F.lit(u) for u in upper]), F.lit(0), lambda acc, u: acc + (u < F.col("n")).cast("int"))
     members = clusters.join(sizes, "class").withColumn("band", band)
-    per_cluster = members.groupBy("cluster").agg(F.count("*").alias("members"))
-    per_band = members.groupBy("cluster", "band").agg(F.count("*").alias("in_band"))
+    # counts are written before they are joined: the join of a hot cluster can then be split, or needs no exchange at all
+    per_cluster = cut(members.groupBy("cluster").agg(F.count("*").alias("members")))
+    per_band = cut(members.groupBy("cluster", "band").agg(F.count("*").alias("in_band")))
     blocks = F.ceil(F.col("in_band") / BLOCK).cast("int")
     own = per_band.withColumn("blocks", blocks).drop("in_band")
     for step, name in ((1, "above"), (-1, "below")):
         other = per_band.select("cluster", (F.col("band") - step).alias("band"), blocks.alias(name))
         own = own.join(other, ["cluster", "band"], "left")
+    own = cut(own)
     placed = members.join(per_cluster, "cluster")
     small = placed.filter(F.col("members") <= BLOCK).select("class", "cluster", F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(max(LEAST_SHARED, classes // SHARED + 1)))).alias("task"))
     large = placed.filter(F.col("members") > BLOCK).join(own, ["cluster", "band"]).withColumn("k", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -436,7 +438,8 @@ def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num:
     )
     rare, stars = candidate_edges(met)
     clusters = components(rare.unionByName(stars)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
-    large = cut(clusters.join(clusters.groupBy("cluster").count().filter(F.col("count") > BLOCK).select("cluster"), "cluster", "left_semi"))
+    over = cut(clusters.groupBy("cluster").count().filter(F.col("count") > BLOCK).select("cluster"))
+    large = cut(clusters.join(over, "cluster", "left_semi"))
     in_large = lambda edges: edges.join(large.select(F.col("class").alias("a")), "a", "left_semi")
     held_together = components(in_large(stars)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
     compared = clusters.join(large.select("class"), "class", "left_anti").unionByName(held_together)
