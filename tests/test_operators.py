@@ -153,9 +153,15 @@ def test_limiter_rules():
     assert y.ask(now, 30_000, False) == (True, 0) and y.ask(now + 11_000, 1, False)[0] is True
 
 
+def test_limiter_waits_as_long_as_a_429_asks():
+    x = limiter.Limiter()
+    assert x.ask(0, 1_000, True, 90_000) == (True, 0)
+    assert x.ask(30_000, 1, False) == (False, 61_000) and x.ask(91_000, 1, False) == (True, 0)
+
+
 def test_limiter_stream_equals_batch(spark):
-    rows_ = [(i, i % 3, 1_000 * i * (1 + i % 2), 500 + 37 * i, i % 4 == 0) for i in range(120)]
-    df = spark.createDataFrame(rows_, "attempt_id long, origin_id long, at_ms long, hold_ms long, failed boolean").orderBy("at_ms")
+    rows_ = [(i, i % 3, 1_000 * i * (1 + i % 2), 500 + 37 * i, i % 4 == 0, 40_000 * (i % 8 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows_, "attempt_id long, origin_id long, at_ms long, hold_ms long, failed boolean, wait_ms long").orderBy("at_ms")
     path = tempfile.mkdtemp(prefix="spark-tidemark-")
     df.coalesce(1).write.parquet(f"{path}/in")
     stream = limiter.limited_stream(spark.readStream.schema(df.schema).parquet(f"{path}/in"))

@@ -74,3 +74,21 @@ def recorded(deliveries: DataFrame, sends: DataFrame, keys: Sequence[str]) -> Da
 def breaker_until(streak: Column, at: Column) -> Column:
     """Until when an origin is left alone after ``streak`` failures in a row, the last at ``at``; null if it is not."""
     return F.when(streak >= BREAKER_FAILURES, F.timestamp_seconds(F.unix_timestamp(at) + BREAKER_S))
+
+
+def timers(monitors: DataFrame, commands: DataFrame) -> DataFrame:
+    """monitor_id, status, alarm_at: each monitor's timer after its commands (monitor_id, seq, command, at, next_at).
+
+    ``monitors``: monitor_id, status, next_run_at. A timer is set by schedule and checked (to ``next_at``, none if null), by resume (to the stored next run,
+    else at once) and by deferred (to ``next_at``, in the same slot); pause and policy_stopped clear it. The last command counts, and of
+    pause and resume the last one for the status. A monitor without commands waits for its stored next run unless it is paused.
+    """
+    state = F.max_by("command", F.when(F.col("command").isin("pause", "resume"), F.col("seq")))
+    last = commands.groupBy("monitor_id").agg(F.max_by(F.struct("command", "at", "next_at"), F.col("seq")).alias("c"), state.alias("s"))
+    met = monitors.join(last, "monitor_id", "left")
+    alarm = (
+        F.when(F.col("c").isNull(), F.when(F.col("status") != "paused", F.col("next_run_at")))
+        .when(F.col("c.command") == "resume", F.coalesce("next_run_at", "c.at"))
+        .when(F.col("c.command").isin("schedule", "checked", "deferred"), F.col("c.next_at"))
+    )
+    return met.select("monitor_id", F.when(F.col("s") == "pause", "paused").when(F.col("s") == "resume", "active").otherwise(F.col("status")).alias("status"), alarm.alias("alarm_at"))

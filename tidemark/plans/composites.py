@@ -238,6 +238,16 @@ def archive_subscriptions(spark, sf_dir):
     return keyed.without(b.subscriptions(spark, sf_dir), gone, ["destination_id"]).select("subscription_id", "destination_id")
 
 
+def monitor_timers(spark, sf_dir):
+    """Timers after events as commands: clicks schedule, signups pause, errors defer, purchases stop, the rest resumes."""
+    m = b.monitors(spark, sf_dir).select("monitor_id", "status", F.unix_timestamp("next_run_at").alias("next_run_at"))
+    kind, at = F.col("event_type"), F.unix_timestamp("ts")
+    command = F.when(kind == "click", "schedule").when(kind == "signup", "pause").when(kind == "error", "deferred").when(kind == "purchase", "policy_stopped").otherwise("resume")
+    later = F.when((kind == "error") | (F.col("event_id") % 3 != 0), at + F.when(kind == "error", 60).otherwise(3600))
+    commands = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("monitor_id"), F.col("event_id").alias("seq"), command.alias("command"), at.alias("at"), later.alias("next_at"))
+    return transitions.timers(m, commands)
+
+
 _AD = """regexp_replace(body, '<div class="ad">[^<]*</div>', '', 'g')"""
 _TEXTS = _HASHED.replace(f"regexp_replace(body, '{_R}', '', 'g') AS kept", f"regexp_replace({_AD}, '{_R}', '', 'g') AS kept").replace("SELECT monitor_id, round,", f"SELECT monitor_id, round, {block_text_sql('clean')} AS extracted_text,")
 _ARTICLE = _HASHED.replace(f"regexp_replace(body, '{_R}', '', 'g') AS kept", f"regexp_replace(regexp_extract(body, '(?s)<article>.*</article>'), '{_R}', '', 'g') AS kept")
@@ -341,4 +351,12 @@ UNION ALL SELECT 'changes', count(*) FROM {b.CHANGES} WHERE monitor_id NOT IN (F
 UNION ALL SELECT 'jobs', count(*) FROM {b.ATTEMPTS} WHERE origin_id NOT IN (FROM g) UNION ALL SELECT 'attempts', count(*) FROM {b.ATTEMPTS} WHERE origin_id NOT IN (FROM g) UNION ALL SELECT 'states', count(*) FROM customer WHERE c_custkey NOT IN (FROM g)""",
     ),
     "archive_subscriptions": (archive_subscriptions, f"SELECT subscription_id, destination_id FROM {b.SUBSCRIPTIONS} WHERE destination_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)"),
+    "monitor_timers": (
+        monitor_timers,
+        f"""WITH e AS (SELECT user_id, event_id, event_type, epoch(ts)::BIGINT AS t, CASE WHEN event_type = 'error' THEN epoch(ts)::BIGINT + 60 WHEN event_id % 3 <> 0 THEN epoch(ts)::BIGINT + 3600 END AS later,
+  CASE WHEN event_type IN ('click', 'error', 'purchase') THEN NULL WHEN event_type = 'signup' THEN 'paused' ELSE 'active' END AS s FROM events),
+l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(t) FILTER (WHERE event_id = m) AS t, max(later) FILTER (WHERE event_id = m) AS later, arg_max(s, event_id) FILTER (WHERE s IS NOT NULL) AS s FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS m FROM e) GROUP BY user_id)
+SELECT monitor_id, coalesce(s, status) AS status, CASE WHEN kind IS NULL THEN CASE WHEN status <> 'paused' THEN epoch(next_run_at)::BIGINT END WHEN kind IN ('click', 'error') THEN later WHEN kind IN ('signup', 'purchase') THEN NULL ELSE coalesce(epoch(next_run_at)::BIGINT, t) END AS alarm_at
+FROM {b.MONITORS} LEFT JOIN l ON user_id = monitor_id""",
+    ),
 }

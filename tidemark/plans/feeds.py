@@ -125,11 +125,16 @@ def traversal_counters(spark, sf_dir):
 
 
 def sitemap_document(spark, sf_dir):
-    """One document per site: sorted distinct URLs with their dates, and its hash."""
+    """The sorted distinct URLs of each site with their dates, as one hash: of the hashes of its lines' parts.
+
+    Lines are dealt to 256 parts by the first digits of their hash, so a site of any size is sorted and hashed by many
+    tasks and brings 256 hashes to the last one.
+    """
     one = first_wins(b.page_links(spark, sf_dir).withColumn("loc", F.concat("site_id", "href")).select("site_id", "loc", "updated_at", "page_id", "pos"), ["site_id", "loc"], ["page_id", "pos"])
-    lines = one.select("site_id", F.concat("loc", F.lit("\t"), F.coalesce("updated_at", F.lit("-")), F.lit("\n")).alias("line"))
-    doc = F.array_join(F.array_sort(F.collect_list("line")), "")
-    return lines.groupBy("site_id").agg(text.sha256(doc).alias("doc_hash"), F.count("*").alias("urls"))
+    lines = one.select("site_id", F.concat("loc", F.lit("\t"), F.coalesce("updated_at", F.lit("-")), F.lit("\n")).alias("line")).withColumn("part", F.substring(text.sha256(F.col("line")), 1, 2))
+    parts = lines.groupBy("site_id", "part").agg(text.sha256(F.array_join(F.array_sort(F.collect_list("line")), "")).alias("h"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "")
+    return parts.groupBy("site_id").agg(text.sha256(whole).alias("doc_hash"), F.sum("n").alias("urls"))
 
 
 def sitemap_set_diff(spark, sf_dir):
@@ -180,8 +185,9 @@ SELECT site_id, children, coalesce(opened, 0) AS opened, coalesce(too_old, 0) AS
     ),
     "sitemap_document": (
         sitemap_document,
-        f"""WITH o AS (SELECT site_id, site_id || href AS loc, updated_at FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY site_id, href ORDER BY page_id, pos) = 1)
-SELECT site_id, sha256(string_agg(loc || chr(9) || updated_at || chr(10), '' ORDER BY loc || chr(9) || updated_at || chr(10))) AS doc_hash, count(*) AS urls FROM o GROUP BY site_id""",
+        f"""WITH o AS (SELECT site_id, site_id || href AS loc, updated_at FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY site_id, href ORDER BY page_id, pos) = 1),
+p AS (SELECT site_id, substr(sha256(line), 1, 2) AS part, sha256(string_agg(line, '' ORDER BY line)) AS h, count(*) AS n FROM (SELECT site_id, loc || chr(9) || updated_at || chr(10) AS line FROM o) GROUP BY ALL)
+SELECT site_id, sha256(string_agg(h, '' ORDER BY part)) AS doc_hash, CAST(sum(n) AS BIGINT) AS urls FROM p GROUP BY site_id""",
     ),
     "sitemap_set_diff": (
         sitemap_set_diff,

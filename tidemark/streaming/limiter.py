@@ -16,15 +16,18 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Fixed values, in milliseconds where they are times.
 SPACING, LEASES, LEASE_TTL, THRESHOLD, OPEN_MS, BASE_MS, MOST_MS = 10_000, 2, 60_000, 5, 300_000, 10_000, 300_000
-INPUT = ["attempt_id", "origin_id", "at_ms", "hold_ms", "failed"]
+INPUT = ["attempt_id", "origin_id", "at_ms", "hold_ms", "failed", "wait_ms"]
 OUTPUT = "attempt_id long, origin_id long, granted boolean, retry_after_ms long, streak long"
-STATE = "last long, next long, streak long, open_until long, probe_until long, lease_a long, lease_b long, failed_a boolean, failed_b boolean, start_a long, start_b long"
+STATE = "last long, next long, streak long, open_until long, probe_until long, lease_a long, lease_b long, failed_a boolean, failed_b boolean, start_a long, start_b long, wait_a long, wait_b long"
 NEVER = -1
 
 
 @dataclass
 class Limiter:
-    """State of one origin. A lease ends ``hold_ms`` after it was granted, or by its time to live; its outcome counts then."""
+    """State of one origin. A lease ends ``hold_ms`` after it was granted, or by its time to live; its outcome counts then.
+
+    A failure's wait doubles with the streak; one that names a longer wait itself (a 429 with Retry-After) gets that.
+    """
 
     last: int = NEVER
     next: int = 0
@@ -37,6 +40,8 @@ class Limiter:
     failed_b: bool = False
     start_a: int = NEVER
     start_b: int = NEVER
+    wait_a: int = 0
+    wait_b: int = 0
 
     def settle(self, now: int) -> None:
         """Leases that ended by ``now``, in order of their ends."""
@@ -51,13 +56,13 @@ class Limiter:
                 self.streak, self.open_until, self.next = 0, NEVER, 0
             else:
                 self.streak += 1
-                self.next = end + min(MOST_MS, BASE_MS * 2 ** min(self.streak - 1, 30))
+                self.next = end + max(getattr(self, f"wait_{slot}"), min(MOST_MS, BASE_MS * 2 ** min(self.streak - 1, 30)))
                 if self.streak >= THRESHOLD:
                     self.open_until = end + OPEN_MS
         if self.probe_until != NEVER and self.probe_until <= now:
             self.probe_until = NEVER
 
-    def ask(self, now: int, hold: int, failed: bool) -> tuple[bool, int]:
+    def ask(self, now: int, hold: int, failed: bool, wait: int = 0) -> tuple[bool, int]:
         """Whether an attempt may go, and how long to wait if not."""
         self.settle(now)
         probing = self.open_until != NEVER
@@ -75,6 +80,7 @@ class Limiter:
         setattr(self, f"lease_{free[0]}", end)
         setattr(self, f"start_{free[0]}", now)
         setattr(self, f"failed_{free[0]}", failed)
+        setattr(self, f"wait_{free[0]}", wait)
         self.last = now
         if probing:
             self.open_until, self.probe_until = NEVER, end
@@ -84,8 +90,8 @@ class Limiter:
 def decide(limiter: Limiter, rows: pd.DataFrame) -> pd.DataFrame:
     """Decisions on one origin's rows in order."""
     out = []
-    for i, o, at, hold, failed in rows[INPUT].itertuples(index=False):
-        granted, wait = limiter.ask(int(at), int(hold), bool(failed))
+    for i, o, at, hold, failed, asked in rows[INPUT].itertuples(index=False):
+        granted, wait = limiter.ask(int(at), int(hold), bool(failed), int(asked))
         out.append((i, o, granted, wait, limiter.streak))
     return pd.DataFrame(out, columns=["attempt_id", "origin_id", "granted", "retry_after_ms", "streak"])
 
@@ -110,7 +116,10 @@ def limited(attempts: DataFrame) -> DataFrame:
 
 
 def limited_stream(attempts: DataFrame) -> DataFrame:
-    """The same over a stream; state per origin outlives batches."""
+    """The same over a stream; state per origin outlives batches and is kept, as a streak has no end in time.
+
+    A micro-batch holds an origin's attempts in memory while it is sorted; the trigger's size bounds them.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         limiter = Limiter(*state.get) if state.exists else Limiter()
@@ -122,5 +131,6 @@ def limited_stream(attempts: DataFrame) -> DataFrame:
 
 
 def attempts_of(events: DataFrame) -> DataFrame:
-    """Attempts from rows (attempt_id, origin_id, seen_at, ok): each holds its lease for up to 20 s."""
-    return events.select("attempt_id", "origin_id", F.unix_millis("seen_at").alias("at_ms"), (1000 + F.col("attempt_id") % 20_000).alias("hold_ms"), (~F.col("ok")).alias("failed"))
+    """Attempts from rows (attempt_id, origin_id, seen_at, ok, status_code): each holds its lease for up to 20 s; a 429 asks for a wait."""
+    wait = F.when(F.col("status_code") == 429, 1000 * (F.col("attempt_id") % 900)).otherwise(0).alias("wait_ms")
+    return events.select("attempt_id", "origin_id", F.unix_millis("seen_at").alias("at_ms"), (1000 + F.col("attempt_id") % 20_000).alias("hold_ms"), (~F.col("ok") | (F.col("status_code") == 429)).alias("failed"), wait)
