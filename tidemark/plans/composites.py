@@ -353,7 +353,7 @@ UNION ALL SELECT 'jobs', count(*) FROM {b.ATTEMPTS} WHERE origin_id NOT IN (FROM
     "archive_subscriptions": (archive_subscriptions, f"SELECT subscription_id, destination_id FROM {b.SUBSCRIPTIONS} WHERE destination_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)"),
     "monitor_timers": (
         monitor_timers,
-        f"""WITH e AS (SELECT user_id, event_id, event_type, epoch(ts)::BIGINT AS t, CASE WHEN event_type = 'error' THEN epoch(ts)::BIGINT + 60 WHEN event_id % 3 <> 0 THEN epoch(ts)::BIGINT + 3600 END AS later,
+        f"""WITH e AS (SELECT user_id, event_id, event_type, floor(epoch(ts))::BIGINT AS t, CASE WHEN event_type = 'error' THEN floor(epoch(ts))::BIGINT + 60 WHEN event_id % 3 <> 0 THEN floor(epoch(ts))::BIGINT + 3600 END AS later,
   CASE WHEN event_type IN ('click', 'error', 'purchase') THEN NULL WHEN event_type = 'signup' THEN 'paused' ELSE 'active' END AS s FROM events),
 l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(t) FILTER (WHERE event_id = m) AS t, max(later) FILTER (WHERE event_id = m) AS later, arg_max(s, event_id) FILTER (WHERE s IS NOT NULL) AS s FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS m FROM e) GROUP BY user_id)
 SELECT monitor_id, coalesce(s, status) AS status, CASE WHEN kind IS NULL THEN CASE WHEN status <> 'paused' THEN epoch(next_run_at)::BIGINT END WHEN kind IN ('click', 'error') THEN later WHEN kind IN ('signup', 'purchase') THEN NULL ELSE coalesce(epoch(next_run_at)::BIGINT, t) END AS alarm_at
