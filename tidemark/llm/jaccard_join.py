@@ -483,3 +483,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows = wrapped(df, id=F.col(id_col).cast("long"), k=F.xxhash64(text), worded=text.rlike(r"[^\x20\x09-\x0D]"))
     joined = rows.filter("worded").join(keep, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_tkey")))
     return unwrapped(joined.select(*rows.columns).dropDuplicates(["id", "k"]).unionByName(rows.filter("not worded")), df)
+
+
+ORACLE = r"""
+WITH RECURSIVE
+     w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+     p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+     r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+     m AS (SELECT doc_id, min(root) AS root FROM r GROUP BY ALL)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

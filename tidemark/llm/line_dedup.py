@@ -133,9 +133,8 @@ def drop_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(occurrences(df, id_col, text_col, min_chars))
     ranged = rows.repartitionByRange("h1", "h2", F.col("did").desc()).sortWithinPartitions("h1", "h2", F.col("did").desc(), "pos")
     seen = cut(ranged.mapInArrow(lambda it: stream(it, min_docs), SCHEMA))
-    totals = (
-        seen.filter(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("did").alias("keeper")).filter(F.col("docs") >= min_docs)
-    )
+    # two rows a partition at most; written, so that their size is known when the join with them is planned
+    totals = cut(seen.filter(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("did").alias("keeper")).filter(F.col("docs") >= min_docs))
     pending = (
         seen.filter(F.col("kind") == PENDING)
         .join(totals, ["h1", "h2"])

@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op10_topk_search": topk_search.ORACLE}
