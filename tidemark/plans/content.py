@@ -112,6 +112,19 @@ def html_items_fields(spark, sf_dir):
     return pages.items(table(spark, sf_dir, "pages"), "page_id", "html", "url", "nav li").select("page_id", "pos", "url", "title")
 
 
+def item_fields(spark, sf_dir):
+    """Listings written for each page: items with labelled fields, a repeated label, an empty one, one without a link."""
+    k = F.col("page_id").cast("string")
+    unit = lambda n, fields: F.concat(F.lit(f'<li class="unit"><h2>no</h2><a href="/i{n}-'), k, F.lit('?utm_source=x"> Item <b>'), k, F.lit(f"</b></a><dl>{fields}</dl></li>"))
+    listing = F.concat(
+        F.lit('<ul id="list">'), unit(1, "<dt>Price</dt><dd>5 &nbsp;EUR</dd><dt>Size</dt><dd>9 m<sup>2</sup></dd><dt>&nbsp;</dt><dd>no</dd>"), unit(2, "<dt>Price</dt><dd>7</dd><dt>Price</dt><dd>8</dd><dd>9</dd>"),
+        F.lit('<li class="unit">no link</li><li class="other"><a href="/o">o</a></li></ul>'),
+    )
+    pages_ = table(spark, sf_dir, "pages").select("page_id", listing.alias("html"), F.lit("https://e.org/l").alias("url"))
+    found = pages.items(pages_, "page_id", "html", "url", "#list li.unit", ("Price", "Size"))
+    return found.select("page_id", "pos", "url", "title", text.fields_summary(F.col("fields")).alias("summary"))
+
+
 _R = text.REMOVED
 _CLEANED = f"""SELECT *, list_aggregate(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(
       '<a href="' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || list_aggregate(list_transform(string_split(substr(tags[i], 10, length(tags[i]) - 11), ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), 'string_agg', '') || '">', '')), 'string_agg', '') AS clean
@@ -175,5 +188,16 @@ AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NU
     ),
     "line_diff_patch": (line_diff_patch, None),
     "charset_decode": (charset_decode, "SELECT page_id, url AS text FROM pages"),
-    "html_items_fields": (html_items_fields, None),
+    "html_items_fields": (
+        html_items_fields,
+        r"""WITH l AS (SELECT page_id, url, unnest(h) AS href, unnest(t) AS title, unnest(range(len(h)))::BIGINT AS pos FROM (SELECT page_id, url, regexp_extract_all(n, '<a href="([^"]*)">', 1) AS h, regexp_extract_all(n, '<a href="[^"]*">([^<]*)</a>', 1) AS t
+  FROM (SELECT page_id, url, regexp_extract(html, '(?s)<nav>.*?</nav>') AS n FROM pages))),
+u AS (SELECT page_id, pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || list_aggregate(list_transform(string_split(href, ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), 'string_agg', '') AS url, title FROM l)
+SELECT page_id, pos, url, title FROM u QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""",
+    ),
+    "item_fields": (
+        item_fields,
+        """SELECT page_id, n - 1 AS pos, 'https://e.org/i' || n || '-' || page_id AS url, 'Item ' || page_id AS title, CASE n WHEN 1 THEN 'Price: 5 EUR' || chr(10) || 'Size: 9 m2' ELSE 'Price: 7' END AS summary
+FROM pages, (SELECT unnest([1, 2]::BIGINT[]) AS n)""",
+    ),
 }
