@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from tidemark.llm import tokens
 
 WINDOW, LEAD = 256, 16  # bytes
-TOGETHER = 4096  # windows read side by side
-CHUNK = 1 << 22  # bytes of text cut into windows at once
+TOGETHER = 2048  # windows read side by side
+CHUNK = 1 << 21  # bytes of text cut into windows at once
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -223,14 +224,14 @@ def pooled(model: Model, column: pa.Array) -> np.ndarray:
     return out / np.maximum(1, n)[:, None]
 
 
-def predictor(model: Model | None) -> Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]:
-    """A function of batches (letters third, text fourth) to names and scores."""
+def predictor(model: Model | None) -> Callable[[pa.Array, pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """A function of columns (whether a text has letters, the text) to names and scores."""
 
-    def predicted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        letters = batch.column(2).to_numpy(zero_copy_only=False)
+    def predicted(lettered: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        letters = lettered.to_numpy(zero_copy_only=False)
         names, score = np.full(len(letters), "und", dtype=object), np.zeros(len(letters))
         if model and len(letters):
-            mean = pooled(model, batch.column(3))
+            mean = pooled(model, texts)
             p = np.exp(mean - mean.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             names = np.where(letters, np.array(model.labels, dtype=object)[p.argmax(1)], "und")
@@ -243,7 +244,7 @@ def predictor(model: Model | None) -> Callable[[pa.RecordBatch], tuple[np.ndarra
 def predict(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterator[pa.RecordBatch]:
     predicted = predictor(model)
     for batch in batches:
-        names, score = predicted(batch)
+        names, score = predicted(batch.column(2), batch.column(3))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"]
         )
@@ -303,12 +304,15 @@ def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     if model is None:
         return df.filter(letters)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    wide = df.select(F.lit(0).cast("long").alias("_none"), F.lit(False).alias("_held"), letters.alias("_letters"), F.coalesce(t, F.lit("")).alias("_text"), row.alias("_row"))
+    wide = df.select(letters.alias("_letters"), row.alias("_row"))
+    at = df.columns.index(text_col)
 
     def with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predicted = predictor(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(predicted(batch)[0], pa.string()), batch.column(4)], names=["_pred", "_row"])
+            texts = batch.column(1).field(at).cast(pa.string())  # the row's own text, so that it travels once
+            names, _ = predicted(batch.column(0), pc.fill_null(texts, ""))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], names=["_pred", "_row"])
 
     schema = T.StructType([T.StructField("_pred", T.StringType()), T.StructField("_row", wide.schema["_row"].dataType)])
     told = wide.mapInArrow(with_row, schema).filter(F.col("_pred") != "und")
