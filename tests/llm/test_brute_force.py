@@ -281,6 +281,18 @@ def test_jaccard_join(make, words, families):
     same(rows_of(jaccard_join.jaccard_join(make(rows)), "doc_id", "n_shingles", "component_id"), brute_components(rows))
 
 
+def test_jaccard_join_of_very_long_texts(make):
+    rng = random.Random(21)
+    base = [[f"w{rng.randint(0, 9000)}" for _ in range(7000)] for _ in range(3)]
+    rows = []
+    for i in range(36):  # about 0.8 alike: single words changed in places of their own
+        w = list(base[i % 3])
+        for at in rng.sample(range(len(w)), rng.choice([0, 1, 40, 75, 80, 150])):
+            w[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    same(rows_of(jaccard_join.jaccard_join(make(rows)), "doc_id", "n_shingles", "component_id"), brute_components(rows))
+
+
 def test_jaccard_join_many_copies_and_a_common_passage(make):
     rng = random.Random(9)
     passage = " ".join(f"p{k}" for k in range(60))

@@ -176,7 +176,7 @@ def entries_of(row: np.ndarray, h: np.ndarray, channel: np.ndarray, plan: Plan)
     weak_units = np.bincount(owner, weak * unit, minlength=len(channel)).astype(np.int64)
     spare = plan.spare[ch]
     shows_empty = weak_units > spare
-    need = np.clip(spare - weak_units, 0, 127)  # 0 where empty segments show: a partner may hide as many as t units of them
+    need = np.clip(spare - weak_units, 0, MARK // 2 - 1)  # 0 where empty segments show: a partner may hide as many as t units of them
     full = np.flatnonzero(size > 0)
     void = np.flatnonzero(weak & shows_empty[owner])
     cutable = is_near[gid] & (size[gid] > 1)
