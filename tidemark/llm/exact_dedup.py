@@ -3,10 +3,10 @@
 Every row becomes a digest record of a run; runs are the input's partitions, numbered modulo ``runs``. Each run is
 first sorted and merged where it stands, so a text that fills a third of the corpus leaves its run once per task.
 Then runs are merged in binomial rounds: the run whose number has the round's bit set is sent to the one without it,
-both are ranged by (run, digest) over the partitions, every partition sorts what came to it and merges equal
+both are ranged by run and 64-bit digest over the partitions, every partition sorts what came to it and merges equal
 digests from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and
 the number of rows behind it. After the last round one run is left, sorted by digest over all partitions. Only digest
-records move, never texts; a digest counts as equal if a second hash and the length agree too.
+records move, never texts; a digest counts as equal if SHA-256, the 64-bit digest and the length agree.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, text_or_empty
 
 WHITE = r"[\x20\x09-\x0D]"
-KEY = ["digest", "check", "n_norm"]
+KEY = ["check", "digest", "n_norm"]  # the short digest first: ranges are cut by it
 
 
 def normalised(text: Column) -> Column:
@@ -52,7 +52,7 @@ def merge_runs(records: DataFrame, rounds: int) -> DataFrame:
     level = merged(records.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod("home", F.lit(1 << rounds)).alias("run")))
     for _ in range(rounds):
         level = level.withColumn("run", F.shiftright("run", 1))
-        level = merged(level.repartitionByRange("run", *KEY).sortWithinPartitions("run", *KEY))
+        level = merged(level.repartitionByRange("run", "check").sortWithinPartitions("run", *KEY))
     return level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("n").alias("group_size"))
 
 
