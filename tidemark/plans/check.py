@@ -31,7 +31,7 @@ def run_checks(monitors: DataFrame, rules: DataFrame, fetched: DataFrame, captur
     )
     gated = monitors.join(verdicts, "monitor_id", "left").join(fetched, "monitor_id", "left").select("monitor_id", gate.alias("gate"))
     passed = gated.filter("gate = 'checked'").select("monitor_id")
-    found = page_changes(captures.join(passed, "monitor_id", "left_semi"))
+    found = page_changes(captures, only=passed)
     return gated.join(found.select("monitor_id", "level", "dedupe_key"), "monitor_id", "left")
 
 

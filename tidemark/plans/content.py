@@ -17,22 +17,25 @@ def snapshots(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str,
     return rows.select(*rows.columns, F.inline(F.array(html.hashed(F.col("body"), F.col("url"), ignore, include))))
 
 
-def page_changes(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
+def page_changes(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
     """monitor_id, round, kind, level, dedupe_key, normalized_hash, text_hash of captures (monitor_id, url, round, body) that differ from the one before.
 
     Raw hashes decide first: captures are ordered and compared as rows of (monitor, round, hash), so no body is sorted and
     no HTML parsed for a capture that equals its predecessor byte for byte. Bodies are fetched for the captures of
-    differing pairs alone, each is normalized once, and pairs meet again as hashes. First captures are baselines and never changes.
+    differing pairs alone, each is normalized once, and pairs meet again as hashes: a capture that was fetched as the older one of a pair has
+    nothing but equal captures between itself and the one fetched before it, so it brings no change of its own. First captures are
+    baselines and never changes. ``only`` (monitor_id) names the monitors that are compared at all.
     """
     order = Window.partitionBy("monitor_id").orderBy("round")
     raw = rows.select("monitor_id", "round", text.sha256(F.col("body")).alias("raw_hash"))
     lagged = raw.withColumns({"old_raw": F.lag("raw_hash").over(order), "old_round": F.lag("round").over(order)})
     pairs = lagged.filter("old_raw is not null and old_raw <> raw_hash")
+    if only is not None:
+        pairs = pairs.join(only.select("monitor_id"), "monitor_id", "left_semi")
     needed = pairs.select("monitor_id", F.explode(F.array("round", "old_round")).alias("round")).distinct()
     hashed = rows.join(needed, ["monitor_id", "round"]).select("monitor_id", "round", F.inline(F.array(html.hashed(F.col("body"), F.col("url"), ignore, include))))
-    hashed = hashed.select("monitor_id", "round", F.struct("raw_hash", "normalized_hash", "text_hash").alias("h"))
-    met = pairs.join(hashed, ["monitor_id", "round"]).withColumnRenamed("h", "new")
-    met = met.join(hashed.select("monitor_id", F.col("round").alias("old_round"), F.col("h").alias("old")), ["monitor_id", "old_round"])
+    new = hashed.select("monitor_id", "round", F.struct("raw_hash", "normalized_hash", "text_hash").alias("new"))
+    met = new.withColumn("old", F.lag("new").over(order)).filter("old is not null")
     changed, level = text.compared(F.col("old"), F.col("new"))
     key = F.when(level == "text_hash", F.col("new.text_hash")).otherwise(F.col("new.normalized_hash"))
     return met.filter(changed).select("monitor_id", "round", F.lit("updated").alias("kind"), level.alias("level"), key.alias("dedupe_key"), "new.normalized_hash", "new.text_hash")
