@@ -40,7 +40,7 @@ RARE = 8  # an entry held by at most so many classes is followed pair by pair
 BLOCK = 256  # sets compared at once with as many others
 SHARED, LEAST_SHARED = 256, 997  # classes, on average at most, of the small clusters that share a task; such tasks at least
 GROUP_ENTRIES = 1 << 17  # index entries a task looks at
-FLUSH = 1 << 21  # index entries a task gathers before it deals them out
+FLUSH = 1 << 20  # index entries a task gathers before it deals them out
 MATRIX_COLS = 1 << 14
 ENTRY_SCHEMA = "channel int, part int, sigs binary, classes binary, notes binary"
 MARK = 255  # the note of an entry that a task has found to be common

@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import tokens
+from tidemark.llm.common import unwrapped, wrapped
 
 WINDOW, LEAD = 256, 16  # bytes
 TOGETHER = 2048  # windows read side by side
@@ -295,7 +295,7 @@ def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """``df`` without the rows whose language is ``und``; ``lang_col`` becomes the prediction, other columns stay.
 
     Null texts and texts without a letter go. Where no labelled row can be learned from, all texts with a letter stay as they
-    are. Prediction and text travel in one map over the table, so no join by id is needed; repeated rows, ties and null
+    are. The prediction is a column beside each row, so no join by id is needed and only texts travel to Python; repeated rows, ties and null
     ids are treated as in ``identify``; an empty table gives an empty result.
     """
     model = fit(df, id_col, text_col, lang_col, sample_docs)
@@ -303,17 +303,11 @@ def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
     letters = F.coalesce(t.rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return df.filter(letters)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    wide = df.select(letters.alias("_letters"), row.alias("_row"))
-    at = df.columns.index(text_col)
-
-    def with_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def told(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         predicted = predictor(model)
-        for batch in batches:
-            texts = batch.column(1).field(at).cast(pa.string())  # the row's own text, so that it travels once
-            names, _ = predicted(batch.column(0), pc.fill_null(texts, ""))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], names=["_pred", "_row"])
-
-    schema = T.StructType([T.StructField("_pred", T.StringType()), T.StructField("_row", wide.schema["_row"].dataType)])
-    told = wide.mapInArrow(with_row, schema).filter(F.col("_pred") != "und")
-    return told.select(*[F.col("_pred").alias(c) if c == lang_col else F.col(f"_row.`{c}`") for c in df.columns])
+        for lettered, texts in batches:
+            yield pa.array(predicted(lettered, pc.fill_null(texts, ""))[0], pa.string())
+
+    rows = wrapped(df, pred=told(letters, t)).filter(F.col("pred") != "und")
+    return unwrapped(rows, df, **{lang_col: F.col("pred")})
