@@ -21,7 +21,7 @@ from tidemark.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-REMEMBERED = 1 << 19  # segments and words a task remembers before it starts anew
+SEGMENTS, WORDS = 1 << 19, 1 << 20  # remembered by a task before it starts anew
 TOGETHER = 1 << 20  # characters looked up together
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -83,7 +83,7 @@ class Encoder:
         return [segment] if segment.isascii() and segment[1:].isalpha() and (segment[0] == " " or segment[0].isalpha()) else self.split(segment)
 
     def learn(self, segments: list[str]) -> None:
-        if len(self.words) >= REMEMBERED:
+        if len(self.words) >= WORDS:
             self.words = Remembered()
         cut_up = [self.words_of(x) for x in segments]
         at = np.fromiter((self.words[w] for x in cut_up for w in x), np.int64)
@@ -106,7 +106,7 @@ class Encoder:
         return out
 
     def encode_some(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.segments) >= REMEMBERED:
+        if len(self.segments) >= SEGMENTS:
             self.segments, self.spaced = Remembered(), np.zeros(0, bool)
         odd = {k for k, x in enumerate(texts) if any(t in x for t in self.special)}
         cut_up = [[] if k in odd else x.replace(" ", "\0 ").split("\0") for k, x in enumerate(texts)]
