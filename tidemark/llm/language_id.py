@@ -309,5 +309,6 @@ def identified_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
         for lettered, texts in batches:
             yield pa.array(predicted(lettered, pc.fill_null(texts, ""))[0], pa.string())
 
+    told = told.asNondeterministic()  # else the filter would be evaluated below the projection too, with a second run of the network
     rows = wrapped(df, pred=told(letters, t)).filter(F.col("pred") != "und")
     return unwrapped(rows, df, **{lang_col: F.col("pred")})

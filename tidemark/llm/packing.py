@@ -22,6 +22,7 @@ from tidemark.llm.common import cut
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 SEGMENTS, WORDS = 1 << 19, 1 << 20  # remembered by a task before it starts anew
+KEPT_WORDS = 1 << 19  # remembered at most from one task of a worker to the next
 TOGETHER = 1 << 20  # characters looked up together
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -93,6 +94,12 @@ class Encoder:
         self.spaced = np.r_[self.spaced, np.array([x == " " or (x[:1] == " " and x[1].isspace()) for x in segments], bool)]
         self.segments.learn(ids, np.diff(np.r_[0, ends][np.cumsum([0, *map(len, cut_up)])]))
 
+    def rest(self) -> None:
+        """Forget what would only burden the worker's next task."""
+        self.segments, self.spaced = Remembered(), np.zeros(0, bool)
+        if len(self.words) > KEPT_WORDS:
+            self.words = Remembered()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         a = 0
@@ -150,6 +157,7 @@ def tokenise(batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, end_
             [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
             names=["doc_id", "piece", "start", "length", "ids_crc32"],
         )
+    enc.rest()
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
