@@ -1,9 +1,14 @@
 """Vector codes, URL filters and hard negatives against plain Python written from their contracts."""
 
+import hashlib
+import math
 import random
 
+import numpy as np
+import pytest
+
 from tests.llm.test_brute_force import LOW, rows_of, same
-from tidemark.llm import url_filter
+from tidemark.llm import url_filter, vector_codes
 
 # ------------------------------------------------------------------ URL filters
 
@@ -49,3 +54,61 @@ def test_urls_without_rules_or_rows(spark):
     none = spark.createDataFrame([], url_filter.RULE_COLUMNS)
     same(rows_of(url_filter.filter_urls(df, none), "page_id", "host", "path", "rule", "verdict"), [(1, "a.com", "/", None, "allow")])
     assert url_filter.filter_urls(df.limit(0), url_filter.contract_rules(spark)).count() == 0
+
+
+# ------------------------------------------------------------------ vector codes
+
+
+def brute_codes(rows, parts=8, entries=16, rounds=6):
+    ok = [(i, [max(-(1 << 24), min(1 << 24, math.floor(4096 * float(np.float32(x))))) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    w = -(-max((len(v) for _, v, _ in ok), default=0) // parts)
+    ok = sorted(((i, v + [0] * (w * parts - len(v)), label) for i, v, label in ok), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    cuts = [[v[p * w : (p + 1) * w] for p in range(parts)] for _, v, _ in ok]
+    books = [[c[p] for c in cuts[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for _ in range(rounds + 1):
+        near = [[min((far(c[p], e), k) for k, e in enumerate(books[p])) for p in range(parts)] for c in cuts]
+        final, old = books, books
+        books = [[(lambda own, e: [sum(x) // len(own) for x in zip(*own, strict=True)] if own else e)([c[p] for c, n in zip(cuts, near, strict=True) if n[p][1] == k], e) for k, e in enumerate(old[p])] for p in range(parts)]
+    error = [sum(d for d, _ in n) for n in near]
+    total = {}
+    for (_, _, label), e in zip(ok, error, strict=True):
+        total[label] = total.get(label, 0) + e
+    sha = hashlib.sha256(",".join(str(x) for b in final for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{k:02x}" for _, k in n), e, total[label], sha) for (i, _, label), n, e in zip(ok, near, error, strict=True)]
+
+
+def vector_rows(n, dims, seed, spread=0.3):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(0, 0.4, (7, dims))
+    return [(i, [float(x) for x in np.round(centers[rng.integers(7)] + rng.normal(0, spread, dims), 2)], int(rng.integers(4))) for i in range(n)]
+
+
+BAD_VECTORS = [(9001, None, 1), (9002, [None] * 16, 1), (9003, [float("nan")] * 16, 1), (9004, [float("inf")] + [0.0] * 15, 1)]
+
+
+@pytest.mark.parametrize("rows", [5, 64, 4096])
+def test_codes_by_brute_force(spark, rows):
+    data = vector_rows(300, 16, rows) + BAD_VECTORS
+    data += [(7, data[7][1], None), (7, data[8][1], 2), (None, data[9][1], None), (400, [0.0] * 16, 0), (401, [0.0] * 16, 0), (402, [1e9, -1e9] + [0.5] * 14, 1)]
+    df = spark.createDataFrame([(*r, "clash") for r in data], "vec_id long, embedding array<float>, label int, code string").repartition(3)
+    got = vector_codes.with_label_error(vector_codes.compress(df, rows=rows))
+    same(rows_of(got, "vec_id", "code", "error", "label_error", "codebooks_sha256"), brute_codes(data))
+
+
+def test_codes_of_few_and_odd_vectors(spark):
+    for data in ([(3, [1.0] * 16, 1)], [(i, [0.25] * 16, 1) for i in range(20)], [(1, [0.5] * 11, 1), (2, [0.5] * 3, None), (3, [], 2)], [(1, [], 1)], BAD_VECTORS, []):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+        same(rows_of(vector_codes.with_label_error(vector_codes.compress(df)), "vec_id", "code", "error", "label_error", "codebooks_sha256"), brute_codes(data))
+
+
+def test_heaps_leave_what_drift_does_not_reach():
+    rng = np.random.default_rng(5)
+    parts = rng.integers(-4000, 4000, (4096, 8))
+    books = parts[:16][None]
+    pop = vector_codes.Heaps(np.array([3, 0]), np.array([2, 0, 1], np.int32), np.array([0.5, 1.5, 2.5]))
+    assert pop.violated(0, 0.4) == [] and not pop.open  # nothing leaves its array
+    assert pop.violated(0, 1.5) == [2, 0] and pop.violated(1, 9.0) == []
+    assert [x.tolist() for x in pop.arrays()] == [[1, 0], [1], [2.5]]
+    found = vector_codes.squared(parts, books[0])
+    assert (found == ((parts[:, None].astype(object) - books[0][None]) ** 2).sum(axis=2)).all()

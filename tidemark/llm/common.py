@@ -25,15 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def written(df: DataFrame, group_mb: int = 128) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path; row groups hold ``group_mb`` at most, less for rows that are large."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("parquet.block.size", group_mb << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts lineage, so lost executors cost a re-read and never a recomputation, and it fixes
     row numbers made by ``monotonically_increasing_id``.
     """
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``written`` that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ascii_lower(c: Column) -> Column:
