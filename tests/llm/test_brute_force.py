@@ -521,12 +521,13 @@ def test_license_scan(make):
 def test_top_k(spark, block):
     rng = np.random.default_rng(block)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 1, 6), 1)]) for i in range(260)]
-    rows += [(300, None), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] * 6), (None, [0.5] * 6), (7, rows[7][1]), (500, [0.0] * 6)]
+    rows += [(300, None), (350, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("nan")] * 6), (450, [float("inf")] * 6), (None, [0.5] * 6), (7, rows[7][1]), (500, [0.0] * 6), (0, rows[3][1]), (0, rows[0][1]), (50, rows[50][1]), (550, [1e12] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    held = lambda x: max(-(1 << 26), min(1 << 26, math.floor(256 * float(np.float32(x)))))
+    ok = [(r, i, [held(x) for x in v]) for r, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, v in ok:
+    for r, q, v in ok:  # each row of an id is a query of its own
         if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q)[:5]
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for s, i, w in ok if s != r)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     same(rows_of(topk_search.top_k(df, block=block), "query_id", "rank", "vec_id", "score"), want)

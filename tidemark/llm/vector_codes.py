@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, dropped, written
-from tidemark.llm.topk_search import usable
+from tidemark.llm.vector_blocks import usable
 
 #: Scaled components beyond this saturate, so that squared distances of vectors of up to 2^12 dimensions are exact in 64 bits.
 MOST = 1 << 24
