@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tests.llm.test_brute_force import LOW, rows_of, same
-from tidemark.llm import url_filter, vector_codes
+from tidemark.llm import hard_negatives, url_filter, vector_codes
 
 # ------------------------------------------------------------------ URL filters
 
@@ -112,3 +112,50 @@ def test_heaps_leave_what_drift_does_not_reach():
     assert [x.tolist() for x in pop.arrays()] == [[1, 0], [1], [2.5]]
     found = vector_codes.squared(parts, books[0])
     assert (found == ((parts[:, None].astype(object) - books[0][None]) ** 2).sum(axis=2)).all()
+
+
+# ------------------------------------------------------------------ hard negatives
+
+
+def brute_negatives(rows):
+    held = lambda x: max(-(1 << 26), min(1 << 26, math.floor(256 * float(np.float32(x)))))
+    ok = [(i, [held(x) for x in v], (label + 1) % 10 if i % 7 == 0 else label) for i, v, label in rows if i is not None and label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (anchor, v, label) in enumerate(ok):
+        if anchor % 50:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=False)), i, other) for b, (i, w, other) in enumerate(ok) if a != b)
+        for neg, positive, _ in [s for s in scored if s[2] == label][:5]:
+            fits = [s for s in scored if s[2] != label and 50 * -neg <= 100 * -s[0] <= 95 * -neg][:3]
+            out += [(anchor, positive, k + 1, i, -neg, -s) for k, (s, i, _) in enumerate(fits)]
+    return out
+
+
+@pytest.mark.parametrize("block", [9, 100, None])
+def test_negatives_by_brute_force(spark, block):
+    data = vector_rows(400, 16, 11, 0.15) + BAD_VECTORS
+    data += [(0, data[0][1], data[0][2]), (0, data[5][1], 3), (450, data[7][1], None), (None, data[9][1], 1), (1450, [0.0] * 16, 0), (1500, [1e12] * 16, 1), (1550, [-0.5] * 16, 9), (1600, [0.5] * 5, 2)]
+    df = spark.createDataFrame([(*r, 0) for r in data], "vec_id long, embedding array<float>, label int, score int").repartition(3)
+    got = hard_negatives.mine(hard_negatives.relabelled(df), block=block, entries=8)
+    same(rows_of(got, "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), brute_negatives(data))
+
+
+def test_negatives_of_few_rows(spark):
+    for data in ([], BAD_VECTORS, [(50, [1.0] * 8, 1)], [(50, [1.0] * 8, 1), (51, [1.0] * 8, 1)], [(50, [], 1), (51, [], 1), (52, [], 2)], [(50, [1.0] * 3, 1), (51, [1.0] * 3, 1), (52, [0.7, 0.7, 0.7], 2)]):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")
+        same(rows_of(hard_negatives.mine(hard_negatives.relabelled(df)), "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), brute_negatives(data))
+
+
+def test_bounds_hold_and_rule_rows_out():
+    rng = np.random.default_rng(2)
+    v = (rng.normal(0, 1, (5, 64))[rng.integers(5, size=2000)] * 200 + rng.normal(0, 20, (2000, 64))).astype(np.int64)
+    books = hard_negatives.fitted(v[:500], 8, 16)
+    import pyarrow as pa
+
+    rows = pa.StructArray.from_arrays([pa.array(range(2000)), pa.array(range(2000)), pa.array([0] * 2000), pa.array(v.tolist(), pa.list_(pa.int32()))], ["rid", "id", "label", "v"])
+    cell = pa.RecordBatch.from_arrays([pa.array([0]), pa.ListArray.from_arrays(pa.array([0, 2000], pa.int32()), rows)], ["cb", "rows"])
+    block = hard_negatives.Block(next(hard_negatives.coded_blocks(iter([cell]), books)), books)
+    for q in v[:20]:
+        low, high = block.bounds(q, slice(0, 2000))
+        assert ((low <= v @ q) & (v @ q <= high)).all()
+        assert (high < np.sort(low)[-5]).mean() > 0.5

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, topk_search, url_filter, vector_codes
+from tidemark.llm import exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, packing, pii, topk_search, url_filter, vector_codes
 from tidemark.llm.common import table
 
 
@@ -58,9 +58,13 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.contract_rules(spark))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_mixing, op4_packing, op5_html_extract, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search, op11_vector_codes, op12_url_filter)}
+    return {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_mixing, op4_packing, op5_html_extract, op6_license_scan, op7_line_dedup, op8_jaccard_join, op9_language_id, op10_topk_search, op11_vector_codes, op12_url_filter, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op10_topk_search": topk_search.ORACLE, "op11_vector_codes": vector_codes.oracle(), "op12_url_filter": url_filter.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op3_mixing": mixing.ORACLE, "op6_license_scan": license_scan.oracle(), "op7_line_dedup": line_dedup.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE, "op10_topk_search": topk_search.ORACLE, "op11_vector_codes": vector_codes.oracle(), "op12_url_filter": url_filter.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
