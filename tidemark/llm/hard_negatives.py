@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, written
-from tidemark.llm.vector_blocks import dealt, matrix, meet, numbered, products, shape
+from tidemark.llm.vector_blocks import dealt, matrix, meet, numbered, shape
 
 BLOCK = "cb long, rids array<long>, ids array<long>, labels array<long>, vectors array<int>, codes binary, residuals array<double>"
 FOUND = "rid long, id long, other long, score long"
+FIRST = 32
 WITHIN = "rid long, id long, place int, positive_id long, positive_score long, other long, score long"
 
 
@@ -75,12 +76,13 @@ class Block:
         self.codes = np.ascontiguousarray(np.frombuffer(cells.column("codes")[0].as_py(), np.uint8).reshape(len(self.ids), parts).T)
         self.residuals = cell("residuals").reshape(len(self.ids), parts)
         self.lengths = np.sqrt((books**2).sum(axis=2)).max(axis=1)
+        self.doubles, self.largest = self.vectors.astype(np.float64), float(np.abs(self.vectors).max(initial=0))
 
     def alike(self, label: int) -> tuple[int, int]:
         return int(np.searchsorted(self.labels, label)), int(np.searchsorted(self.labels, label, "right"))
 
     def bounds(self, query: np.ndarray, rows: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lowest and highest score that each of ``rows`` can have."""
+        """Lowest and highest score that each of ``rows`` can have, in doubles."""
         cut_up = query.reshape(len(self.books), -1).astype(np.float64)
         table = np.einsum("pkw,pw->pk", self.books, cut_up)
         length = np.sqrt((cut_up**2).sum(axis=1))
@@ -88,6 +90,12 @@ class Block:
         width = self.residuals[rows] @ length + 1e-9 * (length @ self.lengths + 1)
         return middle - width, middle + width
 
+    def scores(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Exact scores of the rows ``at``: in doubles where all sums are whole numbers a double holds."""
+        if self.largest * float(np.abs(query).sum()) < 2.0**53:
+            return (self.doubles[at] @ query.astype(np.float64)).astype(np.int64)
+        return self.vectors[at] @ query
+
 
 def positives(block: Block, queries: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
     """The k best rows of each anchor's label, but for its own row."""
@@ -100,7 +108,7 @@ def positives(block: Block, queries: pa.RecordBatch, k: int) -> Iterator[pa.Reco
         sure = low[other]
         least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) > k else -np.inf
         at = a + np.flatnonzero(other & (high >= least))
-        score = products(block.vectors[at], query)
+        score = block.scores(query, at)
         out += [(rid, own, int(block.ids[at[i]]), int(score[i])) for i in np.lexsort((block.ids[at], -score))[:k]]
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], names=["rid", "id", "other", "score"])
 
@@ -111,19 +119,28 @@ def negatives(block: Block, queries: pa.RecordBatch, k: int, least: int, most: i
     asked = matrix(queries.column("v"), block.vectors.shape[1])
     for rid, own, label, query, found in zip(queries.column("rid").to_pylist(), queries.column("id").to_pylist(), queries.column("label").to_pylist(), asked, queries.column("positives").to_pylist(), strict=True):
         a, b = block.alike(label)
-        rest = np.r_[0:a, b : len(block.ids)]
-        low, high = block.bounds(query, rest)
+        low, high = block.bounds(query, slice(None))
+        low[a:b] = np.inf  # rows of the anchor's label are in no window
+        exact, known = np.zeros(len(low), np.int64), np.zeros(len(low), bool)
+
+        def inside(at: np.ndarray, bottom: int, top: int) -> np.ndarray:
+            """The k best of ``at`` in the window; what was scored for an earlier window is not scored again."""
+            new = at[~known[at]]
+            exact[new], known[new] = block.scores(query, new), True
+            at = at[(exact[at] >= bottom) & (exact[at] <= top)]
+            return at[np.lexsort((block.ids[at], -exact[at]))[:k]]
+
         for place, positive, score in ((x["place"], x["id"], x["score"]) for x in found):
             bottom, top = -(-least * score // 100), most * score // 100
-            if bottom > top or not len(rest):
+            if bottom > top:
                 continue
-            inside = low[(low >= bottom) & (high <= top)]  # in the window whatever the residual
-            floor = max(bottom, np.partition(inside, len(inside) - k)[len(inside) - k] if len(inside) >= k else -np.inf)
-            at = rest[(high >= floor) & (low <= top)]
-            exact = products(block.vectors[at], query)
-            fits = np.flatnonzero((exact >= bottom) & (exact <= top))
-            best = fits[np.lexsort((block.ids[at[fits]], -exact[fits]))[:k]]
-            out += [(rid, own, place, positive, score, int(block.ids[at[i]]), int(exact[i])) for i in best]
+            at = np.flatnonzero((high >= bottom) & (low <= top))
+            if len(at) > FIRST:  # the likeliest rows first: the kth of them bounds the others
+                middle = low[at] + high[at]
+                likely = np.argpartition(np.where(middle <= 2 * top, -middle, np.inf), FIRST)[:FIRST]
+                best = inside(at[likely], bottom, top)
+                at = at[high[at] >= exact[best[-1]]] if len(best) == k else at
+            out += [(rid, own, place, positive, score, int(block.ids[i]), int(exact[i])) for i in inside(at, bottom, top)]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=["rid", "id", "place", "positive_id", "positive_score", "other", "score"])
 

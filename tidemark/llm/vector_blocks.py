@@ -49,13 +49,6 @@ def matrix(lists: pa.Array, dims: int = 0) -> np.ndarray:
     return out
 
 
-def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, exact: in doubles where every sum is a whole number a double holds."""
-    if float(np.abs(vectors).max(initial=0)) * float(np.abs(query).sum()) < 2.0**53:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    return vectors @ query
-
-
 def shape(rows: DataFrame, block: int | None) -> tuple[int, int, int]:
     """Number of rows, longest vector, number of blocks."""
     n, dims = rows.agg(F.count("*"), F.max(F.size("v"))).first()
