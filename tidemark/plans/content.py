@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import html, text, urls
-from tidemark.operators.differences import line_counts, unified
+from tidemark.operators.differences import LINE, line_counts, text_changes
 from tidemark.operators.keyed import put_if_absent
 from tidemark.plans.bindings import CAPTURES, captures, table
 from tidemark.sources import pages
@@ -101,7 +101,16 @@ def _edited(spark, sf_dir):
 
 
 def line_diff_patch(spark, sf_dir):
-    return _edited(spark, sf_dir).select("doc_id", unified()("old", "new").alias("d")).select("doc_id", "d.*")
+    """Shortest edits with their patches."""
+    return text_changes(_edited(spark, sf_dir), "doc_id", "old", "new")
+
+
+def line_diff_minimal(spark, sf_dir):
+    """Added and removed lines of shortest edits: every third line went, and what stood behind the first line repeats at the end."""
+    lines = F.regexp_extract_all("text", F.lit(LINE), F.lit(0))
+    df = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.col("text").alias("old"), lines.alias("l"))
+    new = F.concat(F.array_join(F.filter("l", lambda x, i: i % 3 != 2), ""), F.array_join(F.slice("l", F.lit(2), F.lit(2)), ""))
+    return text_changes(df.select("doc_id", "old", new.alias("new")), "doc_id", "old", "new").select("doc_id", "added_count", "removed_count")
 
 
 def charset_decode(spark, sf_dir):
@@ -145,6 +154,12 @@ _HASHED = rf"""SELECT monitor_id, round, sha256(body) AS raw_hash,
     sha256(regexp_replace(regexp_replace(regexp_replace(clean, '>[ \t\r\n\f]*[\r\n][ \t\r\n\f]*<', '><', 'g'), '[ \t\r\n\f]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS normalized_hash,
     sha256({block_text_sql("clean")}) AS text_hash FROM ({_CLEANED})"""
 
+LCS_SQL = rf"""WITH RECURSIVE t AS (SELECT doc_id, text, regexp_extract_all(text, '{LINE}') AS a FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, a, regexp_extract_all(array_to_string([x FOR x, i IN a IF i % 3 <> 0], '') || array_to_string(a[2:3], ''), '{LINE}') AS b FROM t),
+s AS (SELECT doc_id, a, b, 0 AS i, [0 FOR x IN range(len(b) + 1)] AS r FROM u UNION ALL
+  SELECT doc_id, a, b, i + 1, list_reduce(range(1, len(b) + 1), lambda acc, j: list_append(acc, CASE WHEN a[i + 1] = b[j] THEN r[j] + 1 ELSE greatest(r[j + 1], acc[-1]) END), [0]) FROM s WHERE i < len(a))
+SELECT doc_id, len(b) - r[-1] AS added_count, len(a) - r[-1] AS removed_count FROM s WHERE i = len(a)"""
+
 QUERIES = {
     "content_changes": (
         content_changes,
@@ -190,6 +205,7 @@ AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NU
         """SELECT doc_id, CAST(0 AS BIGINT) AS added, CAST(len(string_split(text, chr(10))) // 3 AS BIGINT) AS removed FROM documents WHERE text IS NOT NULL""",
     ),
     "line_diff_patch": (line_diff_patch, None),
+    "line_diff_minimal": (line_diff_minimal, LCS_SQL),
     "charset_decode": (charset_decode, "SELECT page_id, url AS text FROM pages"),
     "html_items_fields": (
         html_items_fields,
