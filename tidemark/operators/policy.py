@@ -34,27 +34,42 @@ def fetch_sequence(tries: DataFrame, attempts: int = 3, retries: int = 2) -> Dat
     )
 
 
+def applying(rules: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """(origin, top, lengths) of every origin that has groups, and the rules (origin, start, pattern, best) that apply to ``agent``.
+
+    ``start`` is what a pattern says before its first wildcard. Of equal patterns of an origin one row is left, the one that would decide.
+    """
+    named = F.array_max(F.transform(F.filter("agents", lambda a: (a != "*") & F.contains(F.lit(agent.lower()), F.lower(a))), F.length))
+    weight = F.coalesce(named, F.when(F.array_contains("agents", "*"), 0), F.lit(-1))
+    weighed = rules.withColumn("weight", weight).groupBy("origin", "weight", "pattern").agg(
+        F.max(F.when(F.col("pattern").isNotNull(), F.struct(F.length("pattern").alias("n"), (F.col("directive") == "allow").alias("allow"), (-F.col("rule_no")).alias("r"), "directive", "pattern"))).alias("best")
+    )
+    weighed = weighed.withColumn("start", F.regexp_extract("pattern", r"^(.*?)(?:\*|\$$|$)", 1))
+    tops = weighed.groupBy("origin").agg(F.max("weight").alias("top"))
+    apply = weighed.join(tops, "origin").filter((F.col("weight") == F.col("top")) & (F.col("top") >= 0) & F.col("best").isNotNull()).select("origin", "start", "pattern", "best")
+    lengths = apply.groupBy("origin").agg(F.array_sort(F.collect_set(F.length("start"))).alias("lengths"))  # no more than a path has characters
+    return tops.join(lengths, "origin", "left"), apply
+
+
 def robots_verdict(targets: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """``targets`` (origin, url, ...) with verdict, agent_group and matched_rule.
+    """``targets`` (origin, url, ...) with verdict, agent_group and matched_rule; repeated targets are judged each.
 
     ``rules``: origin, group_no, agents array, rule_no, directive, pattern (a group without rules has one row of nulls).
     The groups with the longest declared name inside ``agent`` apply, else those for ``*``; of their rules the
-    longest matching pattern decides, allow before disallow. Rules are joined by origin and each target keeps one
-    best rule, an aggregate that is combined before the shuffle.
+    longest matching pattern decides, allow before disallow. Rules are an index by origin and literal start: a
+    path is cut to the lengths that starts of its origin have, met with the rules by equality, and globs are verified for
+    those alone, so an origin with very many rules is no product of rules and paths. Each different URL is judged once, as
+    a narrow row, and keeps one best rule by an aggregate that is combined before the shuffle. Targets without an origin are allowed.
     """
-    named = F.array_max(F.transform(F.filter("agents", lambda a: (a != "*") & F.contains(F.lit(agent.lower()), F.lower(a))), F.length))
-    weight = F.coalesce(named, F.when(F.array_contains("agents", "*"), 0), F.lit(-1))
-    weighed = rules.withColumn("weight", weight)
-    top = weighed.groupBy("origin").agg(F.max("weight").alias("top"))
-    apply = weighed.join(top, "origin").filter((F.col("weight") == F.col("top")) & (F.col("top") >= 0))
-    t = targets.withColumn("_path", urls.percent_normalized(F.concat(urls.path(F.col("url")), urls.query(F.col("url")))))
-    keys = targets.columns
-    met = t.join(top, "origin", "left").join(apply.select("origin", "rule_no", "directive", "pattern"), "origin", "left")
-    hit = F.col("pattern").isNotNull() & urls.glob_match(F.col("pattern"), F.col("_path"))
-    best = F.max(F.when(hit, F.struct(F.length("pattern").alias("n"), (F.col("directive") == "allow").alias("allow"), (-F.col("rule_no")).alias("r"), "directive", "pattern")))
-    out = met.groupBy(*keys).agg(best.alias("b"), F.any_value("top").alias("top"))
+    origins, apply = applying(rules, agent)
+    asked = targets.select("origin", "url").distinct().join(origins.filter("lengths is not null").select("origin", "lengths"), "origin")
+    asked = asked.withColumn("_path", urls.percent_normalized(F.concat(urls.path(F.col("url")), urls.query(F.col("url")))))
+    cuts = asked.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("_path")))).withColumn("start", F.expr("substring(_path, 1, n)"))
+    hits = cuts.select("origin", "url", "_path", "start").join(apply, ["origin", "start"]).filter(urls.glob_match(F.col("pattern"), F.col("_path")))
+    found = hits.groupBy("origin", "url").agg(F.max("best").alias("b"))
+    out = targets.join(found, ["origin", "url"], "left").join(origins.select("origin", "top"), "origin", "left")
     return out.select(
-        *keys,
+        *targets.columns,
         F.when(F.col("b.directive") == "disallow", "disallowed").otherwise("allowed").alias("verdict"),
         F.when(F.col("top") > 0, agent).when(F.col("top") == 0, "*").otherwise("none").alias("agent_group"),
         F.when(F.col("b").isNotNull(), F.concat("b.directive", F.lit(": "), "b.pattern")).alias("matched_rule"),

@@ -188,12 +188,15 @@ def parse_errors(spark, sf_dir):
     return feeds.parse_errors(docs).select(F.col("doc").alias("page_id"), "error")
 
 
+FETCH_CAP = 500
+
+
 def robots_fetches(spark, sf_dir):
     """What fetches of robots.txt mean: by their status, capped in bytes."""
     k = F.col("doc_id") % 5
     status = F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 503).when(k == 3, 301)
     d = b.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("origin"), status.alias("status"), F.coalesce("text", F.lit("")).alias("body"))
-    return robots.from_fetches(d, 4000).select("origin", F.least(F.octet_length("body"), F.lit(3900)).cast("long").alias("n_bytes"), "unavailable")
+    return robots.from_fetches(d, FETCH_CAP).select("origin", F.octet_length("body").cast("long").alias("n_bytes"), text.sha256(F.col("body")).alias("body_hash"), "unavailable")
 
 
 def policy_entries(spark, sf_dir):
@@ -335,7 +338,9 @@ SELECT page_id, pos, site_id || '/m' || pos % 8 || '.xml' AS url, CASE WHEN pos
     "parse_errors": (parse_errors, f"SELECT page_id, e AS error FROM pages JOIN (VALUES {_XML}) t(c, e) ON page_id % {len(XML)} = c"),
     "robots_fetches": (
         robots_fetches,
-        "SELECT CAST(doc_id AS VARCHAR) AS origin, CASE WHEN doc_id % 5 <> 0 OR text IS NULL THEN 0 ELSE least(strlen(text), 3900) END::BIGINT AS n_bytes, doc_id % 5 NOT IN (0, 1) AS unavailable FROM documents",
+        f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS origin, doc_id % 5 NOT IN (0, 1) AS unavailable, hex(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') ELSE '' END) AS h FROM documents),
+n AS (SELECT *, least(length(h) // 2, {FETCH_CAP} - CASE WHEN substr(h, {2 * FETCH_CAP + 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN 0 WHEN substr(h, {2 * FETCH_CAP - 1}, 1) NOT IN ('8', '9', 'A', 'B') THEN 1 WHEN substr(h, {2 * FETCH_CAP - 3}, 1) NOT IN ('8', '9', 'A', 'B') THEN 2 ELSE 3 END) AS n_bytes FROM d)
+SELECT origin, n_bytes, sha256(unhex(left(h, 2 * n_bytes))) AS body_hash, unavailable FROM n""",
     ),
     "policy_entries": (
         policy_entries,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import configs, network, outcomes
+from tidemark.functions import configs, network, outcomes, urls
 from tidemark.operators import policy, relations
 from tidemark.plans import bindings as b
 from tidemark.sources import robots
@@ -21,8 +21,12 @@ HOSTS = [
 
 
 def host_classes(spark, sf_dir):
-    rows = spark.createDataFrame([(h,) for h, _ in HOSTS], "host string")
-    return rows.select("host", network.host_class(F.col("host")).alias("reason"))
+    """Classes of the hosts that pages name, some of them replaced by odd notations, user and port before and behind them."""
+    odd = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HOSTS)], "k long, odd string")
+    p = b.table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 4 != 0, F.floor(F.col("page_id") / 4) % len(HOSTS)).alias("k")).join(odd, "k", "left")
+    named = F.when(F.col("odd").contains(":") & ~F.col("odd").startswith("["), F.concat(F.lit("["), "odd", F.lit("]"))).otherwise(F.col("odd"))
+    url = F.when(F.col("odd").isNull(), F.col("url")).otherwise(F.concat(F.lit("http://me@"), named, F.lit(":8080/")))
+    return p.select("page_id", network.host_class(urls.host(url)).alias("reason"))
 
 
 def ipv4_classify(spark, sf_dir):
@@ -53,11 +57,21 @@ def http_failure_class(spark, sf_dir):
     return a.select("attempt_id", F.coalesce(f, F.lit("ok")).alias("failure"))
 
 
-ROBOTS = "# rules\nUser-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: tidebot\nUser-agent: other\nDisallow: /a\nAllow: /a/b\nSitemap: https://example.org/s.xml\nUser-agent: last\nDisallow:\n"
-
-
 def robots_rules_parsed(spark, sf_dir):
-    files = spark.createDataFrame([("https://a.example", ROBOTS), ("https://b.example", "Disallow: /x\n"), ("https://c.example", "User-Agent: A\nAllow: /%7euser/%c3%a4 b # c")], "origin string, body string")
+    """A robots.txt for every fifty pages, a line for each: agents, rules, comments, unknown fields and paths that are none."""
+    k, n = F.col("page_id"), F.col("page_id").cast("string")
+    line = (
+        F.when(k % 9 < 2, F.concat(F.lit("User-Agent : Bot"), (k % 7).cast("string"), F.lit(" # agent")))
+        .when(k % 9 == 2, F.concat(F.lit("Disallow: /%7Ea"), n, F.lit("/%c3%a4 b*")))
+        .when(k % 9 == 3, F.concat(F.lit("\tallow:/b"), n, F.lit("$")))
+        .when(k % 9 == 4, F.when(k % 2 == 0, "Disallow:").otherwise("Allow:"))
+        .when(k % 9 == 5, F.concat(F.lit("# Disallow: /no"), n))
+        .when(k % 9 == 6, "Crawl-delay: 5")
+        .when(k % 9 == 7, F.concat(F.lit("Sitemap: https://e.org/s"), n, F.lit(".xml")))
+        .otherwise(F.concat(F.lit("Disallow: no"), n))
+    )
+    lines = b.table(spark, sf_dir, "pages").select(F.concat(F.lit("https://r"), F.floor(k / 50).cast("string"), F.lit(".example")).alias("origin"), F.struct("page_id", line.alias("line")).alias("l"))
+    files = lines.groupBy("origin").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\r\n").alias("body"))  # fifty lines
     return robots.parsed(files).select("origin", "group_no", F.array_join("agents", ",").alias("agents"), "directive", "pattern")
 
 
@@ -126,7 +140,10 @@ def retry_after(spark, sf_dir):
 _HOSTS = ", ".join(f"('{h}', {f"'{r}'" if r else 'NULL'})" for h, r in HOSTS)
 _CONFIGS = ", ".join(f"({i}, {', '.join(f"'{v}'" if v is not None else 'NULL::VARCHAR' for v in x[2:])})" for i, x in enumerate(CONFIGS))
 QUERIES = {
-    "host_classes": (host_classes, f"SELECT * FROM (VALUES {_HOSTS}) t(host, reason)"),
+    "host_classes": (
+        host_classes,
+        f"""SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN reason END AS reason FROM pages LEFT JOIN (SELECT row_number() OVER () - 1 AS k, reason FROM (VALUES {_HOSTS}) t(host, reason)) ON page_id // 4 % {len(HOSTS)} = k""",
+    ),
     "ipv4_classify": (
         ipv4_classify,
         """SELECT doc_id, CASE WHEN a = 127 THEN 'loopback' WHEN a = 0 THEN 'invalid' WHEN ip = 2852039166 THEN 'metadata' WHEN a = 169 AND b = 254 THEN 'link-local'
@@ -147,8 +164,12 @@ LEFT JOIN (SELECT s_nationkey, count(*) AS n, bool_or(s_suppkey % 9 = 5) AS bad
     ),
     "robots_rules_parsed": (
         robots_rules_parsed,
-        """SELECT * FROM (VALUES ('https://a.example', 1::BIGINT, '*', 'disallow', '/private'), ('https://a.example', 1, '*', 'allow', '/private/open'), ('https://a.example', 1, '*', 'disallow', '/*.pdf$'),
-('https://a.example', 2, 'other,tidebot', 'disallow', '/a'), ('https://a.example', 2, 'other,tidebot', 'allow', '/a/b'), ('https://a.example', 3, 'last', NULL, NULL), ('https://c.example', 1, 'a', 'allow', '/~user/%C3%A4%20b')) t(origin, group_no, agents, directive, pattern)""",
+        r"""WITH l AS (SELECT 'https://r' || page_id // 50 || '.example' AS origin, page_id AS k, page_id % 9 AS m FROM pages),
+f AS (SELECT *, m < 2 AND coalesce(lag(m) OVER (PARTITION BY origin ORDER BY k), 9) >= 2 AS opens FROM l WHERE m NOT IN (5, 6)),
+g AS (SELECT *, CAST(sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY origin ORDER BY k) AS BIGINT) AS group_no FROM f),
+a AS (SELECT origin, group_no, string_agg(DISTINCT 'bot' || k % 7, ',' ORDER BY 'bot' || k % 7) AS agents FROM g WHERE m < 2 GROUP BY ALL),
+r AS (SELECT origin, group_no, CASE WHEN m = 2 THEN 'disallow' ELSE 'allow' END AS directive, CASE m WHEN 2 THEN '/~a' || k || '/%C3%A4%20b*' WHEN 3 THEN '/b' || k || '$' ELSE '' END AS pattern FROM g WHERE m IN (2, 3) OR (m = 4 AND k % 2 = 1))
+SELECT origin, group_no, agents, directive, pattern FROM a LEFT JOIN r USING (origin, group_no)""",
     ),
     "robots_verdict": (
         robots_verdict,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
@@ -41,8 +41,15 @@ def sitemaps(df: DataFrame, key: str = "origin", text: str = "body") -> DataFram
     return directives(df, key, text).filter((F.col("field") == "sitemap") & (F.col("value") != "")).select(key, "line", F.col("value").alias("sitemap"))
 
 
+def capped(text: Column, most_bytes: int) -> Column:
+    """The longest start of ``text`` of at most ``most_bytes`` UTF-8 bytes that ends between characters."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda k: F.hex(F.substring(raw, most_bytes + 1 - k, 1)).rlike("^[89AB]")  # noqa: E731  the byte behind the cut continues a character
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(F.octet_length(text) > most_bytes, F.decode(F.substring(raw, F.lit(1), F.lit(most_bytes) - back), "UTF-8")).otherwise(text)
+
+
 def from_fetches(fetches: DataFrame, most_bytes: int = 500 * 1024) -> DataFrame:
-    """origin, body, unavailable: 2xx gives its text (capped), 4xx allows everything, anything else is unavailable."""
+    """origin, body, unavailable: 2xx gives its text (capped in bytes, between characters), 4xx allows everything, anything else is unavailable."""
     ok, client = F.col("status").between(200, 299), F.col("status").between(400, 499)
-    capped = F.decode(F.substring(F.encode("body", "UTF-8"), 1, most_bytes), "UTF-8")
-    return fetches.select("origin", F.when(ok, F.when(F.octet_length("body") > most_bytes, capped).otherwise(F.col("body"))).otherwise("").alias("body"), (~F.coalesce(ok | client, F.lit(False))).alias("unavailable"))
+    return fetches.select("origin", F.when(ok, F.coalesce(capped(F.col("body"), most_bytes), F.lit(""))).otherwise("").alias("body"), (~F.coalesce(ok | client, F.lit(False))).alias("unavailable"))
