@@ -4,90 +4,56 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from html.parser import HTMLParser
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-STEP = re.compile(r"^[^.#\[]+|[.#][^.#\[]+|\[[^\]]*\]")
+from tidemark.functions.selectors import VOID, Program, Walk
 
-
-def traits(tag: str, attrs: Sequence[tuple[str, str | None]]) -> frozenset[str]:
-    """What a step of a selector can ask of an element: its tag, #id, .class, [name] and [name=value]."""
-    found = {tag, "*"}
-    for name, value in attrs:
-        found |= {f"[{name}]", f"[{name}={(value or '').lower()}]"}
-        found |= {f"{'#' if name == 'id' else '.'}{x.lower()}" for x in (value or "").split() if name in ("id", "class")}
-    return frozenset(found)
-
-
-def steps_of(selector: str) -> list[set[str]]:
-    """The steps of a selector with descendants: tag, *, #id, .class, [name], [name=value]."""
-    spaced = re.sub(r"\s(?=[^\[]*\])", "\0", selector.strip())  # white space inside brackets separates nothing
-    return [{re.sub(r"[\"'\0]", "", x).lower() for x in STEP.findall(step)} for step in spaced.split()]
-
-
-def selected(path: Sequence[frozenset[str]], steps: Sequence[set[str]]) -> bool:
-    """Whether the innermost element matches the last step and its ancestors the others, in order."""
-    left = list(steps)
-    if not path or not left or not left.pop() <= path[-1]:
-        return False
-    for element in reversed(path[:-1]):
-        if left and left[-1] <= element:
-            left.pop()
-    return not left
-
-
-class Spans(HTMLParser):
+class Spans(Walk):
     """Start and end of the outermost elements that any selector names; an element that is never closed ends with its parent."""
 
-    def __init__(self, page: str, selectors: Sequence[str]) -> None:
-        super().__init__(convert_charrefs=False)
-        self.steps = [steps_of(s) for s in selectors]
+    def __init__(self, page: str, program: Program) -> None:
+        super().__init__(program)
+        self.any = reduce(or_, program.finals)
         self.lines = [0, *(m.end() for m in re.finditer("\n", page))]
-        self.path: list[frozenset[str]] = []
-        self.names: list[str] = []
-        self.spans: list[tuple[int, int]] = []
-        self.since: tuple[int, int] | None = None  # depth and start of the element at hand
-        self.page = page
-        self.feed(page)
-        self.close()
-        if self.since:
-            self.spans.append((self.since[1], len(page)))
+        self.page, self.spans = page, []
+        self.since: tuple[int, int] | None = None  # frames below, and start, of the element at hand
+        self.run(page)
 
     def at(self) -> int:
         line, column = self.getpos()
         return self.lines[line - 1] + column
 
-    def handle_starttag(self, tag, attrs):
-        self.names.append(tag)
-        self.path.append(traits(tag, attrs))
-        hit = not self.since and any(selected(self.path, s) for s in self.steps)
-        if hit and tag not in VOID:
-            self.since = len(self.path), self.at()
-        elif hit:
-            self.spans.append((self.at(), self.at() + len(self.get_starttag_text())))
+    def opened(self, word, tag, attrs):
+        if self.since or not word & self.any:
+            return
         if tag in VOID:
-            self.path.pop()
-            self.names.pop()
+            self.spans.append((self.at(), self.at() + len(self.get_starttag_text())))
+        else:
+            self.since = len(self.frames) - 1, self.at()
 
-    def handle_endtag(self, tag):
-        if tag not in self.names:
-            return
-        depth = len(self.names) - self.names[::-1].index(tag)
-        if self.since and depth <= self.since[0]:
-            own = depth == self.since[0]
-            self.spans.append((self.since[1], self.page.find(">", self.at()) + 1 or len(self.page) if own else self.at()))
+    def closed(self, depth, tag, told):
+        if self.since and depth == self.since[0]:
+            end = self.page.find(">", self.at()) + 1 or len(self.page) if told else self.at()
+            self.spans.append((self.since[1], end))
+            self.since = None
+
+    def end(self, at, told):
+        if at == 1 and not told:  # the page is over
+            if self.since:
+                self.spans.append((self.since[1], len(self.page)))
             self.since = None
-        del self.names[depth - 1 :], self.path[depth - 1 :]
+        super().end(at, told)
 
 
 def cut_regions(page: str, ignore: Sequence[str], include: Sequence[str]) -> str:
     """``page`` without ignored elements; with ``include``, only what stands inside included ones."""
-    keep = Spans(page, include).spans if include else [(0, len(page))]
-    drop = Spans(page, ignore).spans if ignore else []
+    keep = Spans(page, Program(include)).spans if include else [(0, len(page))]
+    drop = Spans(page, Program(ignore)).spans if ignore else []
     out = []
     for start, end in keep:
         for a, b in drop:

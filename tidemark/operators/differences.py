@@ -1,6 +1,7 @@
 """Line differences: counts by multiset in the JVM, shortest edits and their hunks by an Arrow batch function.
 
-A line is a token with its line break, so a last line without one differs from the same line with one. The shortest edit is
+A line is a token with its line break, so a last line without one differs from the same line with one; ``unified`` also takes
+lines as what stands between breaks. The shortest edit is
 the longest common subsequence read backwards. Lines at both ends that are equal, and lines that only one text has, are settled
 first without loss; what remains is split again and again at the point where the two halves' common subsequences add up to
 most (linear space), their lengths told by rows of bits, one machine word for 64 lines. No length switches to another rule.
@@ -108,17 +109,19 @@ def hunks(old: Sequence[str], new: Sequence[str], kept: list[tuple[int, int]], c
         yield "".join(out + [shown(" ", x) for x in old[at:z]])
 
 
-def unified(context: int = 3):
+def unified(context: int = 3, breaks: bool = False):
     """A pandas UDF (old, new) -> struct<added_count, removed_count, patch>: the fewest added and removed lines; an empty patch where nothing changed.
 
-    Null texts are empty. A pair of texts is one row of a batch and is held by its task.
+    With ``breaks`` a line's break is part of it, else lines are what stands between breaks (an empty text is one empty line). Null
+    texts are empty. A pair of texts is one row of a batch and is held by its task.
     """
+    lines = (lambda t: re.findall(LINE, t)) if breaks else (lambda t: [x + "\n" for x in t.split("\n")])
 
     @F.pandas_udf(PATCH)
     def patch(old: pd.Series, new: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(old, new, strict=True):
-            a, b = re.findall(LINE, a or ""), re.findall(LINE, b or "")
+            a, b = lines(a or ""), lines(b or "")
             kept = shortest_edit(a, b)
             body = "".join(hunks(a, b, kept, context))
             out.append((len(b) - len(kept), len(a) - len(kept), "--- before\n+++ after\n" + body if body else ""))
@@ -131,4 +134,4 @@ def text_changes(df: DataFrame, key: str, old: str, new: str, context: int = 3)
     """key, added_count, removed_count, patch of rows (key, old, new); equal texts, told in the JVM, never travel to Python."""
     same = F.col(old).eqNullSafe(F.col(new))
     equal = df.filter(same).select(key, F.lit(0).cast("long").alias("added_count"), F.lit(0).cast("long").alias("removed_count"), F.lit("").alias("patch"))
-    return df.filter(~same).select(key, unified(context)(old, new).alias("d")).select(key, "d.*").unionByName(equal)
+    return df.filter(~same).select(key, unified(context, breaks=True)(old, new).alias("d")).select(key, "d.*").unionByName(equal)

@@ -137,6 +137,24 @@ def item_fields(spark, sf_dir):
     return found.select("page_id", "pos", "url", "title", text.fields_summary(F.col("fields")).alias("summary"))
 
 
+SELECTED = "nav li:nth-child(2n+1) > a[href^='/'], div.ad + article h1, article ~ footer, p:first-of-type > b"
+
+
+def selected_elements(spark, sf_dir):
+    """Elements that a list of selectors names, by tag: structural joins over the elements of all pages."""
+    found = pages.elements(table(spark, sf_dir, "pages"), "page_id", "html")
+    return pages.select_elements(found, "page_id", SELECTED).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.min("depth").cast("long").alias("depth"))
+
+
+def linked_items(spark, sf_dir):
+    """Items by selectors of their own for link, title and fields, one field by a label."""
+    k = F.col("page_id").cast("string")
+    one = lambda n: F.concat(F.lit(f'<div class="unit wide" data-n="{n}"><h2>T{n} &amp; '), k, F.lit(f'</h2><a href="mailto:x@y.z">m</a><a class="more" href="/i{n}-'), k, F.lit(f'">more</a><span class="v">v{n} </span><span class="v">no</span><dl><dt> Size</dt><dd>{n}&nbsp;m</dd></dl></div>'))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<main>"), one(1), one(2), F.lit("<p>"), one(3), F.lit("</main>")).alias("html"), F.lit("https://e.org/l").alias("url"))
+    found = pages.items(p, "page_id", "html", "url", "main > .unit[data-n], .none", (("value", ".v"), ("size", None, "Size"), ("none", "b")), link="a.more", title="h2")
+    return found.select("page_id", "pos", "url", "title", text.fields_summary(F.col("fields")).alias("summary"))
+
+
 _R = text.REMOVED
 _CLEANED = f"""SELECT *, list_aggregate(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(
       '<a href="' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || list_aggregate(list_transform(string_split(substr(tags[i], 10, length(tags[i]) - 11), ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), 'string_agg', '') || '">', '')), 'string_agg', '') AS clean
@@ -214,6 +232,16 @@ AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NU
 u AS (SELECT page_id, pos, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || list_aggregate(list_transform(string_split(href, ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), 'string_agg', '') AS url, title FROM l)
 SELECT page_id, pos, url, title FROM u QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY pos) = 1""",
     ),
+    "selected_elements": (
+        selected_elements,
+        """WITH p AS (SELECT page_id, html, len(regexp_extract_all(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<li><a href="/')) AS links FROM pages)
+SELECT page_id, 'a' AS tag, (links + 1) // 2 AS n, 5::BIGINT AS depth FROM p WHERE links > 0 UNION ALL SELECT page_id, 'h1', 1, 3 FROM p WHERE html LIKE '%</div><article><h1>%'
+UNION ALL SELECT page_id, 'footer', 1, 2 FROM p WHERE html LIKE '%</article>%<footer>%' UNION ALL SELECT page_id, 'b', 1, 4 FROM p WHERE regexp_matches(html, '</h1><p><b>')""",
+    ),
+    "linked_items": (
+        linked_items,
+        """SELECT page_id, n - 1 AS pos, 'https://e.org/i' || n || '-' || page_id AS url, 'T' || n || ' &amp; ' || page_id AS title, 'value: v' || n || chr(10) || 'size: ' || n || ' m' AS summary FROM pages, (SELECT unnest([1, 2]::BIGINT[]) AS n)""",
+    ),
     "item_fields": (
         item_fields,
         """SELECT page_id, n - 1 AS pos, 'https://e.org/i' || n || '-' || page_id AS url, 'Item ' || page_id AS title, CASE n WHEN 1 THEN 'Price: 5 EUR' || chr(10) || 'Size: 9 m2' ELSE 'Price: 7' END AS summary
