@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import outcomes, urls
 from tidemark.operators.keyed import latest
+from tidemark.operators.scans import as_of
 from tidemark.sources import robots
 
 
@@ -100,6 +101,18 @@ def robots_check(targets: DataFrame, cache: DataFrame, fetches: DataFrame, agent
     )
 
 
+def cached_as_of(checks: DataFrame, cache: DataFrame, at: str, ttl_s: int = 3600) -> DataFrame:
+    """``checks`` (origin, ``at``, ...) with the columns of the newest entry of ``cache`` (origin, fetched_at, ...) not after each check's own time, and from_cache.
+
+    An entry of ``ttl_s`` seconds or more counts as none: its columns are null and the origin has to be fetched again.
+    """
+    others = [c for c in cache.columns if c not in ("origin", "fetched_at")]
+    met = as_of(checks, cache, "origin", at, "fetched_at", "_entry")
+    age = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_entry.fetched_at").cast("timestamp"))
+    met = met.withColumn("from_cache", F.coalesce(age < ttl_s * 1_000_000, F.lit(False)))
+    return met.select(*checks.columns, "from_cache", *[F.when(F.col("from_cache"), F.col(f"_entry.{c}")).alias(c) for c in others])
+
+
 def dns_verdict(hosts: DataFrame, answers: DataFrame, reason) -> DataFrame:
     """``hosts`` (host) with reason: the first blocked answer's, or dns_resolution_failed without one; null if all are public."""
     seen = answers.groupBy("host").agg(F.min(F.when(reason.isNotNull(), F.struct("pos", reason.alias("r")))).alias("bad"))

@@ -63,17 +63,6 @@ def set_difference(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataF
     return found.select(*keys, F.when(F.col("_s") == 1, "added").otherwise("removed").alias("side"))
 
 
-def streaks(df: DataFrame, key: str, order: Sequence[str], good: Column) -> DataFrame:
-    """``df`` with ``streak``: failures in a row up to and including each row; 0 at a success.
-
-    Islands begin at successes: a running count of successes names them, a count inside them is the streak.
-    """
-    run = Window.partitionBy(key).orderBy(*order)
-    islands = df.withColumn("_g", F.sum(good.cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return islands.withColumn("streak", F.sum((~good).cast("long")).over(inside)).drop("_g")
-
-
 def occurrences(lists: DataFrame, keys: Sequence[str], allow: str, order: str) -> DataFrame:
     """keys, errors: what is wrong with each pair of an allow list and an order list; an empty array if nothing."""
     a, o = F.col(allow), F.col(order)

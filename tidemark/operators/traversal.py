@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import network, urls
+from tidemark.operators import scans
+from tidemark.operators.tables import written
 
 MOST_CHILDREN, MOST_FETCHES, MOST_DEPTH, MOST_ITEMS = 20, 50, 3, 2000
 COUNTERS = ("children_truncated", "depth_truncated", "origin_blocked", "missing_lastmod_skipped", "feed_items_truncated", "fetch_budget_truncated", "fetches_used", "pattern_excluded")
@@ -30,7 +32,8 @@ def traverse(
     Of an index's entries the dated ones after ``cutoff`` whose file name fits are taken, the newest first, ``children`` at
     most. They are walked depth first: a child's place is the path of its ranks, and its number among all
     that pass their gates, in the order of paths, is the budget spent when its turn comes. A parent always comes before
-    its children, so one count over the finished levels is the walk itself, and no fetch waits for another.
+    its children, so one count over the finished levels is the walk itself, and no fetch waits for another. Every level is
+    written when it is met, and the walk when it is done, so work is linear in the depth and what reads the walk computes nothing again.
     """
     level = roots.select("site_id", "origin", "baseline", F.col("url").alias("parent"), F.array().cast("array<int>").alias("path"))
     found = []
@@ -49,11 +52,12 @@ def traverse(
             .when(network.url_check(F.col("loc")).isNotNull(), "refused")
         )
         met = met.withColumn("state", F.coalesce("state", gate)).join(documents.select(F.col("url").alias("loc"), "kind"), "loc", "left")
-        found.append(met.select("site_id", "parent", "loc", "level", "path", "lastmod", "kind", "state"))
+        met = written(met.select("site_id", "origin", "baseline", "parent", "loc", "level", "path", "lastmod", "kind", "state"))
+        found.append(met.drop("origin", "baseline"))
         level = met.filter("state is null and kind = 'sitemap-index'").select("site_id", "origin", "baseline", F.col("loc").alias("parent"), "path")
     every = reduce(DataFrame.unionByName, found)
-    turn = F.row_number().over(Window.partitionBy("site_id", F.col("state").isNull()).orderBy("path"))
-    every = every.withColumn("turn", F.when(F.col("state").isNull(), turn))
+    every = scans.running(every, "site_id", ["path", "loc"], sums={"turn": F.col("state").isNull().cast("long")})
+    every = written(every.withColumn("turn", F.when(F.col("state").isNull(), F.col("turn"))))
     reached = every.filter(F.col("turn") <= fetches).select("site_id", F.slice("path", 1, 99).alias("_p"))
     inside = every.filter("level = 0").unionByName(every.filter("level > 0").join(reached, (every["site_id"] == reached["site_id"]) & (F.expr("slice(path, 1, level)") == F.col("_p")), "left_semi"))
     state = (
@@ -63,7 +67,7 @@ def traverse(
         .when((F.col("kind") == "sitemap-index") & (F.col("level") + 1 >= depth), "too_deep")
         .otherwise("opened")
     )
-    return inside.select("site_id", "parent", "loc", "level", "path", "lastmod", "kind", state.alias("state"))
+    return written(inside.select("site_id", "parent", "loc", "level", "path", "lastmod", "kind", state.alias("state")))
 
 
 def counters(walk: DataFrame, items: DataFrame, cutoff: str, most: int = MOST_ITEMS) -> DataFrame:

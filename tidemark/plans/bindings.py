@@ -5,8 +5,6 @@ Each relation stands here twice, as a DataFrame and as a DuckDB sub-query of the
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share; where none is named, a new one on a single machine and an error on a cluster."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (where or tempfile.mkdtemp(prefix="spark-tidemark-")).rstrip("/")
-
-
 def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """monitor_id, site_id, url, status, interval_seconds, next_run_at (null for every seventh)."""
     k = F.col("page_id") % 10

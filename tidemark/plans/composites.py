@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import html, text
 from tidemark.operators import keyed, policy, transitions, traversal
-from tidemark.operators.differences import line_counts
+from tidemark.operators.differences import unified
+from tidemark.operators.tables import written
 from tidemark.plans import bindings as b
 from tidemark.plans.check import fan_out
 from tidemark.plans.content import _HASHED, _R, block_text_sql, snapshots
@@ -19,20 +20,20 @@ from tidemark.streaming import delivery
 def page_check(captures: DataFrame, previous: DataFrame, texts: DataFrame, stored: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
     """monitor_id, level, dedupe_key, inserted, added, removed of captures (monitor_id, url, body): normalize, compare, difference, insert.
 
+    Raw hashes decide first; what differs is normalized once and written, so that no page is parsed again for what reads it.
     ``previous``: monitor_id and the hashes of its last snapshot. ``texts``: key, body of stored texts, read for changed captures
     alone; a lost one counts as empty. ``stored``: monitor_id, dedupe_key of changes. A monitor without a snapshot is at its
     baseline and has no level, like one that did not change; a change whose key is stored is not inserted.
     """
     hashes = ("raw_hash", "normalized_hash", "text_hash")
-    new = snapshots(captures, ignore, include)
     old = previous.select("monitor_id", F.struct(*hashes).alias("old"))
-    met = new.join(old, "monitor_id").withColumn("new", F.struct(*hashes))
+    differing = captures.join(old, "monitor_id").filter(text.sha256(F.col("body")) != F.col("old.raw_hash"))
+    met = written(snapshots(differing.select("monitor_id", "url", "body", "old"), ignore, include).drop("url", "body", "normalized_html")).withColumn("new", F.struct(*hashes))
     changed, level = text.compared(F.col("old"), F.col("new"))
     found = met.filter(changed).select("monitor_id", level.alias("level"), F.when(level == "text_hash", F.col("text_hash")).otherwise(F.col("normalized_hash")).alias("dedupe_key"), F.col("old.text_hash").alias("key"), "extracted_text")
-    lines = line_counts(keyed.read_blobs(found.select("monitor_id", "key", "extracted_text"), texts, "key"), "monitor_id", "body", "extracted_text")
     known = stored.select("monitor_id", "dedupe_key").distinct().withColumn("_k", F.lit(True))
-    told = found.join(lines, "monitor_id").join(known, ["monitor_id", "dedupe_key"], "left")
-    told = told.select("monitor_id", "level", "dedupe_key", F.col("_k").isNull().alias("inserted"), "added", "removed")
+    told = keyed.read_blobs(found, texts, "key").join(known, ["monitor_id", "dedupe_key"], "left").withColumn("d", unified()("body", "extracted_text"))
+    told = told.select("monitor_id", "level", "dedupe_key", F.col("_k").isNull().alias("inserted"), F.col("d.added_count").alias("added"), F.col("d.removed_count").alias("removed"))
     return captures.select("monitor_id").join(told, "monitor_id", "left")
 
 
@@ -53,11 +54,11 @@ def item_check(items: DataFrame, bodies: DataFrame, known: DataFrame) -> DataFra
 def page_check_run(spark, sf_dir):
     """Second captures against first ones, adverts ignored: some texts lost, some changes stored, deliveries counted."""
     c = b.captures(spark, sf_dir)
-    first = snapshots(c.filter("round = 1").drop("round"), ignore=(".ad",))
+    first = written(snapshots(c.filter("round = 1").drop("round"), ignore=(".ad",)).drop("url", "body", "normalized_html"))
     texts = first.filter("monitor_id % 6 <> 0").select(F.col("text_hash").alias("key"), F.col("extracted_text").alias("body")).dropDuplicates(["key"])
     second = c.filter("round = 2").drop("round")
-    stored = snapshots(second, ignore=(".ad",)).filter("monitor_id % 4 = 1").select("monitor_id", F.col("text_hash").alias("dedupe_key"))
-    done = page_check(second, first, texts, stored, ignore=(".ad",))
+    stored = snapshots(second.filter("monitor_id % 4 = 1"), ignore=(".ad",)).select("monitor_id", F.col("text_hash").alias("dedupe_key"))
+    done = written(page_check(second, first, texts, stored, ignore=(".ad",)))
     site = (F.col("monitor_id") % 25).cast("long").alias("site_id")
     changes = done.filter("inserted").select(F.col("monitor_id").alias("change_id"), "monitor_id", site, F.lit("updated").alias("kind"))
     sent = fan_out(changes, b.subscriptions(spark, sf_dir), spark.createDataFrame([], "change_id long, destination_id long")).groupBy(F.col("change_id").alias("monitor_id")).agg(F.count("*").alias("n_deliveries"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, outcomes, text
+from tidemark.operators.tables import shared_folder
 from tidemark.plans import bindings as b
 from tidemark.streaming import delivery, limiter
 
@@ -58,7 +59,7 @@ def schedule_next(spark, sf_dir):
 
 def change_stream(spark, sf_dir):
     """Orders streamed twice into a change table: the second time adds nothing."""
-    at = f"{b.scratch(spark)}/stream/{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
     source = b.changes(spark, sf_dir)
     source.write.parquet(f"{at}/in")
     for run in (1, 2):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import configs, network, outcomes, urls
-from tidemark.operators import policy, relations
+from tidemark.operators import policy, relations, scans
 from tidemark.plans import bindings as b
 from tidemark.sources import robots
 
@@ -101,16 +100,40 @@ def policy_validation(spark, sf_dir):
 
 
 def attempt_index(spark, sf_dir):
-    order = Window.partitionBy("origin_id").orderBy("seen_at", "attempt_id")
-    return b.attempts(spark, sf_dir).select("attempt_id", (F.row_number().over(order) - 1).cast("long").alias("attempt_index"))
+    return scans.numbered(b.attempts(spark, sf_dir), "origin_id", ["seen_at", "attempt_id"], "attempt_index").select("attempt_id", "attempt_index")
 
 
 def failure_streak(spark, sf_dir):
     """Streaks per origin with the wait they cause and whether the breaker is open."""
-    s = relations.streaks(b.attempts(spark, sf_dir), "origin_id", ["seen_at", "attempt_id"], F.col("ok"))
+    s = scans.streaks(b.attempts(spark, sf_dir), "origin_id", ["seen_at", "attempt_id"], F.col("ok"))
     return s.select("attempt_id", "streak", outcomes.backoff_ms(F.col("streak")).alias("wait_ms"), (F.col("streak") >= 5).alias("breaker_open"))
 
 
+def hot_streaks(spark, sf_dir):
+    """Streaks where one origin has a third of all attempts and every attempt tells what the last answer but 429 was."""
+    a = b.attempts(spark, sf_dir).withColumn("origin_id", F.when(F.col("attempt_id") % 3 == 0, -1).otherwise(F.col("origin_id")))
+    s = scans.streaks(a.select("origin_id", "attempt_id", "seen_at", "ok", "status_code"), "origin_id", ["seen_at", "attempt_id"], F.col("ok"))
+    last = F.when(F.col("status_code") != 429, F.col("status_code"))
+    out = scans.running(s, "origin_id", ["seen_at", "attempt_id"], sums={"failures": (~F.col("ok")).cast("long")}, maxima={"worst": F.col("streak")}, lasts={"last_status": last})
+    return out.select("attempt_id", "streak", "failures", "worst", "last_status")
+
+
+def robots_cache_as_of(spark, sf_dir):
+    """Checks of origins, each against the newest cache entry of its own time: from the cache if that is younger than an hour."""
+    e = b.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 20).alias("origin"), "ts", "event_type", "value")
+    cache = e.filter("event_type = 'purchase'").select("origin", F.col("ts").alias("fetched_at"), F.col("event_id").alias("entry"), (F.col("value") < 10).alias("unavailable"))
+    checks = e.filter("event_type <> 'purchase'").select("event_id", "origin", F.col("ts").alias("checked_at"))
+    return policy.cached_as_of(checks, cache, "checked_at").select("event_id", "entry", "from_cache", "unavailable")
+
+
+def snapshot_as_of(spark, sf_dir):
+    """Errors with the snapshot their user's target had before: the last click or view strictly before them."""
+    e = b.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    seen = e.filter("event_type in ('click', 'view')").select("user_id", F.col("ts").alias("seen_at"), F.col("event_id").alias("snapshot_id"))
+    found = scans.as_of(e.filter("event_type = 'error'").select("event_id", "user_id", "ts"), seen, "user_id", "ts", "seen_at", exact=False)
+    return found.select("event_id", "found.snapshot_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("found.seen_at").cast("timestamp"))).alias("age_us"))
+
+
 # Configurations by type of source: (type, configuration or null, keys not taken, error).
 CONFIGS = [
     ("page", None, None, None), ("page", "{}", "", None), ("page", '{"page_mode":"content","ignore_selectors":[".ad"],"strip_query_params":["x"]}', "", None), ("page", '{"max_depth":2,"page_mode":"content"}', "max_depth", "config_not_applicable"),
@@ -196,6 +219,25 @@ SELECT e.job_id, max(e.f) FILTER (WHERE e.i = s.stop) AS outcome, CAST(sum(used)
         f"""SELECT attempt_id, streak, CASE WHEN streak = 0 THEN 0 ELSE least(300000, 10000 * CAST(pow(2, streak - 1) AS BIGINT)) END::BIGINT AS wait_ms, streak >= 5 AS breaker_open FROM (
 SELECT attempt_id, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY origin_id, g ORDER BY seen_at, attempt_id) AS BIGINT) AS streak FROM (
 SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY origin_id ORDER BY seen_at, attempt_id) AS g FROM {b.ATTEMPTS}))""",
+    ),
+    "hot_streaks": (
+        hot_streaks,
+        f"""WITH a AS (SELECT attempt_id, CASE WHEN attempt_id % 3 = 0 THEN -1 ELSE origin_id END AS o, seen_at, ok, status_code FROM {b.ATTEMPTS}),
+g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY o ORDER BY seen_at, attempt_id) AS g FROM a),
+s AS (SELECT *, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY o, g ORDER BY seen_at, attempt_id) AS BIGINT) AS streak FROM g)
+SELECT attempt_id, streak, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS BIGINT) AS failures, max(streak) OVER w AS worst, last_value(CASE WHEN status_code <> 429 THEN status_code END IGNORE NULLS) OVER w AS last_status
+FROM s WINDOW w AS (PARTITION BY o ORDER BY seen_at, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    ),
+    "robots_cache_as_of": (
+        robots_cache_as_of,
+        """WITH e AS (SELECT *, user_id % 20 AS origin FROM events), c AS (SELECT origin, ts, max({'e': event_id, 'u': value < 10}) AS x FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+m AS (SELECT event_id, x, coalesce(epoch_us(e.ts) - epoch_us(c.ts) < 3600000000, false) AS fresh FROM e ASOF LEFT JOIN c ON e.origin = c.origin AND e.ts >= c.ts WHERE event_type <> 'purchase')
+SELECT event_id, CASE WHEN fresh THEN x.e END AS entry, fresh AS from_cache, CASE WHEN fresh THEN x.u END AS unavailable FROM m""",
+    ),
+    "snapshot_as_of": (
+        snapshot_as_of,
+        """WITH s AS (SELECT user_id, ts, max(event_id) AS snapshot_id FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT event_id, snapshot_id, epoch_us(e.ts) - epoch_us(s.ts) AS age_us FROM events e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.ts > s.ts WHERE event_type = 'error'""",
     ),
     "config_applicability": (config_applicability, f"SELECT event_id, not_applicable, error FROM events JOIN (VALUES {_CONFIGS}) t(c, not_applicable, error) ON event_id % {len(CONFIGS)} = c"),
     "retry_after": (retry_after, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 500 WHEN 1 THEN (event_id % 60) * 60 END AS seconds FROM events"),

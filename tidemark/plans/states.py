@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import outcomes, text, urls
-from tidemark.operators import keyed, relations, transitions
+from tidemark.operators import keyed, relations, scans, transitions
 from tidemark.plans import bindings as b
 from tidemark.sources import pages
 
@@ -108,7 +108,7 @@ def truncation_report(spark, sf_dir):
 
 def breaker_windows(spark, sf_dir):
     """Waits before retries of a streak, and until when its origin is left alone."""
-    s = relations.streaks(b.attempts(spark, sf_dir), "origin_id", ["seen_at", "attempt_id"], F.col("ok")).filter("streak > 0")
+    s = scans.streaks(b.attempts(spark, sf_dir), "origin_id", ["seen_at", "attempt_id"], F.col("ok")).filter("streak > 0")
     until = transitions.breaker_until(F.col("streak"), F.col("seen_at"))
     return s.select("attempt_id", "streak", (250 * F.least("streak", F.lit(3))).cast("long").alias("retry_ms"), F.unix_timestamp(until).alias("open_until_s"))
 
