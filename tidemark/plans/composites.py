@@ -87,7 +87,7 @@ def feed_check(spark, sf_dir):
     fine = docs.join(feeds.parse_errors(docs).filter("error is null").select("doc"), "doc", "left_semi")
     found = feeds.rss_items(fine).select(F.col("doc").alias("monitor_id"), "pos", "stable_key", "url", "updated_at")
     known = found.filter("monitor_id % 4 <> 0 and pos % 2 = 0").select("monitor_id", "stable_key", F.lit("2024-01-01").alias("known_at"))
-    return item_check(found, fine.select(F.col("doc").alias("monitor_id"), F.lit("b").alias("body")), known).drop("body_hash")
+    return item_check(found, fine.select(F.col("doc").alias("monitor_id"), F.col("xml").alias("body")), known)
 
 
 ROBOTS_CACHED, ROBOTS_FETCHED = "User-agent: *\nDisallow: /c/1\n", "User-agent: tidebot\nDisallow: /c\nAllow: /c/2\n"
@@ -295,7 +295,8 @@ SELECT page_id AS monitor_id, sha256(html) AS body_hash, coalesce(n_items, 0) AS
     "feed_check": (
         feed_check,
         f"""WITH i AS (SELECT page_id, href, min(pos) AS pos FROM {b.LINKS} WHERE page_id % 7 <> 0 GROUP BY ALL)
-SELECT page_id AS monitor_id, count(*) AS n_items, count(*) FILTER (WHERE page_id % 4 <> 0 AND pos % 2 <> 0) AS n_new, count(*) FILTER (WHERE page_id % 4 = 0) AS n_suppressed FROM i GROUP BY page_id""",
+SELECT i.page_id AS monitor_id, any_value(sha256(xml)) AS body_hash, count(*) AS n_items, count(*) FILTER (WHERE i.page_id % 4 <> 0 AND pos % 2 <> 0) AS n_new, count(*) FILTER (WHERE i.page_id % 4 = 0) AS n_suppressed
+FROM i JOIN (SELECT page_id, '<?xml version=''1.0''?><rss version=''2.0''><channel><title>t</title>' || string_agg('<item><title>x</title><link>https://x.org' || replace(href, '&', '&amp;') || '</link></item>', '' ORDER BY pos) || '</channel></rss>' AS xml FROM {b.LINKS} GROUP BY page_id) x ON x.page_id = i.page_id GROUP BY i.page_id""",
     ),
     "robots_check": (
         robots_check,

@@ -9,6 +9,7 @@ from tidemark.functions import dates, network, text, urls
 from tidemark.operators import relations
 from tidemark.operators.keyed import first_wins
 from tidemark.plans import bindings as b
+from tidemark.plans.stages import document
 from tidemark.sources import feeds
 
 
@@ -125,16 +126,9 @@ def traversal_counters(spark, sf_dir):
 
 
 def sitemap_document(spark, sf_dir):
-    """The sorted distinct URLs of each site with their dates, as one hash: of the hashes of its lines' parts.
-
-    Lines are dealt to 256 parts by the first digits of their hash, so a site of any size is sorted and hashed by many
-    tasks and brings 256 hashes to the last one.
-    """
+    """The sorted distinct URLs of each site with their dates, as one hash: of the hashes of its lines' parts."""
     one = first_wins(b.page_links(spark, sf_dir).withColumn("loc", F.concat("site_id", "href")).select("site_id", "loc", "updated_at", "page_id", "pos"), ["site_id", "loc"], ["page_id", "pos"])
-    lines = one.select("site_id", F.concat("loc", F.lit("\t"), F.coalesce("updated_at", F.lit("-")), F.lit("\n")).alias("line")).withColumn("part", F.substring(text.sha256(F.col("line")), 1, 2))
-    parts = lines.groupBy("site_id", "part").agg(text.sha256(F.array_join(F.array_sort(F.collect_list("line")), "")).alias("h"), F.count("*").alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "")
-    return parts.groupBy("site_id").agg(text.sha256(whole).alias("doc_hash"), F.sum("n").alias("urls"))
+    return document(one)
 
 
 def sitemap_set_diff(spark, sf_dir):
