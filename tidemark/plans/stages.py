@@ -11,7 +11,7 @@ from tidemark.functions import text
 from tidemark.operators import keyed, relations
 from tidemark.operators.tables import shared_folder, written
 from tidemark.plans import bindings as b
-from tidemark.streaming import timers
+from tidemark.streaming import ledger, timers
 
 RULES = "groups array<struct<userAgents:array<string>,rules:array<struct<directive:string,pattern:string>>>>, sitemaps array<string>"
 
@@ -136,6 +136,22 @@ def timer_stream(spark, sf_dir):
     return told.groupBy("monitor_id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("status", "alarm_at"), "seq").alias("x")).select("monitor_id", "seq", "x.status", "x.alarm_at")
 
 
+def notify_stream(spark, sf_dir):
+    """Orders as a stream of changes into changes, deliveries and watermarks of one ledger; a second stream of the same adds nothing."""
+    where = f"{shared_folder(spark)}/stream/{uuid.uuid4().hex}"
+    changes = b.changes(spark, sf_dir).select("change_id", "monitor_id", (F.col("monitor_id") % 25).cast("long").alias("site_id"), "kind", "dedupe_key", "detected_at")
+    changes.write.parquet(f"{where}/in")
+    book = ledger.Ledger(spark, f"{where}/tables", ledger.TABLES, buckets=16)
+    owners = relations.broadest(b.subscriptions(spark, sf_dir), "destination_id")
+    match = lambda new: relations.wildcard_match(new, owners).select("change_id", "destination_id")
+    for name in ("first", "second"):
+        ledger.notify(spark.readStream.schema(changes.schema).parquet(f"{where}/in"), book, match, name, f"{where}/{name}").awaitTermination()
+    told = book.read("changes").join(book.read("deliveries").groupBy("change_id").agg(F.count("*").alias("n")), "change_id", "left")
+    told = told.groupBy("monitor_id").agg(F.count("*").alias("changes"), F.coalesce(F.sum("n"), F.lit(0)).alias("deliveries"))
+    marks = book.read("watermarks").groupBy("monitor_id").agg(F.max("mark").alias("mark"))
+    return told.join(marks, "monitor_id").select("monitor_id", "changes", "deliveries", F.date_format("mark", "yyyy-MM-dd").alias("mark"))
+
+
 _DOC = "SELECT site_id, sha256(string_agg(h, '' ORDER BY part)) AS h, CAST(sum(n) AS BIGINT) AS urls FROM (SELECT site_id, substr(sha256(line), 1, 2) AS part, sha256(string_agg(line, '' ORDER BY line)) AS h, count(*) AS n FROM (SELECT site_id, loc || chr(9) || updated_at || chr(10) AS line FROM {}) GROUP BY ALL) GROUP BY site_id"
 _TITLE = r"nullif(left(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 512), '')"
 QUERIES = {
@@ -162,6 +178,13 @@ SELECT k AS change_id, CASE WHEN k % 3 = 0 THEN 'known' ELSE {_TITLE} END AS tit
         monitor_evaluations,
         f"""SELECT monitor_id, status, attempt_id AS evaluation_id, CASE WHEN ok THEN 'allowed' WHEN NOT ok THEN 'disallowed' END AS verdict, status_code FROM {b.MONITORS}
 LEFT JOIN {b.ATTEMPTS} ON attempt_id < 300 AND monitor_id % 3 <> 0 AND attempt_id = monitor_id * 7 % 400""",
+    ),
+    "notify_stream": (
+        notify_stream,
+        f"""WITH c AS (SELECT *, monitor_id % 25 AS site FROM {b.CHANGES}), o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY monitor_id, dedupe_key ORDER BY detected_at, change_id) = 1),
+d AS (SELECT o.change_id, count(DISTINCT destination_id) AS n FROM o JOIN {b.SUBSCRIPTIONS} s ON coalesce(s.monitor_id, o.monitor_id) = o.monitor_id AND coalesce(s.site_id, site) = site AND coalesce(s.kind, o.kind) = o.kind GROUP BY ALL)
+SELECT monitor_id, changes, deliveries, mark FROM (SELECT monitor_id, count(*) AS changes, CAST(coalesce(sum(n), 0) AS BIGINT) AS deliveries FROM o LEFT JOIN d USING (change_id) GROUP BY ALL)
+JOIN (SELECT monitor_id, strftime(max(detected_at), '%Y-%m-%d') AS mark FROM c GROUP BY ALL) USING (monitor_id)""",
     ),
     "timer_stream": (
         timer_stream,

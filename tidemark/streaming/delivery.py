@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.outcomes import permanent
 from tidemark.operators.keyed import insert_if_new
+from tidemark.streaming.ledger import exists
 
 MOST_ATTEMPTS = 5
 
@@ -59,14 +60,7 @@ def step(deliveries: DataFrame, messages: DataFrame, responses: DataFrame, now:
 
 def append_new(batch: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
     """One micro-batch into the table at ``path``: keys already there are left out, so a replayed batch adds nothing."""
-    spark = batch.sparkSession
-    try:
-        stored = spark.read.schema(batch.schema).parquet(path)
-        stored.isEmpty()
-    except Exception as missing:  # the table's first batch
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        stored = batch.limit(0)
+    stored = batch.sparkSession.read.schema(batch.schema).parquet(path).select(*keys) if exists(batch.sparkSession, path) else batch.limit(0)
     insert_if_new(batch, stored, keys, order).write.mode("append").parquet(path)
 
 
