@@ -123,12 +123,6 @@ def test_items_by_selector(spark):
     assert [(r.url, r.title, [(f.name, f.value) for f in r.fields]) for r in got] == [("https://e.org/1", "One x", [("Price", "5 EUR")])]
 
 
-def test_charsets(spark):
-    raw = [("é".encode("latin-1"), "iso-8859-1"), ("é".encode(), ""), (b"\xef\xbb\xbf\xc3\xa9", "latin-1"), ('<meta charset="shift_jis">日'.encode("shift_jis"), ""), (b"\xff", "nonsense"), (None, None)]
-    df = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(raw)], "i int, b binary, c string")
-    assert [r.t for r in df.select("i", pages.decoded("b", "c").alias("t")).orderBy("i").collect()] == ["é", "é", "é", '<meta charset="shift_jis">日', "�", None]
-
-
 def test_line_diff(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, "s", "s"), (3, None, "n")], "k int, old string, new string")
     patch = {r.k: r.d for r in df.select("k", differences.unified()("old", "new").alias("d")).collect()}

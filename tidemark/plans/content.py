@@ -9,7 +9,7 @@ from tidemark.functions import html, text, urls
 from tidemark.operators.differences import LINE, line_counts, text_changes
 from tidemark.operators.keyed import put_if_absent
 from tidemark.plans.bindings import CAPTURES, captures, table
-from tidemark.sources import pages
+from tidemark.sources import charsets, pages
 
 
 def snapshots(rows: DataFrame, ignore: tuple[str, ...] = (), include: tuple[str, ...] = ()) -> DataFrame:
@@ -117,7 +117,26 @@ def charset_decode(spark, sf_dir):
     """Pages sent in Latin-1 or UTF-8, told by a header, decoded again."""
     p = table(spark, sf_dir, "pages").withColumn("latin", (F.col("page_id") % 2 == 0) & F.col("url").rlike(r"^[\x00-\x7F]*$"))
     sent = p.select("page_id", F.encode("url", "ISO-8859-1").alias("body"), F.when(F.col("latin"), "text/html; charset=iso-8859-1").alias("ct"))
-    return sent.select("page_id", pages.decoded("body", pages.charset_of(F.coalesce("ct", F.lit("")))).alias("text"))
+    return sent.select("page_id", charsets.html_text(F.col("body"), pages.charset_of("ct")).alias("text"))
+
+
+def charset_sniffed(spark, sf_dir):
+    """Whole pages as bytes: with byte order marks, declared as Latin-1, as Shift_JIS or not at all, and with a byte that means nothing."""
+    k, html, utf8 = F.col("page_id") % 7, F.col("html"), F.encode("html", "UTF-8")
+    put = lambda mark, body: F.concat(F.lit(mark), body)
+    narrow = html.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    body = (
+        F.when(k == 0, put(b"\xef\xbb\xbf", utf8))
+        .when(k == 1, put(b"\xff\xfe", F.encode(html, "UTF-16LE")))
+        .when(k == 2, put(b"\xfe\xff", F.encode(html, "UTF-16BE")))
+        .when((k == 3) & narrow, put(b'<meta charset="ISO-8859-1">\x80', F.encode(html, "ISO-8859-1")))
+        .when(k == 4, F.concat(F.lit(b"<meta http-equiv=content-type content='text/html; charset=Shift_JIS'>\x93\xfa\x96\x7b"), F.encode(F.col("page_id").cast("string"), "UTF-8")))
+        .when(k == 5, put(b"\xff", utf8))
+        .otherwise(utf8)
+    )
+    header = F.when(k.isin(0, 1, 2), "iso-8859-1").when(k == 3, "none-such")
+    sent = table(spark, sf_dir, "pages").select("page_id", body.alias("body"), header.alias("header"))
+    return sent.select("page_id", charsets.html_text(F.col("body"), F.col("header")).alias("text"))
 
 
 def html_items_fields(spark, sf_dir):
@@ -225,6 +244,11 @@ AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE text IS NOT NU
     "line_diff_patch": (line_diff_patch, None),
     "line_diff_minimal": (line_diff_minimal, LCS_SQL),
     "charset_decode": (charset_decode, "SELECT page_id, url AS text FROM pages"),
+    "charset_sniffed": (
+        charset_sniffed,
+        r"""SELECT page_id, CASE WHEN page_id % 7 = 3 AND regexp_matches(html, '^[\x{00}-\x{7F}\x{A0}-\x{FF}]*$') THEN '<meta charset="ISO-8859-1">€' || html
+  WHEN page_id % 7 = 4 THEN '<meta http-equiv=content-type content=''text/html; charset=Shift_JIS''>日本' || page_id WHEN page_id % 7 = 5 THEN chr(65533) || html ELSE html END AS text FROM pages""",
+    ),
     "html_items_fields": (
         html_items_fields,
         r"""WITH l AS (SELECT page_id, url, unnest(h) AS href, unnest(t) AS title, unnest(range(len(h)))::BIGINT AS pos FROM (SELECT page_id, url, regexp_extract_all(n, '<a href="([^"]*)">', 1) AS h, regexp_extract_all(n, '<a href="[^"]*">([^<]*)</a>', 1) AS t

@@ -10,7 +10,7 @@ from tidemark.operators import relations
 from tidemark.operators.keyed import first_wins
 from tidemark.plans import bindings as b
 from tidemark.plans.stages import document
-from tidemark.sources import feeds
+from tidemark.sources import charsets, feeds, pages
 
 
 def detected(items: DataFrame, known: DataFrame, most: int = 2000) -> DataFrame:
@@ -44,6 +44,22 @@ def rss_items(spark, sf_dir):
     return feeds.rss_items(docs).select(F.col("doc").alias("page_id"), "pos", "url", "title", "published_at")
 
 
+def feed_bytes(spark, sf_dir):
+    """Items of feeds that came as bytes: UTF-16 by its mark, Latin-1 by the declaration or by the header, UTF-8 by nothing."""
+    k, xml = F.col("doc") % 5, F.col("xml")
+    docs = _xml(spark, sf_dir, "<rss version='2.0'><channel><title>t</title>", lambda h: F.concat(F.lit("<item><title>h\u00e9 "), F.col("pos").cast("string"), F.lit("</title><link>https://x.org"), h, F.lit("</link></item>")), "</channel></rss>")
+    narrow = xml.rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    put = lambda mark, charset: F.concat(F.lit(mark), F.encode(xml, charset))
+    body = (
+        F.when(k == 0, put(b"\xff\xfe", "UTF-16LE")).when(k == 1, put(b"\xfe\xff", "UTF-16BE"))
+        .when((k == 2) & narrow, put(b'<?xml version="1.0" encoding="ISO-8859-1"?>', "ISO-8859-1")).when((k == 3) & narrow, put(b'<?xml version="1.0" encoding="utf-8"?>', "ISO-8859-1"))
+        .otherwise(F.encode(xml, "UTF-8"))
+    )
+    header = F.when(k == 0, "application/xml; charset=utf-8").when((k == 3) & narrow, "text/xml; charset=windows-1252")
+    sent = docs.select("doc", body.alias("body"), pages.charset_of(header).alias("header"))
+    return feeds.rss_items(sent.select("doc", charsets.xml_text(F.col("body"), F.col("header")).alias("xml"))).select(F.col("doc").alias("page_id"), "pos", "url", "title")
+
+
 def atom_items(spark, sf_dir):
     docs = _xml(spark, sf_dir, "<feed xmlns='http://www.w3.org/2005/Atom'><title>t</title>", lambda h: F.concat(F.lit("<entry><title>x</title><id>id"), (F.col("pos") % 5).cast("string"), F.lit("</id><link rel='self' href='/self'/><link href='"), F.replace(h, F.lit("'"), F.lit("")), F.lit("'/><updated>2024-02-02T03:04:05+09:00</updated></entry>")), "</feed>")
     return feeds.atom_items(docs).select(F.col("doc").alias("page_id"), "pos", "stable_key", "updated_at", F.col("url").startswith("http").alias("absolute"))
@@ -155,6 +171,7 @@ _OPENED = f"""o AS (SELECT c.site_id, page_id, lastmod FROM {_CHILD} c JOIN (SEL
   QUALIFY row_number() OVER (PARTITION BY c.site_id ORDER BY lastmod DESC, page_id) <= 5)"""
 QUERIES = {
     "rss_items": (rss_items, f"""SELECT page_id, pos, 'https://x.org' || href AS url, 'x' AS title, '2002-10-02T13:00:0' || pos % 10 || '.000Z' AS published_at FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1"""),
+    "feed_bytes": (feed_bytes, f"""SELECT page_id, pos, 'https://x.org' || href AS url, 'hé ' || pos AS title FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1"""),
     "atom_items": (atom_items, f"SELECT page_id, pos, 'id' || pos % 5 AS stable_key, '2024-02-01T18:04:05.000Z' AS updated_at, true AS absolute FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY page_id, pos % 5 ORDER BY pos) = 1"),
     "sitemap_items": (sitemap_items, f"SELECT page_id, pos, site_id || '/p' || pos % 4 AS url, updated_at || 'T00:00:00.000Z' AS updated_at FROM {b.LINKS} QUALIFY row_number() OVER (PARTITION BY page_id, pos % 4 ORDER BY pos) = 1"),
     "feed_kind": (feed_kind, "SELECT page_id, ['rss', 'atom', 'sitemap', 'sitemap-index', NULL][page_id % 5 + 1] AS kind FROM pages"),

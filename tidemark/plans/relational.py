@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import outcomes
-from tidemark.operators import keyed, relations
+from tidemark.operators import keyed, pagination, relations
 from tidemark.plans import bindings as b
 from tidemark.plans.bindings import AS_OF
 
@@ -43,6 +43,12 @@ def attempts_page(spark, sf_dir):
     return relations.page(b.attempts(spark, sf_dir), ["seen_at", "attempt_id"], 25, 50).select("attempt_id", "origin_id", "status_code")
 
 
+def deliveries_deep_page(spark, sf_dir):
+    """Five hundred rows from the middle of all deliveries, the newest claims first."""
+    held = pagination.in_ranges(b.deliveries(spark, sf_dir), [F.col("claimed_at").desc(), "change_id", "line"])
+    return held.page(500, held.total // 2).select("change_id", "line", "status", F.date_format("claimed_at", "yyyy-MM-dd").alias("claimed_on"))
+
+
 def latest_snapshot(spark, sf_dir):
     rows = b.attempts(spark, sf_dir).select("origin_id", "seen_at", "attempt_id", "status_code")
     return keyed.latest(rows, ["origin_id"], ["seen_at", "attempt_id"]).select("origin_id", "attempt_id", "status_code")
@@ -177,6 +183,11 @@ QUERIES = {
     "changes_page": (changes_page, f"SELECT change_id, monitor_id, kind, strftime(detected_at, '%Y-%m-%d %H:%M:%S') AS detected_at FROM (SELECT * FROM {b.CHANGES} ORDER BY detected_at DESC, change_id LIMIT 50 OFFSET 100)"),
     "changes_count": (changes_count, f"SELECT monitor_id, kind, count(*) AS n FROM {b.CHANGES} GROUP BY ALL"),
     "attempts_page": (attempts_page, f"SELECT attempt_id, origin_id, status_code FROM (SELECT * FROM {b.ATTEMPTS} ORDER BY seen_at, attempt_id LIMIT 25 OFFSET 50)"),
+    "deliveries_deep_page": (
+        deliveries_deep_page,
+        f"""WITH d AS {b.DELIVERIES}, n AS (SELECT *, row_number() OVER (ORDER BY claimed_at DESC, change_id, line) AS place FROM d)
+SELECT change_id, line, status, strftime(claimed_at, '%Y-%m-%d') AS claimed_on FROM n WHERE place > (SELECT count(*) FROM d) // 2 AND place <= (SELECT count(*) FROM d) // 2 + 500""",
+    ),
     "latest_snapshot": (latest_snapshot, f"SELECT origin_id, attempt_id, status_code FROM {b.ATTEMPTS} QUALIFY row_number() OVER (PARTITION BY origin_id ORDER BY seen_at DESC, attempt_id DESC) = 1"),
     "subscription_match": (
         subscription_match,

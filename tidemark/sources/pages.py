@@ -1,8 +1,7 @@
-"""Captured pages: charset decoding, links, and items by selectors."""
+"""Captured pages: the charset of a header, links, and items by selectors."""
 
 from __future__ import annotations
 
-import codecs
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -24,31 +23,6 @@ def charset_of(content_type: Column) -> Column:
     return F.lower(F.regexp_extract(content_type, r"""(?i)charset\s*=\s*["']?([^"';\s]+)""", 1))
 
 
-@F.pandas_udf(T.StringType())
-def decoded(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """(body, charset from the header) -> text: byte order mark, header, declaration in the first 4096 bytes, UTF-8; never fails."""
-    marks = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
-    declared = re.compile(rb"""(?:charset|encoding)\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
-
-    def text(body: bytes | None, header: str | None) -> str | None:
-        if body is None:
-            return None
-        for mark, name in marks:
-            if body.startswith(mark):
-                return body[len(mark) :].decode(name, "replace")
-        found = declared.search(body[:4096])
-        for name in (header, found and found[1].decode("ascii")):
-            try:
-                if name:
-                    return body.decode(codecs.lookup(name).name, "replace")
-            except LookupError:
-                pass
-        return body.decode("utf-8", "replace")
-
-    for body, header in batches:
-        yield pd.Series([text(b, h) for b, h in zip(body, header, strict=True)], dtype=object)
-
-
 def links(df: DataFrame, key: str, html: str, base: str) -> DataFrame:
     """key, pos, href, url: the anchors of each page in order, absolute and without tracking parameters; url is null for other schemes."""
     found = df.select(key, F.col(base).alias("_b"), F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href"))
