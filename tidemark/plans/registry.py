@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check, composites, content, feeds, notify, policies, relational, stages, states
+from tidemark.plans import check, composites, content, feeds, notify, policies, relational, served, stages, states
 
-GROUPS = (content, relational, policies, feeds, notify, check, states, composites, stages)
+GROUPS = (content, relational, policies, feeds, notify, check, states, composites, stages, served)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
