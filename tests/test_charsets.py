@@ -10,7 +10,7 @@ from tidemark.sources import charsets, feeds, pages
 
 def texts(spark, rows, how):
     df = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(rows)], "i int, b binary, c string")
-    return [r.t for r in df.select("i", how(F.col("b"), F.col("c")).alias("t")).orderBy("i").collect()]
+    return [r.t for r in how(df, "b", F.col("c"), "t").orderBy("i").collect()]
 
 
 def test_pages(spark):
@@ -42,7 +42,7 @@ def test_random_bytes(spark, codec):
     raw = [bytes(rng.choice([0, 0x41, 0xC3, 0xA9, 0xD8, 0xDC, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xFF, rng.randrange(256)]) for _ in range(rng.randrange(40))) for _ in range(2000)]
     raw = [b for b in raw if b[:2] not in (b"\xff\xfe", b"\xfe\xff") and b[:3] != b"\xef\xbb\xbf"]
     want = [b.decode("latin-1").translate({ord(x): y for x, y in zip(charsets.CONTROLS, charsets.PRINTED)}) if codec == "cp1252" else b.decode(codec, "replace") for b in raw]
-    assert texts(spark, [(b, codec) for b in raw], charsets.text_of) == want
+    assert texts(spark, [(b, codec) for b in raw], charsets.decoded) == want
 
 
 def test_every_label_has_a_codec(spark):

@@ -136,3 +136,12 @@ def test_rfc822_parts(each):
     }
     assert each(dates.rfc822, *rows) == list(rows.values())
     assert each(dates.feed_date, "2024-01-02", "02 Jan 2024 00:00 Z", "soon") == ["2024-01-02T00:00:00.000Z", "2024-01-02T00:00:00.000Z", None]
+
+
+def test_written_out_dates(spark):
+    want = {
+        "October 2, 2002": "2002-10-02T00:00:00.000Z", "Wed, 2 Oct 2002": "2002-10-02T00:00:00.000Z", "2002/10/2 08:05": "2002-10-02T08:05:00.000Z", "10/2/2002 12:05 AM": "2002-10-02T00:05:00.000Z", "Oct 2 2002 8:05:06pm EST": "2002-10-03T01:05:06.000Z",
+        "Wed Oct 02 2002 08:00:00 GMT+0900 (Japan)": "2002-10-01T23:00:00.000Z", "2 October 2002 08:00 +09:00": "2002-10-01T23:00:00.000Z", "13/2/2002": None, "October 32, 2002": None, "2 Oct 2002 25:00": None, "2 Oct 2002 13:00 pm": None, "maybe 2 Oct 2002": None, "2 Oct": None, "": None,
+    }
+    df = spark.createDataFrame([(s,) for s in want], "s string")
+    assert {r.s: r.d for r in df.select("s", dates.feed_date(F.col("s")).alias("d")).collect()} == want

@@ -117,7 +117,7 @@ def charset_decode(spark, sf_dir):
     """Pages sent in Latin-1 or UTF-8, told by a header, decoded again."""
     p = table(spark, sf_dir, "pages").withColumn("latin", (F.col("page_id") % 2 == 0) & F.col("url").rlike(r"^[\x00-\x7F]*$"))
     sent = p.select("page_id", F.encode("url", "ISO-8859-1").alias("body"), F.when(F.col("latin"), "text/html; charset=iso-8859-1").alias("ct"))
-    return sent.select("page_id", charsets.html_text(F.col("body"), pages.charset_of("ct")).alias("text"))
+    return charsets.html_text(sent, "body", pages.charset_of("ct")).select("page_id", "text")
 
 
 def charset_sniffed(spark, sf_dir):
@@ -136,7 +136,7 @@ def charset_sniffed(spark, sf_dir):
     )
     header = F.when(k.isin(0, 1, 2), "iso-8859-1").when(k == 3, "none-such")
     sent = table(spark, sf_dir, "pages").select("page_id", body.alias("body"), header.alias("header"))
-    return sent.select("page_id", charsets.html_text(F.col("body"), F.col("header")).alias("text"))
+    return charsets.html_text(sent, "body", F.col("header")).select("page_id", "text")
 
 
 def html_items_fields(spark, sf_dir):

@@ -57,7 +57,7 @@ def feed_bytes(spark, sf_dir):
     )
     header = F.when(k == 0, "application/xml; charset=utf-8").when((k == 3) & narrow, "text/xml; charset=windows-1252")
     sent = docs.select("doc", body.alias("body"), pages.charset_of(header).alias("header"))
-    return feeds.rss_items(sent.select("doc", charsets.xml_text(F.col("body"), F.col("header")).alias("xml"))).select(F.col("doc").alias("page_id"), "pos", "url", "title")
+    return feeds.rss_items(charsets.xml_text(sent, "body", F.col("header"))).select(F.col("doc").alias("page_id"), "pos", "url", "title")
 
 
 def atom_items(spark, sf_dir):
@@ -98,6 +98,14 @@ def rfc822_dates(spark, sf_dir):
     return b.table(spark, sf_dir, "events").select("event_id", dates.rfc822(s).alias("iso"))
 
 
+def written_dates(spark, sf_dir):
+    """Times of events written out in words, with slashes, and as no date at all."""
+    t, k = F.col("ts").cast("timestamp"), F.col("event_id") % 6
+    f = lambda pattern: F.date_format(t, pattern)
+    text = F.when(k == 0, f("MMMM d, yyyy HH:mm:ss")).when(k == 1, f("EEEE, d MMM yyyy")).when(k == 2, f("yyyy/MM/dd HH:mm 'GMT+0900'")).when(k == 3, f("MM/dd/yyyy h:mma")).when(k == 4, f("MMM d yyyy HH:mm:ss 'EST'")).otherwise(f("'soon,' d MMM yyyy"))
+    return b.table(spark, sf_dir, "events").select("event_id", dates.feed_date(text).alias("iso"))
+
+
 def iso_dates(spark, sf_dir):
     k = F.col("event_id")
     s = F.when(k % 4 == 0, F.lit("  ")).when(k % 4 == 1, "not a date").when(k % 4 == 2, F.date_format("ts", "yyyy-MM-dd")).otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")))
@@ -181,6 +189,11 @@ QUERIES = {
         rfc822_dates,
         """SELECT event_id, CASE WHEN event_id % 32 >= 1 AND event_id % 25 <= 23 AND event_id % 5 <> 4 THEN strftime(TIMESTAMP '2002-01-01 00:10:20' + to_days(CAST(event_id % 32 - 1 AS INTEGER)) + to_hours(event_id % 25)
   - to_minutes([-300, 0, 540, -90][event_id % 5 + 1]), '%Y-%m-%dT%H:%M:%S.000Z') END AS iso FROM events""",
+    ),
+    "written_dates": (
+        written_dates,
+        """SELECT event_id, strftime(CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('minute', ts) - INTERVAL 9 HOUR WHEN 3 THEN date_trunc('minute', ts)
+  WHEN 4 THEN date_trunc('second', ts) + INTERVAL 5 HOUR END, '%Y-%m-%dT%H:%M:%S.000Z') AS iso FROM events""",
     ),
     "iso_dates": (
         iso_dates,

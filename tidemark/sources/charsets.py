@@ -10,10 +10,12 @@ import codecs
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import let
+
 # Labels of the Encoding Standard and the codecs that read them. ASCII and Latin-1 labels mean windows-1252.
 LABELS = {
     "utf-8": "utf-8 utf8 unicode-1-1-utf-8 x-unicode20utf8",
@@ -87,23 +89,39 @@ def lone_surrogates(body: Column, little: bool) -> Column:
     return (F.octet_length(body) % 2 == 1) | units.rlike(f"{high}(?!{low})|(?<!{high}){low}")
 
 
-def text_of(body: Column, codec: Column) -> Column:
-    """The text of ``body`` without the byte order mark of its own charset; null for null."""
-    rest = body
-    for name, mark in (("utf-8", codecs.BOM_UTF8), ("utf-16-le", codecs.BOM_UTF16_LE), ("utf-16-be", codecs.BOM_UTF16_BE)):
-        rest = F.when((codec == name) & starts(body, mark), F.substring(body, F.lit(len(mark) + 1), F.octet_length(body))).otherwise(rest)
-    jvm = F.when(codec == "utf-8", F.make_valid_utf8(rest.cast("string"))).when(codec == "cp1252", F.translate(F.decode(rest, "ISO-8859-1"), CONTROLS, PRINTED))
-    for name, charset in (("utf-16-le", "UTF-16LE"), ("utf-16-be", "UTF-16BE")):
-        jvm = jvm.when((codec == name) & ~lone_surrogates(rest, name == "utf-16-le"), F.decode(rest, charset))
-    left = ~codec.isin("utf-8", "cp1252") & F.when(codec == "utf-16-le", lone_surrogates(rest, True)).when(codec == "utf-16-be", lone_surrogates(rest, False)).otherwise(True)
-    return F.coalesce(jvm, by_python(F.when(left, rest), codec))
+def parts_of(body: Column, codec: Column) -> Column:
+    """text, left, codec: what the JVM decodes of ``body`` without the byte order mark of its own charset, and else the bytes left to Python."""
+
+    def without_mark(c: Column) -> Column:
+        rest = body
+        for name, mark in (("utf-8", codecs.BOM_UTF8), ("utf-16-le", codecs.BOM_UTF16_LE), ("utf-16-be", codecs.BOM_UTF16_BE)):
+            rest = F.when((c == name) & starts(body, mark), F.substring(body, F.lit(len(mark) + 1), F.octet_length(body))).otherwise(rest)
+        return rest
+
+    def judged(c: Column, rest: Column) -> Column:
+        left = F.when(c.isin("utf-8", "cp1252"), False).when(c == "utf-16-le", lone_surrogates(rest, True)).when(c == "utf-16-be", lone_surrogates(rest, False)).otherwise(True)
+        return F.struct(c.alias("codec"), rest.alias("rest"), left.alias("left"))
+
+    def decoded_by_jvm(x: Column) -> Column:
+        c, rest = x["codec"], x["rest"]
+        text = F.when(x["left"], None).when(c == "utf-8", F.make_valid_utf8(rest.cast("string"))).when(c == "cp1252", F.translate(F.decode(rest, "ISO-8859-1"), CONTROLS, PRINTED))
+        text = text.when(c == "utf-16-le", F.decode(rest, "UTF-16LE")).when(c == "utf-16-be", F.decode(rest, "UTF-16BE"))
+        return F.struct(text.alias("text"), F.when(x["left"], rest).alias("left"), c.alias("codec"))
+
+    return let(codec, lambda c: let(without_mark(c), lambda rest: let(judged(c, rest), decoded_by_jvm)))
+
+
+def decoded(df: DataFrame, body: str, codec: Column, name: str = "text") -> DataFrame:
+    """``df`` with ``name``, the text of ``body`` in ``codec``: null for null. The parts are a column of their own, so no body is decoded twice."""
+    parts = df.withColumn("_parts", parts_of(F.col(body), codec))
+    return parts.withColumn(name, F.coalesce("_parts.text", by_python(F.col("_parts.left"), F.col("_parts.codec")))).drop("_parts")
 
 
-def html_text(body: Column, header: Column) -> Column:
-    """A page's bytes as text; ``header`` is the charset of its content type, empty or null if there is none."""
-    return text_of(body, codec_of_html(body, header))
+def html_text(df: DataFrame, body: str, header: Column, name: str = "text") -> DataFrame:
+    """``df`` with a page's bytes as text; ``header`` is the charset of its content type, empty or null if there is none."""
+    return decoded(df, body, codec_of_html(F.col(body), header), name)
 
 
-def xml_text(body: Column, header: Column) -> Column:
-    """A feed's bytes as text."""
-    return text_of(body, codec_of_xml(body, header))
+def xml_text(df: DataFrame, body: str, header: Column, name: str = "xml") -> DataFrame:
+    """``df`` with a feed's bytes as text."""
+    return decoded(df, body, codec_of_xml(F.col(body), header), name)
