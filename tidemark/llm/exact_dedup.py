@@ -1,10 +1,10 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every row becomes a digest record of a run; runs are the input's partitions, numbered modulo ``runs``. Each run is
-first sorted and merged where it stands, so a text that fills a third of the corpus leaves its run once per task.
-Then runs are merged in binomial rounds: the run whose number has the round's bit set is sent to the one without it,
-both are ranged by run and 64-bit digest over the partitions, every partition sorts what came to it and merges equal
-digests from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and
+Every row becomes a digest record of a run; runs are the input's partitions, numbered modulo two to the power of
+``rounds``. Equal digests are first combined inside each input partition and then exchanged by (run, digest), so a text that
+fills a third of the corpus leaves its partition once. Then runs are merged in binomial rounds: the run whose number has the
+round's bit set joins the one without it. Both are ranged by run and 64-bit digest over the partitions, so the receiving
+run's records are exchanged as well; every partition sorts what came to it and merges equal digests from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and
 the number of rows behind it. After the last round one run is left, sorted by digest over all partitions. Only digest
 records move, never texts; a digest counts as equal if SHA-256, the 64-bit digest and the length agree.
 """
