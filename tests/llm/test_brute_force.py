@@ -58,6 +58,22 @@ def test_exact_dedup(make):
     same(rows_of(exact_dedup.exact_dedup(make(rows)), "doc_id", "keep_id", "group_size", "kept", "text_sha256"), want)
 
 
+def test_exact_dedup_rounds(spark):
+    """Groups of two and of eight runs over several rounds: a hot text in every run, pairs far apart, all counted once."""
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 701}" + " " * (i % 5)) for i in range(2100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(19)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i))
+    want = {(i, min(g := groups[t.replace(" ", "")])[1], len(g)) for i, t in rows}
+    records = exact_dedup.cut(exact_dedup.digests(df, "doc_id", "text"))
+    assert exact_dedup.tree(1, 8) == (2, 1) and exact_dedup.tree(19, 8) == (5, 2) and exact_dedup.tree(19, 2) == (2, 5)
+    for fan in (2, 8):
+        got = exact_dedup.exact_dedup(df, fan=fan)
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got.collect()} == want and got.filter("kept").count() == len(groups)
+        assert exact_dedup.merge_runs(records, fan).count() == len(groups)
+
+
 # ------------------------------------------------------------------ mixing
 
 

@@ -1,12 +1,15 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every row becomes a digest record of a run; runs are the input's partitions, numbered modulo two to the power of
-``rounds``. Equal digests are first combined inside each input partition and then exchanged by (run, digest), so a text that
-fills a third of the corpus leaves its partition once. Then runs are merged in binomial rounds: the run whose number has the
-round's bit set joins the one without it. Both are ranged by run and 64-bit digest over the partitions, so the receiving
-run's records are exchanged as well; every partition sorts what came to it and merges equal digests from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and
-the number of rows behind it. After the last round one run is left, sorted by digest over all partitions. Only digest
-records move, never texts; a digest counts as equal if SHA-256, the 64-bit digest and the length agree.
+Every row becomes a digest record of 60 bytes, written once; runs are the partitions of that table, so their number grows with it.
+Equal digests are first combined inside each input partition and then by (run, digest), so a text that
+fills a third of the corpus leaves its partition once. Then runs are merged in rounds of groups of ``fan`` (at most FAN): cells
+are numbers of as many digits to the base ``fan`` as there are rounds, a run starts in the cell of its number, and in round r the
+cells that differ in digit r alone exchange their records, each receiving those whose digest has its digit there. What stays
+in its cell is the share the receiver already holds; every cell sorts the ``fan`` runs that met and merges equal digests
+from left to right, keeping the smallest verified identifier by (longest original text, doc_id) and the number of rows
+behind it. After the last round a cell holds one range of digests of the whole table, in order: one run over all
+partitions. Cells are cut by the digest's leading bits, which are even, so no sampling is needed and a lost task is computed
+again as it was. Only digest records move, never texts; a digest counts as equal if SHA-256, the 64-bit digest and the length agree.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from tidemark.llm.common import cut, text_or_empty
 
 WHITE = r"[\x20\x09-\x0D]"
 KEY = ["check", "digest", "n_norm"]  # the short digest first: ranges are cut by it
+FAN = 8  # runs that meet in a round at most
 
 
 def normalised(text: Column) -> Column:
@@ -25,14 +29,13 @@ def normalised(text: Column) -> Column:
 
 
 def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, rid, home, digest, check, n_norm, n_chars: one record per row, 32-byte digest plus an independent check."""
+    """doc_id, rid, digest, check, n_norm, n_chars: one record per row, 32-byte digest plus an independent check."""
     return (
         df.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("t"))
         .select("doc_id", "t", normalised(F.col("t")).alias("norm"))
         .select(
             "doc_id",
             F.monotonically_increasing_id().alias("rid"),
-            F.spark_partition_id().alias("home"),
             F.unhex(F.sha2("norm", 256)).alias("digest"),
             F.xxhash64("norm").alias("check"),
             F.length("norm").cast("long").alias("n_norm"),
@@ -42,21 +45,38 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def merged(level: DataFrame) -> DataFrame:
-    """Equal digests of a run as one record; partitions that are ranged and sorted by these keys are merged as they stand."""
-    return level.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    """Equal digests of a cell as one record; partitions that hold whole cells are sorted and merged as they stand."""
+    return level.groupBy("cell", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
 
-def merge_runs(records: DataFrame, rounds: int) -> DataFrame:
-    """Binomial rounds: two to the power of ``rounds`` runs become one; every level keeps the smallest verified identifier."""
+def tree(runs: int, most: int) -> tuple[int, int]:
+    """(fan, rounds): the fewest rounds of groups of ``most`` or fewer that make one of ``runs``, then the smallest such groups."""
+    rounds = 1
+    while most**rounds < runs:
+        rounds += 1
+    return next(fan for fan in range(2, most + 1) if fan**rounds >= runs), rounds
+
+
+def digit(number: Column, fan: int, place: int) -> Column:
+    return F.pmod(F.floor(number / F.lit(fan**place)), F.lit(fan))
+
+
+def merge_runs(records: DataFrame, most: int) -> DataFrame:
+    """Rounds in which ``most`` runs or fewer become one; every level keeps the smallest verified identifier."""
+    home = F.spark_partition_id()
+    runs = (records.select(home.alias("home")).agg(F.max("home")).first()[0] or 0) + 1
+    fan, rounds = tree(runs, most)
+    cells = fan**rounds
     best = F.struct((-F.col("n_chars")).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
-    level = merged(records.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod("home", F.lit(1 << rounds)).alias("run")))
-    for _ in range(rounds):
-        level = level.withColumn("run", F.shiftright("run", 1))
-        level = merged(level.repartitionByRange("run", "check").sortWithinPartitions("run", *KEY))
+    level = merged(records.select(*KEY, best.alias("best"), F.lit(1).cast("long").alias("n"), F.pmod(home, F.lit(cells)).cast("int").alias("cell")))
+    goal = F.shiftright((F.shiftright("check", 33) + (1 << 30)) * F.lit(cells), 31)  # the leading 31 bits, in order, dealt evenly
+    for place in reversed(range(rounds)):
+        moved = F.col("cell") + (digit(goal, fan, place) - digit(F.col("cell"), fan, place)) * fan**place
+        level = merged(level.withColumn("cell", moved.cast("int")).repartitionById(cells, F.col("cell")))
     return level.select(*KEY, F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("n").alias("group_size"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, so all empty and null texts form one group. Among equal texts the
@@ -68,7 +88,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     unique on the right, so adaptive execution can split that partition.
     """
     records = cut(digests(df, id_col, text_col))
-    winners = merge_runs(records, rounds)
+    winners = merge_runs(records, fan)
     return records.join(winners, KEY).select(
         "doc_id",
         "keep_id",
