@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import policy
+from tidemark.plans.check import cached_rules
 from tidemark.sources import robots
 
 
@@ -55,3 +56,14 @@ def test_one_origin_with_very_many_rules(spark):
     began = time.time()
     assert {r.verdict: r["count"] for r in policy.robots_verdict(targets, rules, "bot").groupBy("verdict").count().collect()} == {"disallowed": 50_000, "allowed": 150_000}
     assert time.time() - began < 60  # the product has 2 * 10^9 rows
+
+
+def test_lifetimes_end_inside_a_second(spark):
+    """An entry is fresh for whole lifetimes, to the microsecond, and one of the same second after now is of the future."""
+    times = {"just": "2024-01-14 23:00:00.000001", "over": "2024-01-14 23:00:00", "now": "2024-01-15 00:00:00", "later": "2024-01-15 00:00:00.000001", "old": "2024-01-14 22:59:59.999999", "none": None}
+    cache = spark.createDataFrame(list(times.items()), "origin string, at string").select("origin", F.col("at").cast("timestamp").alias("fetched_at"), F.lit("").alias("body"), F.lit(False).alias("unavailable"))
+    want = {o: o in ("just", "now") for o in times}
+    assert {r.origin: r.from_cache for r in cached_rules(cache.select("origin"), cache, "2024-01-15 00:00:00").collect()} == want
+    targets = cache.select("origin", F.lit("https://x.org/a").alias("url"))
+    fetches = spark.createDataFrame([], "origin string, status int, body string")
+    assert {r.origin: r.from_cache for r in policy.robots_check(targets, cache, fetches, "bot", "2024-01-15 00:00:00").collect()} == want

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import outcomes, urls
@@ -77,6 +77,12 @@ def robots_verdict(targets: DataFrame, rules: DataFrame, agent: str) -> DataFram
     )
 
 
+def fresh_at(now: str, ttl_s: int) -> Column:
+    """Whether an entry's ``fetched_at`` is less than ``ttl_s`` seconds before ``now`` and not after it, to the microsecond."""
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    return (age >= 0) & (age < ttl_s * 1_000_000)
+
+
 def robots_check(targets: DataFrame, cache: DataFrame, fetches: DataFrame, agent: str, now: str, ttl_s: int = 3600) -> DataFrame:
     """``targets`` (origin, url, ...) with verdict, agent_group, matched_rule, from_cache and unavailable.
 
@@ -84,8 +90,7 @@ def robots_check(targets: DataFrame, cache: DataFrame, fetches: DataFrame, agent
     gives its rules. The others take what was fetched now (origin, status, body): 2xx its text, 4xx allows everything, anything
     else, or no answer at all, is unavailable and closes the origin.
     """
-    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("fetched_at")
-    fresh = latest(cache.filter((age >= 0) & (age < ttl_s)), ["origin"], ["fetched_at", "body"]).select("origin", "body", "unavailable", F.lit(True).alias("from_cache"))
+    fresh = latest(cache.filter(fresh_at(now, ttl_s)), ["origin"], ["fetched_at", "body"]).select("origin", "body", "unavailable", F.lit(True).alias("from_cache"))
     new = robots.from_fetches(fetches).join(fresh, "origin", "left_anti").select("origin", "body", "unavailable", F.lit(False).alias("from_cache"))
     known = fresh.unionByName(new)
     rules = robots.parsed(known.filter("not unavailable").select("origin", "body"))
