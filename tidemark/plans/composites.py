@@ -201,12 +201,15 @@ def robots_fetches(spark, sf_dir):
 
 
 def policy_entries(spark, sf_dir):
-    """Monitors with the entries of their site's policy in order, and an error where there is no policy."""
+    """Monitors with the entries of their site's policy in order, and an error where there is no policy.
+
+    Entries are written out once a site, before the join, so a monitor costs a copy of the result.
+    """
     m = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("monitor_id"), F.col("c_nationkey").alias("site"))
     entry = F.struct(F.col("s_suppkey").alias("order_index"), F.concat(F.lit("f"), (F.col("s_suppkey") % 3).cast("string")).alias("fetcher"), F.when(F.col("s_suppkey") % 2 == 0, "timeout").alias("proceed_on"))
     lists = b.table(spark, sf_dir, "supplier").filter("s_nationkey % 6 <> 0").groupBy(F.col("s_nationkey").alias("site")).agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # a policy's entries: a few fetchers
     shown = F.array_join(F.transform("entries", lambda x: F.concat_ws(":", x["fetcher"], x["proceed_on"])), ",")
-    return m.join(lists, "site", "left").select("monitor_id", shown.alias("entries"), F.when(F.col("entries").isNull(), "fetcher_policy_missing").alias("error"))
+    return m.join(lists.select("site", shown.alias("entries")), "site", "left").select("monitor_id", "entries", F.when(F.col("entries").isNull(), "fetcher_policy_missing").alias("error"))
 
 
 def monitor_cascade_all(spark, sf_dir):
