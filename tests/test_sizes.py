@@ -1,5 +1,8 @@
 """Plans and memory of steps that larger tables would break."""
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import traversal
 from tidemark.plans import composites
 
 SF = "/root/testdata/sf0.001"
@@ -9,3 +12,26 @@ def test_policies_are_written_out_before_monitors_meet_them(spark):
     plan = composites.policy_entries(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join ", 1)
     assert "array_join" in below and "array_join" not in above
+
+
+def test_only_indexes_that_are_opened_are_laid_out(spark):
+    day = "2024-01-15"
+    roots = spark.createDataFrame([(1, "https://a.org", "https://a.org/r.xml", False)], "site_id long, origin string, url string, baseline boolean")
+    held = [("https://a.org/r.xml", k, f"https://a.org/i{k}.xml", day) for k in range(4)] + [(f"https://a.org/i{k}.xml", j, f"https://a.org/i{k}-{j}.xml", day) for k in range(4) for j in range(3)]
+    entries = spark.createDataFrame(held, "parent string, pos long, loc string, lastmod string")
+    documents = entries.select("parent", F.col("loc").alias("url"), F.when(F.col("loc").contains("-"), "sitemap").otherwise("sitemap-index").alias("kind"))
+    marks = spark.createDataFrame([], "url string, mark string")
+    asked = []
+
+    def of(table):
+        def fetched(parents):
+            asked.append(sorted(r.parent for r in parents.collect()))
+            return table.join(parents, "parent", "left_semi")
+
+        return fetched
+
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    walk = lambda e, d: rows(traversal.traverse(roots, e, d, marks, "2024-01-12", depth=2, children=2, fetches=4))
+    assert walk(of(entries), of(documents)) == walk(entries, documents.drop("parent"))
+    opened = [["https://a.org/r.xml"], ["https://a.org/i0.xml", "https://a.org/i1.xml"]]
+    assert asked == [opened[0]] * 2 + [opened[1]] * 2  # two of the four indexes are opened

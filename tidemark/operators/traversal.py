@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,13 +22,18 @@ def in_pattern(loc: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [urls.glob_match(F.lit(p), name, prefix=False) for p in patterns], F.lit(not patterns))
 
 
+Fetched = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def traverse(
-    roots: DataFrame, entries: DataFrame, documents: DataFrame, marks: DataFrame, cutoff: str, patterns: list[str] | None = None, depth: int = MOST_DEPTH, children: int = MOST_CHILDREN, fetches: int = MOST_FETCHES
+    roots: DataFrame, entries: Fetched, documents: Fetched, marks: DataFrame, cutoff: str, patterns: list[str] | None = None, depth: int = MOST_DEPTH, children: int = MOST_CHILDREN, fetches: int = MOST_FETCHES
 ) -> DataFrame:
     """Every child met on the walk: site_id, parent, loc, level, state, mark_moves.
 
     ``roots``: site_id, origin, url, baseline (a first check, which only records). ``entries``: parent, pos, loc, lastmod (what an index
     document holds). ``documents``: url, kind (sitemap, sitemap-index) of what a fetch would give; a failed fetch has no row. ``marks``: url, mark.
+    ``entries`` and ``documents`` may be functions of a level's indexes (parent), which give the entries of those alone and the documents
+    of their children, so that indexes which the walk does not open are never laid out.
 
     Of an index's entries the dated ones after ``cutoff`` whose file name fits are taken, the newest first, ``children`` at
     most. They are walked depth first: a child's place is the path of its ranks, and its number among all
@@ -38,7 +44,9 @@ def traverse(
     level = roots.select("site_id", "origin", "baseline", F.col("url").alias("parent"), F.array().cast("array<int>").alias("path"))
     found = []
     for n in range(depth):
-        met = level.join(entries, "parent").withColumn("level", F.lit(n))
+        opened = level.select("parent").distinct()
+        held, given = (x(opened) if callable(x) else x for x in (entries, documents))
+        met = level.join(held, "parent").withColumn("level", F.lit(n))
         dated, fits = F.col("lastmod").isNotNull(), in_pattern(F.col("loc"), patterns or [])
         early = F.when(~dated, "missing_lastmod").when(F.col("lastmod") < cutoff, "old").when(~fits, "excluded")
         met = met.withColumn("state", early)
@@ -51,7 +59,7 @@ def traverse(
             .when(F.col("lastmod") <= F.col("mark"), "unchanged")
             .when(network.url_check(F.col("loc")).isNotNull(), "refused")
         )
-        met = met.withColumn("state", F.coalesce("state", gate)).join(documents.select(F.col("url").alias("loc"), "kind"), "loc", "left")
+        met = met.withColumn("state", F.coalesce("state", gate)).join(given.select(F.col("url").alias("loc"), "kind"), "loc", "left")
         met = written(met.select("site_id", "origin", "baseline", "parent", "loc", "level", "path", "lastmod", "kind", "state"))
         found.append(met.drop("origin", "baseline"))
         level = met.filter("state is null and kind = 'sitemap-index'").select("site_id", "origin", "baseline", F.col("loc").alias("parent"), "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +111,10 @@ PATTERNS, CUTOFF, DEPTH, CHILDREN, FETCHES, ITEMS = ["s*.xml", "c*.xml"], "2024-
 
 
 def _site_maps(spark, sf_dir):
-    """Indexes of nations with suppliers as children, of even suppliers with customers as theirs."""
+    """Indexes of nations with suppliers as children, of even suppliers with customers as theirs.
+
+    What indexes hold is laid out for the indexes asked for: all customers of all suppliers would be a product that the walk hardly opens.
+    """
     origin = F.concat(F.lit("https://n"), F.col("n").cast("string"), F.lit(".example"))
     day = lambda k: F.concat(F.lit("2024-01-"), (10 + k % 10).cast("string"))
     roots = b.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n")).select(F.col("n").alias("site_id"), origin.alias("origin"), F.concat(origin, F.lit("/index.xml")).alias("url"), (F.col("n") % 10 == 9).alias("baseline"))
@@ -118,12 +123,22 @@ def _site_maps(spark, sf_dir):
     own = F.concat(F.when(k % 13 == 0, "https://elsewhere.example").otherwise(origin), F.when(k % 7 == 0, "/t").otherwise("/s"), k.cast("string"), F.lit(".xml"))
     first = s.select("k", "n", F.concat(origin, F.lit("/index.xml")).alias("parent"), k.alias("pos"), own.alias("loc"), F.when(k % 11 != 0, day(k)).alias("lastmod"))
     c = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n"))
-    met = first.filter("k % 2 = 0").select("k", "n", F.col("loc").alias("parent")).join(c, "n").filter("c % 7 = k % 7")
-    below = met.select("c", "parent", F.col("c").alias("pos"), F.concat(origin, F.lit("/c"), F.col("c").cast("string"), F.lit("-"), k.cast("string"), F.lit(".xml")).alias("loc"), day(F.col("c")).alias("lastmod"))
-    entries = first.select("parent", "pos", "loc", "lastmod").unionByName(below.select("parent", "pos", "loc", "lastmod"))
-    documents = first.filter("k % 5 <> 0").select(F.col("loc").alias("url"), F.when(k % 2 == 0, "sitemap-index").otherwise("sitemap").alias("kind")).unionByName(
-        below.select(F.col("loc").alias("url"), F.when(F.col("c") % 3 == 0, "sitemap-index").otherwise("sitemap").alias("kind"))
-    )
+
+    def held(parents):
+        top = first.join(parents, "parent", "left_semi")
+        met = first.filter("k % 2 = 0").select("k", "n", F.col("loc").alias("parent"), (k % 7).alias("r")).join(parents, "parent", "left_semi").join(c.withColumn("r", F.col("c") % 7), ["n", "r"])
+        below = met.select("c", "parent", F.col("c").alias("pos"), F.concat(origin, F.lit("/c"), F.col("c").cast("string"), F.lit("-"), k.cast("string"), F.lit(".xml")).alias("loc"), day(F.col("c")).alias("lastmod"))
+        return top, below
+
+    def entries(parents):
+        return reduce(DataFrame.unionByName, [x.select("parent", "pos", "loc", "lastmod") for x in held(parents)])
+
+    def documents(parents):
+        top, below = held(parents)
+        return top.filter("k % 5 <> 0").select(F.col("loc").alias("url"), F.when(k % 2 == 0, "sitemap-index").otherwise("sitemap").alias("kind")).unionByName(
+            below.select(F.col("loc").alias("url"), F.when(F.col("c") % 3 == 0, "sitemap-index").otherwise("sitemap").alias("kind"))
+        )
+
     marks = first.filter("k % 3 = 0").select(F.col("loc").alias("url"), F.lit("2024-01-15").alias("mark"))
     o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("k"))
     items = first.select("k", F.col("loc").alias("parent")).join(o, "k").select("parent", F.concat(F.lit("/"), F.col("o").cast("string")).alias("url"), F.when(F.col("o") % 4 != 0, day(F.col("o"))).alias("updated_at"))
