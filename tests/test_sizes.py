@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import traversal
+from tidemark.operators import differences, traversal
 from tidemark.plans import composites
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,14 @@ def test_only_indexes_that_are_opened_are_laid_out(spark):
     assert walk(of(entries), of(documents)) == walk(entries, documents.drop("parent"))
     opened = [["https://a.org/r.xml"], ["https://a.org/i0.xml", "https://a.org/i1.xml"]]
     assert asked == [opened[0]] * 2 + [opened[1]] * 2  # two of the four indexes are opened
+
+
+def test_patches_leave_in_pieces(spark):
+    long = "".join(f"{k}\n" for k in range(300_000))
+    pairs = [(k, "2024", old, new) for k, (old, new) in enumerate([("", long), (None, "a"), ("a\nb", "a\n"), ("x", "x"), (long, None), (None, None), ("b", None)])]
+    df = spark.createDataFrame(pairs, "k int, day string, old string, new string").coalesce(1)
+    out = differences.edited(df, "old", "new", breaks=True)
+    want = [(k, day, *differences.edit(old, new, breaks=True)) for k, day, old, new in pairs]
+    assert sorted(map(tuple, out.collect())) == want and min(len(want[0][4]), len(want[4][4])) > 2 * differences.PIECE // 2
+    assert want[2][2:4] == (0, 1) and want[5][2:] == (0, 0, "")
+    assert "ArrowEvalPython" not in differences.text_changes(df, "k", "old", "new")._jdf.queryExecution().toString()  # holds a whole batch's texts and patches

@@ -14,10 +14,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PATCH = "added_count long, removed_count long, patch string"
+PIECE = 1 << 20  # characters of patches a worker gathers before it hands them on
 LINE = r"[^\n]*\n|[^\n]+"
 
 
@@ -109,29 +112,52 @@ def hunks(old: Sequence[str], new: Sequence[str], kept: list[tuple[int, int]], c
         yield "".join(out + [shown(" ", x) for x in old[at:z]])
 
 
-def unified(context: int = 3, breaks: bool = False):
-    """A pandas UDF (old, new) -> struct<added_count, removed_count, patch>: the fewest added and removed lines; an empty patch where nothing changed.
+def edit(old: str | None, new: str | None, context: int = 3, breaks: bool = False) -> tuple[int, int, str]:
+    """(added, removed, patch) of one pair: the fewest added and removed lines; an empty patch where nothing changed.
 
-    With ``breaks`` a line's break is part of it, else lines are what stands between breaks (an empty text is one empty line). Null
-    texts are empty. A pair of texts is one row of a batch and is held by its task.
+    With ``breaks`` a line's break is part of it, else lines are what stands between breaks (an empty text is one empty line). Null texts are empty.
     """
-    lines = (lambda t: re.findall(LINE, t)) if breaks else (lambda t: [x + "\n" for x in t.split("\n")])
+    a, b = ((re.findall(LINE, t) if breaks else [x + "\n" for x in t.split("\n")]) for t in (old or "", new or ""))
+    kept = shortest_edit(a, b)
+    body = "".join(hunks(a, b, kept, context))
+    return len(b) - len(kept), len(a) - len(kept), "--- before\n+++ after\n" + body if body else ""
+
+
+def unified(context: int = 3, breaks: bool = False):
+    """``edit`` as a pandas UDF (old, new) -> struct<added_count, removed_count, patch>, which holds a batch's texts and patches; large tables take ``edited``."""
 
     @F.pandas_udf(PATCH)
     def patch(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(old, new, strict=True):
-            a, b = lines(a or ""), lines(b or "")
-            kept = shortest_edit(a, b)
-            body = "".join(hunks(a, b, kept, context))
-            out.append((len(b) - len(kept), len(a) - len(kept), "--- before\n+++ after\n" + body if body else ""))
-        return pd.DataFrame(out, columns=["added_count", "removed_count", "patch"])
+        return pd.DataFrame([edit(a, b, context, breaks) for a, b in zip(old, new, strict=True)], columns=["added_count", "removed_count", "patch"])
 
     return patch
 
 
+def edited(df: DataFrame, old: str, new: str, context: int = 3, breaks: bool = False) -> DataFrame:
+    """``df`` with added_count, removed_count and patch in place of both texts, by ``edit``.
+
+    One pair at a time is decoded, and patches leave whenever PIECE characters are gathered, so a worker holds the batch that Spark
+    sent, one pair and one piece, however many rows there are.
+    """
+    rest = [c for c in df.columns if c not in (old, new)]
+    rows = df.select(*rest, old, new)
+
+    def edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told, start, size = [], 0, 0
+            for k, (a, b) in enumerate(zip(batch.column(len(rest)), batch.column(len(rest) + 1), strict=True), 1):
+                told.append(edit(a.as_py(), b.as_py(), context, breaks))
+                size += len(told[-1][2])
+                if size > PIECE or k == batch.num_rows:
+                    counts = [pa.array(x, t) for x, t in zip(zip(*told, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, k - start) for c in range(len(rest))), *counts], names=[*rest, "added_count", "removed_count", "patch"])
+                    told, start, size = [], k, 0
+
+    return rows.mapInArrow(edits, T.StructType([*rows.schema.fields[: len(rest)], *T.StructType.fromDDL(PATCH).fields]))
+
+
 def text_changes(df: DataFrame, key: str, old: str, new: str, context: int = 3) -> DataFrame:
     """key, added_count, removed_count, patch of rows (key, old, new); equal texts, told in the JVM, never travel to Python."""
     same = F.col(old).eqNullSafe(F.col(new))
     equal = df.filter(same).select(key, F.lit(0).cast("long").alias("added_count"), F.lit(0).cast("long").alias("removed_count"), F.lit("").alias("patch"))
-    return df.filter(~same).select(key, unified(context, breaks=True)(old, new).alias("d")).select(key, "d.*").unionByName(equal)
+    return edited(df.filter(~same).select(key, old, new), old, new, context, breaks=True).unionByName(equal)

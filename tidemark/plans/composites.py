@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import html, text
 from tidemark.operators import keyed, policy, transitions, traversal
-from tidemark.operators.differences import unified
+from tidemark.operators.differences import edited
 from tidemark.operators.tables import written
 from tidemark.plans import bindings as b
 from tidemark.plans.check import fan_out
@@ -34,8 +34,9 @@ def page_check(captures: DataFrame, previous: DataFrame, texts: DataFrame, store
     changed, level = text.compared(F.col("old"), F.col("new"))
     found = met.filter(changed).select("monitor_id", level.alias("level"), F.when(level == "text_hash", F.col("text_hash")).otherwise(F.col("normalized_hash")).alias("dedupe_key"), F.col("old.text_hash").alias("key"), "extracted_text")
     known = stored.select("monitor_id", "dedupe_key").distinct().withColumn("_k", F.lit(True))
-    told = keyed.read_blobs(found, texts, "key").join(known, ["monitor_id", "dedupe_key"], "left").withColumn("d", unified()("body", "extracted_text"))
-    told = told.select("monitor_id", "level", "dedupe_key", F.col("_k").isNull().alias("inserted"), F.col("d.added_count").alias("added"), F.col("d.removed_count").alias("removed"))
+    told = keyed.read_blobs(found, texts, "key").join(known, ["monitor_id", "dedupe_key"], "left").withColumn("inserted", F.col("_k").isNull())
+    told = edited(told.select("monitor_id", "level", "dedupe_key", "inserted", "body", "extracted_text"), "body", "extracted_text")
+    told = told.withColumnsRenamed({"added_count": "added", "removed_count": "removed"}).drop("patch")
     return captures.select("monitor_id").join(told, "monitor_id", "left")
 
 
