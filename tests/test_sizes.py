@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import differences, traversal
 from tidemark.plans import composites
+from tidemark.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +47,10 @@ def test_patches_leave_in_pieces(spark):
     assert sorted(map(tuple, out.collect())) == want and min(len(want[0][4]), len(want[4][4])) > 2 * differences.PIECE // 2
     assert want[2][2:4] == (0, 1) and want[5][2:] == (0, 0, "")
     assert "ArrowEvalPython" not in differences.text_changes(df, "k", "old", "new")._jdf.queryExecution().toString()  # holds a whole batch's texts and patches
+
+
+def test_pages_are_parsed_once_for_all_steps(spark):
+    html = spark.createDataFrame([(1, "<div><p><b>x</b></p><p>y</p></div>"), (2, None)], "k int, html string")
+    out = pages.select_elements(pages.elements(html, "k", "html"), "k", "div > p b, p + p, div p")
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+    assert sorted((r.k, r.pre) for r in out.collect()) == [(1, 1), (1, 2), (1, 3)]

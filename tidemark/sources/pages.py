@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions import urls
 from tidemark.functions.selectors import PART, VOID, Program, Test, Walk, parsed
 from tidemark.operators.keyed import first_wins
+from tidemark.operators.tables import written
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 
@@ -204,8 +205,10 @@ def select_elements(found: DataFrame, key: str, selector: str) -> DataFrame:
     """The rows of ``elements`` that a selector list names, as structural joins over the whole table.
 
     Each step is an equi-join with what the step before left: with the parent, with one of the ancestors on an element's path, with the
-    sibling before, or with the first match among the siblings. No pair of elements of a page is formed beyond these.
+    sibling before, or with the first match among the siblings. No pair of elements of a page is formed beyond these. ``found`` is written
+    first: every step reads it, and no page is parsed again for a step.
     """
+    found = written(found)
     every = None
     for steps in parsed(selector):
         left = None
