@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
-from tidemark.llm.common import cut, text_or_empty, unwrapped, wrapped
+from tidemark.llm.common import cut, lean, text_or_empty, unwrapped, wrapped
 from tidemark.llm.components import components
 
 U64, U32 = np.uint64, np.uint64(32)
@@ -40,7 +40,7 @@ RARE = 8  # an entry held by at most so many classes is followed pair by pair
 BLOCK = 256  # sets compared at once with as many others
 SHARED, LEAST_SHARED = 256, 997  # classes, on average at most, of the small clusters that share a task; such tasks at least
 GROUP_ENTRIES = 1 << 17  # index entries a task looks at
-FLUSH = 1 << 20  # index entries a task gathers before it deals them out
+FLUSH = 1 << 19  # index entries a task gathers before it deals them out
 MATRIX_COLS = 1 << 14
 ENTRY_SCHEMA = "channel int, part int, sigs binary, classes binary, notes binary"
 MARK = 255  # the note of an entry that a task has found to be common
@@ -422,7 +422,7 @@ def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num:
     """
     t = text_or_empty(F.col(text_col))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("tkey"), t.alias("text"))
-    described = cut(docs.mapInArrow(lambda it: describe(it, words), "doc_id long, tkey long, n_shingles long, class long"))
+    described = cut(docs.mapInArrow(lambda it: lean(describe(it, words)), "doc_id long, tkey long, n_shingles long, class long"))
     classes = cut(
         described.filter("n_shingles > 0")
         .groupBy("class")
@@ -434,7 +434,7 @@ def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num:
     counts = {r.band: r["count"] for r in classes.groupBy(band.alias("band")).count().collect()}  # a row per band
     plan = allocate(counts, largest, num, den, GROUP_ENTRIES)
     met = cut(
-        docs.select("text").mapInArrow(lambda it: index(it, words, plan), ENTRY_SCHEMA).groupBy("channel", "part").applyInArrow(meet, MET_SCHEMA)
+        docs.select("text").mapInArrow(lambda it: lean(index(it, words, plan)), ENTRY_SCHEMA).groupBy("channel", "part").applyInArrow(meet, MET_SCHEMA)
     )
     rare, stars = candidate_edges(met)
     clusters = components(rare.unionByName(stars)).select(F.col("node").alias("class"), F.col("label").alias("cluster"))
@@ -446,10 +446,11 @@ def labelled_classes(df: DataFrame, id_col: str, text_col: str, words: int, num:
     dealt = tasks(compared, classes.select("class", "n"), upper, sum(counts.values()))
     wanted = classes.join(clusters, "class").select(F.col("member.doc_id").alias("doc_id"), F.col("member.tkey").alias("tkey"))
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.tkey").eqNullSafe(F.col("w.tkey")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-    sets = cut(texts.mapInArrow(lambda it: emit_sets(it, words), "class long, elements binary").dropDuplicates(["class"]))
+    sets = cut(texts.mapInArrow(lambda it: lean(emit_sets(it, words)), "class long, elements binary").dropDuplicates(["class"]))
     links = dealt.join(sets, "class").groupBy("task").applyInArrow(lambda x: compare(x, num, den), "a long, b long")
-    ends = [sets.select(F.col("class").alias(x), F.col("elements").alias(f"set_{x}")) for x in ("a", "b")]
-    single = in_large(rare).join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda it: linked_edges(it, num, den), "a long, b long")
+    apart = sets.join(large.select("class"), "class", "left_semi")  # both ends of a pair that is verified alone; the other sets stay where they are
+    ends = [apart.select(F.col("class").alias(x), F.col("elements").alias(f"set_{x}")) for x in ("a", "b")]
+    single = in_large(rare).join(ends[0], "a").join(ends[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(lambda it: lean(linked_edges(it, num, den)), "a long, b long")
     links = links.unionByName(single)
     linked = components(links)
     labelled = classes.join(linked, F.col("class") == F.col("node"), "left").select("class", "first_id", "member", F.coalesce("label", "class").alias("label"))
