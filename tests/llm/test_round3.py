@@ -49,6 +49,19 @@ def test_urls_by_many_rules(spark):
     same(rows_of(got, "page_id", "host", "path", "rule", "verdict"), [(i, *brute_url(u, rules)) for i, u in rows])
 
 
+@pytest.mark.parametrize("sent", [url_filter.SENT, 0])
+def test_urls_are_not_broadcast(spark, monkeypatch, sent):
+    monkeypatch.setattr(url_filter, "SENT", sent)
+    rules = [*url_filter.RULES, *(("example.com", f"/en/k{i}", "allow") for i in range(0, 900, 7)), ("b.example.com", "/en/k1", None)]
+    rows = [(i, f"http://{'abc'[i % 3]}.example.{'net' if i % 5 == 0 else 'com'}/en/k{i % 1000}") for i in range(3000)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(rules, url_filter.RULE_COLUMNS))
+    found = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()]
+    same(found, [(i, h, p, r, v or "allow") for i, (h, p, r, v) in ((i, brute_url(u, rules)) for i, u in rows)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and "BroadcastHashJoin [rid" not in plan  # pages: few bytes on disk, any number of expressions in memory
+    assert ("BroadcastHashJoin" in plan) == (sent > 0)
+
+
 def test_urls_without_rules_or_rows(spark):
     df = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     none = spark.createDataFrame([], url_filter.RULE_COLUMNS)

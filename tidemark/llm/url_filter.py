@@ -6,6 +6,9 @@ no more of either than the longest rule has. Expressions and keys meet by an equ
 SHA-256; full digests confirm the match, and of the rules that fit a URL the longest decides. Where rules have tails, their
 lengths come along with the key, and the URL's path, cut to these lengths, is joined with the rules by digest again: a URL
 meets rules that fit it and collisions of prefixes, however many rules a host has.
+
+Rules are what joins send to every task, if they are few by their own count; else both sides are dealt out. The pages never are:
+their table is small on disk, as URLs compress well, and makes many times as many expressions in memory.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 RULE_COLUMNS = "host string, path string, verdict string"
 URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 PREFIX = 8
+#: Rules of at most so many bytes are sent to every task; one takes so many besides its text.
+SENT, RULE_BYTES = 8 << 20, 256
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -37,9 +42,9 @@ def prefixed(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("_short", F.substring(name, 1, PREFIX))
 
 
-def met(expressions: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows of ``expressions`` (_digest) with those of ``table`` (_key, unique): joined on prefixes, confirmed by full digests."""
-    return prefixed(expressions, "_digest").join(prefixed(table, "_key"), "_short").filter(F.col("_digest") == F.col("_key")).drop("_short", "_key", "_digest")
+def met(expressions: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """Rows of ``expressions`` (_digest) with those of ``table`` (_key, unique): joined on prefixes, confirmed by full digests. ``how``: the table's join hint."""
+    return prefixed(expressions, "_digest").join(prefixed(table, "_key").hint(how), "_short").filter(F.col("_digest") == F.col("_key")).drop("_short", "_key", "_digest")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -58,21 +63,22 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     known = known.withColumn("d", F.expr("substring(p, 1, length(p) - length(substring_index(p, '/', -1)))")).withColumn("tail", F.expr("length(p) - length(d)"))
     rule = F.struct(F.expr("length(h) + length(p)").alias("n"), F.length("h").alias("nh"), F.concat("h", "p").alias("rule"), F.col("verdict").alias("verdict"))
     slashes = F.expr("length(d) - length(replace(d, '/', ''))")
-    most = known.agg(F.max(F.size(F.split("h", r"\."))).alias("labels"), F.max(slashes).alias("slashes"), F.max("tail").alias("tail")).first()
+    most = known.agg(F.max(F.size(F.split("h", r"\."))).alias("labels"), F.max(slashes).alias("slashes"), F.max("tail").alias("tail"), F.sum(F.octet_length(F.concat("h", "p", F.coalesce("verdict", F.lit("")))) + RULE_BYTES).alias("bytes")).first()
     if most["labels"] is None:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
+    how = "broadcast" if most["bytes"] <= SENT else "merge"
     keys = known.groupBy(digest(F.col("h"), F.col("d")).alias("_key")).agg(F.max(F.when(F.col("tail") == 0, rule)).alias("r"), F.collect_set(F.when(F.col("tail") > 0, F.col("tail"))).alias("tails"))
     hosts = F.expr(f"array_distinct(transform(sequence(1, {most['labels']}), k -> substring_index(host, '.', -k)))")
     starts = F.expr(f"transform(sequence(0, least({most['slashes']}, length(path) - length(replace(path, '/', '')))), k -> if(k = 0, '', concat(substring_index(path, '/', k), '/')))")
     asked = rows.select("rid", "path", F.explode(hosts).alias("eh"), starts.alias("ed")).withColumn("ed", F.explode("ed"))
-    hits = met(asked.withColumn("_digest", digest(F.col("eh"), F.col("ed"))), keys)
+    hits = met(asked.withColumn("_digest", digest(F.col("eh"), F.col("ed"))), keys, how)
     found = hits.select("rid", "r")
     if most["tail"]:
         longer = hits.select("rid", "eh", "ed", "path", F.explode("tails").alias("k")).filter("length(path) >= length(ed) + k")
         longer = longer.select("rid", digest(F.col("eh"), F.expr("substring(path, 1, length(ed) + k)")).alias("_digest"))
-        found = found.unionByName(met(longer, known.filter("tail > 0").select(digest(F.col("h"), F.col("p")).alias("_key"), rule.alias("r"))))
-    best = rows.join(found.groupBy("rid").agg(F.max("r").alias("b")), "rid", "left")
+        found = found.unionByName(met(longer, known.filter("tail > 0").select(digest(F.col("h"), F.col("p")).alias("_key"), rule.alias("r")), how))
+    best = rows.join(found.groupBy("rid").agg(F.max("r").alias("b")).hint("merge"), "rid", "left")
     return best.select(F.col("id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
